@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import language, simhash
+from sigloom.llm import language, oracles, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,4 +24,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op3_simhash, op4_language_id)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op3_simhash, op4_language_id, op9_pii)}
+ORACLE |= {"op9_pii": oracles.PII}
