@@ -50,3 +50,51 @@ def _pii() -> str:
 
 
 PII = _pii()
+
+DECONTAMINATION = r"""
+    with words as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents where doc_id is not null and text is not null),
+    items as (select distinct item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from benchmark where text is not null),
+    parts as (select distinct item_id, w, least(len(w), 5) as k, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2),
+        lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) as s from items where len(w) > 0),
+    sizes as (select item_id, w, count(*) as n from parts group by all),
+    found as (select distinct doc_id, k, unnest(list_transform(range(1, greatest(len(words.w) - k + 2, 1)), lambda i: array_to_string(words.w[i:i + k - 1], ' '))) as s
+        from words, (select distinct k from parts))
+    select doc_id, item_id, n as n_shingles, count(*) as n_shared, round(count(*) / n, 6) as containment
+    from found join parts using (k, s) join sizes using (item_id, w) group by doc_id, item_id, w, n having count(*) >= 0.8 * n - 1e-9"""
+
+URLS = r"""
+    with recursive cut as (select page_id, url, html, case when url like '%://%' then translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
+        case when url like '%://%' then regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) else '' end as path from pages),
+    rules(verdict, h, p) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+    target as (select host, host || path as a, coalesce(nullif(regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''),
+        nullif(regexp_extract(html, '(?is)<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*?url\s*=\s*["'']?([^"''\s>]+)', 1), '')) as t from cut),
+    whole as (select a, case when t like '%://%' then t when t like '//%' then 'http:' || t when t like '/%' then 'http://' || host || t end as t from target),
+    ends as (select a, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as b from whole),
+    edges as (select a, b from ends where a <> '' and b <> '' union select b, a from ends where a <> '' and b <> ''),
+    reach as (select a as node, a as other from edges union select r.node, e.b from reach r join edges e on r.other = e.a),
+    ruled as (select n.node, r.verdict from (select distinct other as node from reach) n join rules r
+        on (regexp_extract(n.node, '(?s)^([^/]*)', 1) = h or ends_with(regexp_extract(n.node, '(?s)^([^/]*)', 1), '.' || h)) and starts_with(substr(n.node, length(regexp_extract(n.node, '(?s)^([^/]*)', 1)) + 1), p)
+        qualify row_number() over (partition by n.node order by length(h || p) desc) = 1),
+    tainted as (select reach.node from reach join ruled on reach.other = ruled.node group by 1 having bool_or(verdict = 'block') and not bool_or(verdict = 'allow')),
+    fit as (select page_id, url, host, path, h || p as rule, verdict, row_number() over (partition by cut.rowid_ order by length(h || p) desc) as k
+        from (select *, row_number() over () as rowid_ from cut) cut left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+    select page_id, host, path, rule, coalesce(verdict, case when host || path in (select node from tainted) then 'block' else 'allow' end) as verdict from fit where k = 1"""
+
+WARC = """
+    with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+    f as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest, payload_bytes >= 1000) end as first from p)
+    select page_id, payload_bytes, payload_digest, case when first <> page_id then 'revisit' else 'response' end as record_type,
+        case when first <> page_id then first end as refers_to from f"""
+
+CHAT = r"""
+    with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    sized as (select *, length(text) + length(regexp_replace(text, '[^\\]', '', 'g'))
+            + len(regexp_extract_all(text, '<(?:/?s>|<SYS>>|</SYS>>|/SYS>>|SYS>>|\\)'))
+            + len(regexp_extract_all(text, '\[(?:/?INST\]|/?ROLE\]|\\)'))
+            + case role when 'system' then 18 when 'user' then 15 when 'assistant' then 6 else 6 + length(role) + 8 + 5 end as chars from turns)
+    select conv_id, count(*) as n_turns, count(*) filter (role = 'assistant') as n_examples,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+        coalesce(cast(sum(length(text)) filter (role = 'assistant') as bigint), 0) as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256,
+        cast(sum(chars) as bigint) as formatted_chars from sized group by conv_id"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import language, oracles, pii, simhash
+from sigloom.llm import chat, decontaminate, language, oracles, pii, quality, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,5 +28,37 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op3_simhash, op4_language_id, op9_pii)}
-ORACLE |= {"op9_pii": oracles.PII}
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(_table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(_table(spark, sf_dir, "pages"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"  # the conversation that the contract adds
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], turns.schema)
+    return chat.report(turns.union(more))
+
+
+QUERIES |= {
+    f.__name__: f
+    for f in (op2_warc, op3_simhash, op4_language_id, op5_chat, op6_decontamination, op7_quality, op8_url_filter, op9_pii)
+}
+ORACLE |= {
+    "op2_warc": oracles.WARC,
+    "op5_chat": oracles.CHAT,
+    "op6_decontamination": oracles.DECONTAMINATION,
+    "op8_url_filter": oracles.URLS,
+    "op9_pii": oracles.PII,
+}
