@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import chat, decontaminate, language, oracles, pii, quality, simhash, urls, warc
+from sigloom.llm import chat, decontaminate, language, oracles, pii, quality, secrets, sentencepiece, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,9 +51,29 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(turns.union(more))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece.load_model(spark, sentencepiece.MODEL)
+    return sentencepiece.encode_documents(_table(spark, sf_dir, "documents"), model)
+
+
 QUERIES |= {
     f.__name__: f
-    for f in (op2_warc, op3_simhash, op4_language_id, op5_chat, op6_decontamination, op7_quality, op8_url_filter, op9_pii)
+    for f in (
+        op1_secrets,
+        op2_warc,
+        op3_simhash,
+        op4_language_id,
+        op5_chat,
+        op6_decontamination,
+        op7_quality,
+        op8_url_filter,
+        op9_pii,
+        op10_sentencepiece,
+    )
 }
 ORACLE |= {
     "op2_warc": oracles.WARC,
