@@ -1,8 +1,6 @@
 """Every registered query of the catalogue engine, with its SQL oracle where there is one."""
 
-from __future__ import annotations
+from sigloom.plans.oracles import ORACLE
+from sigloom.plans.queries import QUERIES
 
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
