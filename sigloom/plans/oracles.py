@@ -117,8 +117,13 @@ def _with(*parts: str, then: str) -> str:
     return f"with {', '.join(parts)} {then}"
 
 
-def _rounded(names, digits: int = 6, table: str = "") -> str:
-    return ", ".join(f"round({table}{n}, {digits}) + 0.0::double as {n}" for n in names)
+def digits(name: str) -> int:
+    """Decimals that engines agree on whatever the order of summation."""
+    return 3 if name.endswith("_hz") else 6
+
+
+def _rounded(names, of: str = "{}") -> str:
+    return ", ".join(f"round({of.format(n)}, {digits(n)}) + 0.0::double as {n}" for n in names)
 
 
 ORACLE: dict[str, str] = {
@@ -224,7 +229,7 @@ ORACLE: dict[str, str] = {
     "segment_features": _with(SIGNALS, SPECTRUM, FEATURES, then=f"select segment_id, {_rounded(FEATURE_NAMES)} from features"),
     "feature_medians": _with(
         SIGNALS, SPECTRUM, FEATURES,
-        then=f"select {_group('label')} as class_group, {', '.join(f'round(median({n}), 6) + 0.0::double as {n}' for n in FEATURE_NAMES)} from meta join features using (segment_id) group by 1",
+        then=f"select {_group('label')} as class_group, {_rounded(FEATURE_NAMES, 'median({})')} from meta join features using (segment_id) group by 1",
     ),
     "rd_normalise": _with(
         SIGNALS, SPECTRUM,

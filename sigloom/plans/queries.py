@@ -10,6 +10,7 @@ from sigloom.config import FAULTS, FEATURES, INTEGRITY_RULES, SMALL, STAT_RULES
 from sigloom.functions import faults, signals
 from sigloom.functions.storage import cut, fresh_path
 from sigloom.operators import anomaly, catalog, classify, evaluate, graph, order, rules, splits
+from sigloom.plans.oracles import digits
 from sigloom.plans.sqlrun import SQL_DIR, run_sql
 from sigloom.sources import adapters as A
 from sigloom.sources import export
@@ -40,8 +41,8 @@ for _name in ("class_balance_per_split", "segments_per_measurement", "split_leak
     QUERIES[_name] = _catalog_sql(_name)
 
 
-def _rounded(df: DataFrame, names, digits: int = 6) -> DataFrame:
-    return df.select("segment_id", *((F.round(n, digits) + 0.0).alias(n) for n in names))  # no negative zeros
+def _rounded(df: DataFrame, names, places: int | None = None) -> DataFrame:
+    return df.select("segment_id", *((F.round(n, places or digits(n)) + 0.0).alias(n) for n in names))  # no negative zeros
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -258,7 +259,8 @@ def feature_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = segments.select("segment_id", catalog.class_group(F.col("label")).alias("class_group")).join(signals.feature_table(segments, SMALL), "segment_id")
     long = joined.select("class_group", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES))).alias("v"))
     found = order.quantiles(long.select("class_group", "v.feature", "v.value"), ["class_group", "feature"], "value", {"median": 0.5})
-    return found.groupBy("class_group").pivot("feature", list(FEATURES)).agg(F.round(F.first("median"), 6) + 0.0).select("class_group", *FEATURES)
+    wide = found.groupBy("class_group").pivot("feature", list(FEATURES)).agg(F.first("median"))
+    return wide.select("class_group", *((F.round(f, digits(f)) + 0.0).alias(f) for f in FEATURES))
 
 
 @query
