@@ -44,7 +44,8 @@ NAME_WEIGHTS = {
     "credential": 0.9, "credentials": 0.9, "auth": 0.6, "private": 0.5, "access": 0.4, "bearer": 0.8, "session": 0.4, "signature": 0.4, "salt": 0.4,
 }
 HARMLESS = ("example", "changeme", "placeholder", "your", "xxxx", "todo", "none", "null", "true", "false", "test", "dummy", "redacted")
-THRESHOLD = 1.0
+THRESHOLD = 1.3
+LEAST_NAME_SCORE, LEAST_VALUE_SCORE = 0.5, 0.35
 LEAST_VALUE = 8
 
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z0-9_$]+)*"
@@ -52,7 +53,7 @@ _ASSIGNED = re.compile(rf"""(?<![A-Za-z0-9_$.-])(["']?)({_NAME})\1[\x20\t]*(?::=
 _TERM = re.compile(rf"""(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\\n]|\\.)*)`|({_NAME})(?![A-Za-z0-9+/=_-])|([A-Za-z0-9+/_.=$-]+))""")
 _PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-#: A literal, a joined value and a name are looked at up to these lengths; secrets are not longer.
+#: Characters of a constant that are kept for scoring and handing on, as joining a name to itself doubles it; spans are not cut.
 LONGEST_VALUE = 4096
 
 
@@ -88,10 +89,10 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
     known: dict[str, str] = {}
     for m in _ASSIGNED.finditer(text):
         at, value, first, last, terms, constant = m.end(), [], None, m.end(), 0, True
-        while (t := _TERM.match(text, at, min(len(text), at + LONGEST_VALUE))) is not None:
+        while (t := _TERM.match(text, at)) is not None:
             group = t.lastindex or 1
             if group == 4:
-                constant = constant and t[4] in known
+                constant = constant and (t[4] in known or any(c.isdigit() for c in t[4]))  # a bare word without a digit names something
                 value.append(known.get(t[4], t[4]))
             else:
                 value.append(t[group])
@@ -105,9 +106,8 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
         if terms == 0:
             continue
         whole = "".join(value)[:LONGEST_VALUE]
-        if constant or terms == 1:
-            if constant:
-                known[m[2]] = whole
+        if constant:
+            known[m[2]] = whole
             yield m[2], whole, first, last
 
 
@@ -121,7 +121,10 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         if b <= end:  # inside a value already reported
             continue
         weight = name_score(name)
-        if weight >= 0.5 and weight + value_score(value) >= THRESHOLD + 0.3 and value_score(value) > 0.35 and not _overlaps(taken, a, b):
+        if weight < LEAST_NAME_SCORE:
+            continue
+        looks = value_score(value)
+        if looks > LEAST_VALUE_SCORE and weight + looks >= THRESHOLD and not _overlaps(taken, a, b):
             found.append(("pair", a, b))
             end = b
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
