@@ -98,3 +98,47 @@ CHAT = r"""
         coalesce(cast(sum(length(text)) filter (role = 'assistant') as bigint), 0) as loss_chars,
         sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256,
         cast(sum(chars) as bigint) as formatted_chars from sized group by conv_id"""
+
+
+def _quality() -> str:
+    rules = {
+        "length": ("n_words", 15, 40, 1000000, 2000000),
+        "symbols": ("100.0::double * n_symbols / nullif(n_words, 0)", None, None, 3, 15),
+        "repeats": ("100.0::double * n_repeat_words / nullif(n_words, 0)", None, None, 2, 15),
+        "lines": ("100.0::double * n_dup_lines / nullif(n_lines, 0)", None, None, 5, 30),
+        "word_length": ("word_chars::double / nullif(n_words, 0)", 2, 3, 9, 12),
+        "shouting": ("100.0::double * n_upper / nullif(word_chars, 0)", None, None, 15, 60),
+    }
+    votes = []
+    for name, (value, bad_below, good_from, good_to, bad_above) in rules.items():
+        low = "" if bad_below is None else f" or {value} < {bad_below}"
+        floor = "" if good_from is None else f" and {value} >= {good_from}"
+        votes.append(f"case when {value} is null or {value} > {bad_above}{low} then -1 when {value} <= {good_to}{floor} then 1 else 0 end as v_{name}")
+    odds = " + ".join(f"v_{r} * ln(a_{r} / (1 - a_{r}))" for r in rules)
+    chance = f"1 / (1 + exp(-(ln(share / (1 - share)) + {odds})))"
+    new = ", ".join(
+        f"least(0.95, greatest(0.55, (sum(n * case v_{r} when 1 then p when -1 then 1 - p else 0 end) + 8.5) / (sum(n * abs(v_{r})) + 10))) as b_{r}" for r in rules
+    )
+    return f"""
+    with recursive t as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+    w as (select rid, doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from t),
+    win as (select rid, i, array_to_string(w[i:i + 4], ' ') as s from (select rid, w, unnest(range(1, greatest(len(w) - 3, 1))) as i from w)),
+    twice as (select rid, i from win qualify count(*) over (partition by rid, s) > 1),
+    covered as (select rid, count(distinct i + k) as n from twice, range(5) r(k) group by rid),
+    stats as (select rid, doc_id, len(w) as n_words, cast(list_sum(list_transform(w, lambda x: length(x))) as bigint) as wc, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
+        len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(covered.n, 0) as n_repeat_words, len(l) as n_lines, len(regexp_extract_all(text, '[A-Z]')) as n_upper from w left join covered using (rid)),
+    voted as (select *, {", ".join(votes)} from (select *, coalesce(wc, 0) as word_chars from stats)),
+    patterns as (select {", ".join(f"v_{r}" for r in rules)}, cast(count(*) as double) as n from voted group by all),
+    em(round, done, share, {", ".join(f"a_{r}" for r in rules)}) as (
+        select 0, false, 0.8::double, {", ".join("0.85::double" for _ in rules)}
+        union all
+        select round + 1, greatest({", ".join(["abs(new_share - share)"] + [f"abs(b_{r} - a_{r})" for r in rules])}) < 1e-6, new_share, {", ".join(f"b_{r}" for r in rules)}
+        from (select any_value(round) as round, any_value(share) as share, {", ".join(f"any_value(a_{r}) as a_{r}" for r in rules)},
+            least(0.95, greatest(0.05, sum(p * n) / sum(n))) as new_share, {new} from (select *, {chance} as p from em, patterns where not done and round < 25) having count(*) > 0)),
+    last as (select * from em order by round desc limit 1),
+    judged as (select *, round({chance}, 6) as quality, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from voted, last)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, not base_failed and quality >= 0.5 as kept from judged"""
+
+
+QUALITY = _quality()

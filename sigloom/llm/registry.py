@@ -79,6 +79,7 @@ ORACLE |= {
     "op2_warc": oracles.WARC,
     "op5_chat": oracles.CHAT,
     "op6_decontamination": oracles.DECONTAMINATION,
+    "op7_quality": oracles.QUALITY,
     "op8_url_filter": oracles.URLS,
     "op9_pii": oracles.PII,
 }
