@@ -110,6 +110,22 @@ class Detectors:
         return scores.select("segment_id", rows.alias("r")).select("segment_id", "r.*")
 
 
+def firing_rates(clean: DataFrame, known: DataFrame, radar: Radar, thresholds: dict[str, float], n_per_fault: int = 500, seed: int = 0) -> DataFrame:
+    """(fault, rule, rate) of the rules that fire on each injected fault; equal arrays in ``known`` count as seen."""
+    array_hash = F.sha1(F.concat_ws(",", F.col("iq_re").cast("array<string>"), F.col("iq_im").cast("array<string>"))).alias("sha1")
+    seen = known.select(array_hash).distinct().withColumn("duplicate", F.lit(1.0))
+    out = []
+    for fault in FAULTS:
+        picked = faults.pick(clean, fault, n_per_fault, seed)
+        picked = faults.with_donors(picked, known) if fault == "duplicate_segment" else picked
+        made = cut(faults.inject(picked, fault, radar, seed), "injected")
+        marks = made.select("segment_id", array_hash).join(seen, "sha1", "left").select("segment_id", F.coalesce("duplicate", F.lit(0.0)).alias("duplicate"))
+        stats = signals.rule_table(made, radar).join(marks, "segment_id")
+        rates = rules.firing(stats, thresholds).groupBy("rule").agg(F.avg(F.col("fired").cast("double")).alias("rate"))
+        out.append(rates.where("rate > 0").select(F.lit(fault).alias("fault"), "rule", F.round("rate", 4).alias("rate")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def fault_table(segments: DataFrame, radar: Radar, n_per_fault: int = 500, seed: int = 0, config: Quality = Quality(), trees: int = 300) -> DataFrame:
     """(fault, kind, method, n, recall_deployed, recall_at_1pct_fa, roc_auc): every detector on real and injected faults.
 

@@ -41,6 +41,12 @@ def apply(stats: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     return stats.withColumn("rule_flags", bits(thresholds)).withColumn("rule_score", score(thresholds))
 
 
+def firing(stats: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """A row per row of ``stats`` and rule: whether it fires, and the columns that are no statistics."""
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.coalesce(fired(r, thresholds), F.lit(False)).alias("fired")) for r in INTEGRITY_RULES))).alias("f")
+    return stats.select(*(c for c in stats.columns if c not in INTEGRITY_RULES), each).select("*", "f.rule", "f.fired").drop("f")
+
+
 def quality_flags(segments: DataFrame, config: Quality = Quality()) -> DataFrame:
     """``segments`` with ``low_snr`` and ``time_gap``, which are flags but no faults."""
     gap = F.coalesce("gap_before_s", F.lit(0.0)) > config.gap_s

@@ -251,4 +251,16 @@ ORACLE: dict[str, str] = {
     ),
     "rule_flags_bits": _with(SIGNALS, RULES, then="select segment_id, rule_flags from ruled"),
     "rule_score": _with(SIGNALS, RULES, then="select segment_id, round(rule_score, 6) as rule_score from ruled"),
-}
+    "rule_flags_by_class": _with(
+        SIGNALS, RULES,
+        f"""long as (unpivot (select segment_id, b0 as nonfinite, b1 as dead_block, b2 as frozen_block, b3 as clipping, b4 as duplicate, b5 as dc_offset, b6 as spike, b7 as off_centre,
+            b8 as edge_cliff from flags) on {", ".join(INTEGRITY_RULES)} into name rule value fired)""",
+        then=f"select rule, {_group('label')} as class_group, cast(sum(cast(fired as int)) as bigint) as n_flagged, count(*) as n from long join meta using (segment_id) group by 1, 2",
+    ),
+    "group_exemplar": _with(
+        SIGNALS, SPECTRUM, FEATURES, f"g as (select segment_id, {_group('label')} as class_group, snr_db from meta join features using (segment_id))",
+        "m as (select class_group, median(snr_db) as median from g group by 1)",
+        then="""select class_group, segment_id from g join m using (class_group)
+            qualify row_number() over (partition by class_group order by round(abs(snr_db - median), 6), segment_id) = 1""",
+    ),
+}

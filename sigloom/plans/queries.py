@@ -313,6 +313,33 @@ def rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply(stats, _thresholds(segments, stats)).select("segment_id", F.round("rule_score", 6).alias("rule_score"))
 
 
+@query
+def rule_flags_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, stats = _stats(spark, sf_dir)
+    marked = rules.firing(stats.join(segments.select("segment_id", catalog.class_group(F.col("label")).alias("class_group")), "segment_id"), _thresholds(segments, stats))
+    return marked.groupBy("rule", "class_group").agg(F.sum(F.col("fired").cast("bigint")).alias("n_flagged"), F.count("*").alias("n"))
+
+
+@query
+def group_exemplar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segment of each class group whose signal-to-noise ratio is nearest to the group's median."""
+    segments = A.vector_signals(spark, sf_dir)
+    table = signals.feature_table(segments, SMALL).select("segment_id", "snr_db").join(
+        segments.select("segment_id", catalog.class_group(F.col("label")).alias("class_group")), "segment_id"
+    )
+    table = cut(table, "snr")
+    medians = order.quantiles(table, ["class_group"], "snr_db", {"median": 0.5})
+    off = F.round(F.abs(F.col("snr_db") - F.col("median")), 6)
+    return table.join(medians, "class_group").groupBy("class_group").agg(F.min_by("segment_id", F.struct(off, "segment_id")).alias("segment_id"))
+
+
+@query
+def rules_firing_per_fault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = cut(A.vector_signals(spark, sf_dir), "signals")
+    _, stats = _stats(spark, sf_dir)
+    return evaluate.firing_rates(segments.where("edge_flag = 0 and split_grouped = 3"), segments, SMALL, _thresholds(segments, stats))
+
+
 @query
 def grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     alike = F.sha1(F.concat_ws("|", "sha1", F.floor(F.col("range_m") / 2000)).cast("binary"))  # with the price, so that few customers are linked
