@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.llm.batches import lots
+
 UNKNOWN = "und"
 #: Labelled rows per language that the model is fitted on, in the mean; fewer labelled rows are all used.
 SAMPLE_PER_LANGUAGE = 2000
@@ -87,7 +89,7 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in lots(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             total = sums.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
             for _, lot in _pieces([text.lower()]):
@@ -138,7 +140,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lots(batches):
             names, scores = score_texts(batch.column(2).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"]
@@ -165,7 +167,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lots(batches):
             names, scores = score_texts(batch.column(at).to_pylist(), model.value)
             yield batch.filter(pa.array((scores >= least_score) & (np.array(names) != UNKNOWN), pa.bool_()))
 

@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.llm.batches import lots
+
 SPACE = "▁"
 #: The model of the registered query; a parameter everywhere else.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Remembered spans and pairs of a worker; the tables are emptied when they are full.
-REMEMBERED = 500_000
+#: Spans that a worker remembers in each of two generations (about 150 bytes each), and pairs of pieces.
+REMEMBERED, PAIRS = 250_000, 500_000
 #: Spans of at most so many characters fit into one window.
 SHORT = 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -55,6 +57,7 @@ class Model:
     ids: dict[str, int] = field(default_factory=dict)
     prefixes: set[str] = field(default_factory=set)
     bytes: list[int] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
     longest: int = 1
 
     def __post_init__(self) -> None:
@@ -67,6 +70,8 @@ class Model:
         self.bytes = [of_byte.get(b, self.kinds.index(UNKNOWN)) for b in range(256)]
         self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         self.longest = max(map(len, self.ids), default=1)
+        one = {i: chr(b) if 0 < b < 128 else "\x00" for b, i in of_byte.items()}
+        self.texts = [one.get(i) or (p if k in (NORMAL, USER) else "") for i, (p, k) in enumerate(zip(self.pieces, self.kinds))]
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -118,44 +123,75 @@ def load_model(spark: SparkSession, path: str) -> Model:
     return parse_model(bytes(row[0]))
 
 
+def merged(model: Model, text: str) -> list[str]:
+    """``text`` in pieces as merging makes them: the best adjacent pair first, the leftmost of equals."""
+    parts = list(text)
+    ids, scores = model.ids, model.scores
+    while len(parts) > 1:
+        best, at = None, -1
+        for i in range(len(parts) - 1):
+            k = ids.get(parts[i] + parts[i + 1])
+            if k is not None and (best is None or scores[k] > best):
+                best, at = scores[k], i
+        if best is None:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+class Spans(dict):
+    """Ids of spans seen before, as bytes. A span not asked for while a generation fills is forgotten."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.older = encoder, {}
+
+    def __missing__(self, span: str) -> bytes:
+        if (ids := self.older.get(span)) is None:
+            inner = self.encoder.inner
+            cuts = [i for i in range(1, len(span)) if span[i - 1 : i + 1] not in inner] if len(span) <= SHORT else []
+            if cuts:
+                ids = b"".join([self[span[a:b]] for a, b in zip([0, *cuts], [*cuts, len(span)])])
+            else:
+                ids = np.array(self.encoder.span(span), "<i4").tobytes()
+            if len(span) > SHORT:
+                return ids
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[span] = ids
+        return ids
+
+
 class Encoder:
     """Streaming encoder of one worker."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.fits: dict[int, bool] = {}
-        self.spans: dict[str, list[int]] = {}
-        #: Beginnings of pieces, with the id of the piece that they are, or -1.
-        self.begins = {p: model.ids.get(p, -1) for p in model.prefixes}
-        inner = {p[0] for p in model.prefixes if len(p) == 1} | {c for p in model.ids for c in p}
+        #: For the id of a piece, or -1 where none stands before, whether a piece may follow.
+        self.fits: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
+        self.spans = Spans(self)
+        #: Beginnings of pieces, with the id of the piece that they are, or -1; pieces that merging never makes are none.
+        whole = (lambda p: merged(model, p) == [p]) if model.is_bpe else (lambda p: True)
+        self.begins = {p: model.ids[p] if p in model.ids and whole(p) else -1 for p in model.prefixes}
+        #: Neighbours inside pieces; between any others all paths meet.
+        self.inner = {p[i : i + 2] for p in model.ids for i in range(len(p) - 1)}
+        inside = {c for p in model.ids for c in p}
         #: Where a space begins a piece and never stands inside one after another character, every path meets before it.
         self.space_meets = not any(SPACE in p.lstrip(SPACE) for p in model.ids)
-        self.newline_meets = "\n" not in inner
-
-    def merged(self, text: str) -> list[str]:
-        """``text`` in pieces as merging makes them: the best adjacent pair first, the leftmost of equals."""
-        parts = list(text)
-        ids, scores = self.model.ids, self.model.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or scores[k] > best):
-                    best, at = scores[k], i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        self.newline_meets = "\n" not in inside
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging leaves these two pieces as they are when they stand together."""
-        key = (left + 1) << 32 | right
-        if (known := self.fits.get(key)) is None:
-            if len(self.fits) >= REMEMBERED:
-                self.fits.clear()
-            a = self.model.pieces[left] if left >= 0 else ""
-            b = self.model.pieces[right]
-            known = self.fits[key] = self.merged(a + b) == ([a, b] if a else [b])
+        row = self.fits.get(left)
+        if row is None:
+            row = self.fits[left] = {}
+        if (known := row.get(right)) is None:
+            if self.pairs >= PAIRS:
+                self.fits, self.pairs = {}, 0
+            a, b = self.model.pieces[left], self.model.pieces[right]
+            known = row[right] = merged(self.model, a + b) == [a, b]
+            self.pairs += 1
         return known
 
     def span(self, text: str) -> list[int]:
@@ -163,7 +199,7 @@ class Encoder:
         if len(text) <= SHORT and self.model.is_bpe:
             return self._short(text)
         model, out = self.model, []
-        ids, prefixes, pieces = model.ids, model.prefixes, model.pieces
+        begins = self.begins
         n, first = len(text), 0  # all before ``first`` is committed
         back: dict[int, tuple[int, int, float]] = {0: (-1, -1, 0.0)}  # boundary -> (boundary before, id, score)
         pending: dict[int, list[tuple[int, int]]] = {}  # boundary -> edges that end there
@@ -171,12 +207,12 @@ class Encoder:
         for j in range(n):
             alive = j in back
             k = j + 1
-            while k <= n and k - j <= model.longest and text[j:k] in prefixes:
-                if (piece := ids.get(text[j:k])) is not None:
+            while k <= n and (piece := begins.get(text[j:k])) is not None:
+                if piece >= 0:
                     pending.setdefault(k, []).append((j, piece))
                     reach = max(reach, k)
                 k += 1
-            if text[j] not in ids:  # no edge: bytes of the character, as a break that no piece crosses
+            if text[j] not in model.ids:  # no edge: bytes of the character, as a break that no piece crosses
                 pending.setdefault(j + 1, []).append((j, -2))
                 reach = max(reach, j + 1)
             self._settle(j + 1, pending.pop(j + 1, ()), back)
@@ -198,25 +234,20 @@ class Encoder:
 
     def _short(self, text: str) -> list[int]:
         """``span`` for a BPE text that is one window: all survivors are kept, and the path is read at the end."""
-        begins, fits, n = self.begins, self.fits, len(text)
+        begins, fits, n = self.begins.get, self.fits, len(text)
         last, start = [-3] * (n + 1), [0] * (n + 1)  # id of the surviving edge (-3 none yet, -1 none needed), where it begins
         last[0] = -1
         for i in range(n):
             left = last[i]
             if left == -3:
                 continue
-            row = (left + 1) << 32
-            k = i + 1
-            while k <= n and (piece := begins.get(text[i:k])) is not None:
+            known = fits.get(left, _NOTHING).get
+            for k in range(i + 1, n + 1):
+                if (piece := begins(text[i:k])) is None:
+                    break
                 if piece >= 0 and last[k] == -3:
-                    if (whole := fits.get(piece)) is None:
-                        whole = self.compatible(-1, piece)
-                    if whole:
-                        if left >= 0 and (whole := fits.get(row | piece)) is None:
-                            whole = self.compatible(left, piece)
-                        if whole:
-                            last[k], start[k] = piece, i
-                k += 1
+                    if left < 0 or (fit if (fit := known(piece)) is not None else self.compatible(left, piece)):
+                        last[k], start[k] = piece, i
             if last[i + 1] == -3 and text[i] not in self.model.ids:
                 last[i + 1], start[i + 1] = -2, i  # bytes: no piece crosses this character
         path, end = [], n
@@ -243,7 +274,7 @@ class Encoder:
                 best = (i, -2, here[2])
             elif self.model.is_bpe:
                 left = here[1]
-                if self.compatible(-1, piece) and (left < 0 or self.compatible(left, piece)):
+                if left < 0 or self.compatible(left, piece):
                     best = (i, piece, 0.0)
                     break
             else:
@@ -281,35 +312,36 @@ class Encoder:
                 out.extend(self.model.bytes[b] for b in text[start:stop].encode("utf-8", "surrogatepass"))
         return path[0][2]
 
-    def remembered(self, span: str) -> list[int]:
-        if (ids := self.spans.get(span)) is None:
-            if len(self.spans) >= REMEMBERED:
-                self.spans.clear()
-            ids = self.span(span)
-            if len(span) <= 64:
-                self.spans[span] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
         if not text:
-            return []
+            return b""
         text = text.replace(" ", SPACE)
         text = SPACE + text if self.model.dummy_prefix else text
         if not self.space_meets:
-            return self.span(text)
+            return np.array(self.span(text), "<i4").tobytes()
         pattern = _AT_SPACE_OR_LINE if self.newline_meets else _AT_SPACE
-        spans, known, out = pattern.findall(text), self.spans, []
-        for s in spans:
-            ids = known.get(s)
-            out += ids if ids is not None else self.remembered(s)
-        return out
+        return b"".join(map(self.spans.__getitem__, pattern.findall(text)))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
 
 
+_NOTHING: dict = {}
 _AT_SPACE = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _AT_SPACE_OR_LINE = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
 
 def decode(model: Model, ids: list[int]) -> str:
+    """Text of ``ids``; bytes that are no UTF-8 become replacement characters."""
+    text = "".join(map(model.texts.__getitem__, ids))
+    if "\x00" in text:  # marks bytes
+        text = _with_bytes(model, ids)
+    text = text[1:] if model.dummy_prefix and text.startswith(SPACE) else text
+    return text.replace(SPACE, " ")
+
+
+def _with_bytes(model: Model, ids: list[int]) -> str:
     out, raw = [], bytearray()
     for i in ids:
         kind = model.kinds[i]
@@ -323,9 +355,7 @@ def decode(model: Model, ids: list[int]) -> str:
             out.append(model.pieces[i])
     if raw:
         out.append(raw.decode("utf-8", "replace"))
-    text = "".join(out)
-    text = text[1:] if model.dummy_prefix and text.startswith(SPACE) else text
-    return text.replace(SPACE, " ")
+    return "".join(out)
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -349,18 +379,17 @@ def encode_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(shared)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                lot = batch.slice(at, 1000)
-                texts = lot.column(1).to_pylist()
-                found = [None if t is None else np.array(coder.encode(t), "<i4") for t in texts]
-                same = [None if t is None else decode(coder.model, f.tolist()) == t for t, f in zip(texts, found)]
-                hashes = [None if f is None else hashlib.sha256(f.tobytes()).hexdigest() for f in found]
-                sizes = [None if f is None else len(f) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [lot.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(same, pa.bool_())],
-                    ["doc_id", "ids", "n_ids", "ids_sha256", "round_trip"],
-                )
+        for lot in lots(batches):
+            texts = lot.column(1).to_pylist()
+            raw = [None if t is None else coder.encode_bytes(t) for t in texts]
+            found = [None if r is None else np.frombuffer(r, "<i4") for r in raw]
+            same = [None if t is None else decode(coder.model, f.tolist()) == t for t, f in zip(texts, found)]
+            hashes = [None if r is None else hashlib.sha256(r).hexdigest() for r in raw]
+            sizes = [None if f is None else len(f) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [lot.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(same, pa.bool_())],
+                ["doc_id", "ids", "n_ids", "ids_sha256", "round_trip"],
+            )
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -371,7 +400,7 @@ def decode_documents(encoded: DataFrame, model: Model) -> DataFrame:
     schema = f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lots(batches):
             texts = [None if x is None else decode(shared.value, x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
