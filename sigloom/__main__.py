@@ -38,7 +38,7 @@ def main(argv: list[str] | None = None) -> None:
 
     if a.stage == "ingest":
         rows = raw.synthetic(spark) if a.raw == "synthetic" else raw.load(spark, a.raw)
-        counts = ingest.ingest(rows, root)
+        counts = ingest.ingest(rows, root, radar)
         ingest.save_json(spark, counts, f"{root}/results/ingest")
         print(json.dumps(counts))
     elif a.stage == "dsp":

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sigloom.config import FAULTS, FEATURES, Quality, Radar
 from sigloom.functions import faults, signals
 from sigloom.functions.storage import cut
-from sigloom.operators import anomaly, rules
+from sigloom.operators import anomaly, catalog, rules
 from sigloom.operators.order import quantile, roc_auc
 
 METHODS = ("rules", "iforest", "pca", "recon", "rules_or_recon")
@@ -75,19 +75,12 @@ class Detectors:
 
     def measure(self, segments: DataFrame, known: DataFrame | None = None) -> DataFrame:
         """Features, rule statistics, map and duplicate mark of ``segments``; ``known`` hashes count as seen."""
-        features = signals.feature_table(segments, self.radar)
-        stats = signals.rule_table(segments, self.radar)
-        maps = signals.rd_table(segments, self.radar)
         clipped = F.transform("rd_db", lambda v: F.least(F.greatest(v, F.lit(-5.0)), F.lit(60.0)) / 30)
-        hashes = segments.select("segment_id", F.sha1(F.concat_ws(",", F.col("iq_re").cast("array<string>"), F.col("iq_im").cast("array<string>"))).alias("sha1"))
+        measured = signals.measure(segments, self.radar).withColumn("rd_norm", clipped).drop("rd_db")
         if known is None:
-            first = hashes.groupBy("sha1").agg(F.min("segment_id").alias("first"))
-            seen = hashes.join(first, "sha1").select("segment_id", "sha1", (F.col("segment_id") > F.col("first")).cast("double").alias("duplicate"))
-        else:
-            marked = known.select("sha1").distinct().withColumn("hit", F.lit(1.0))
-            seen = hashes.join(marked, "sha1", "left").select("segment_id", "sha1", F.coalesce("hit", F.lit(0.0)).alias("duplicate"))
-        out = features.join(stats, "segment_id").join(maps.select("segment_id", clipped.alias("rd_norm")), "segment_id")
-        return out.join(seen, "segment_id")
+            return catalog.mark_repeats(measured).withColumn("duplicate", F.col("duplicate").cast("double"))
+        marked = known.select("sha1").distinct().withColumn("hit", F.lit(1.0))
+        return measured.join(marked, "sha1", "left").withColumn("duplicate", F.coalesce("hit", F.lit(0.0))).drop("hit")
 
     def score(self, stats: DataFrame) -> DataFrame:
         """(segment_id, rule_flags, rules, iforest, pca, recon)."""
@@ -112,15 +105,13 @@ class Detectors:
 
 def firing_rates(clean: DataFrame, known: DataFrame, radar: Radar, thresholds: dict[str, float], n_per_fault: int = 500, seed: int = 0) -> DataFrame:
     """(fault, rule, rate) of the rules that fire on each injected fault; equal arrays in ``known`` count as seen."""
-    array_hash = F.sha1(F.concat_ws(",", F.col("iq_re").cast("array<string>"), F.col("iq_im").cast("array<string>"))).alias("sha1")
-    seen = known.select(array_hash).distinct().withColumn("duplicate", F.lit(1.0))
+    seen = signals.measure(known, radar, ("sha1",)).select("sha1").distinct().withColumn("duplicate", F.lit(1.0))
     out = []
     for fault in FAULTS:
         picked = faults.pick(clean, fault, n_per_fault, seed)
         picked = faults.with_donors(picked, known) if fault == "duplicate_segment" else picked
-        made = cut(faults.inject(picked, fault, radar, seed), "injected")
-        marks = made.select("segment_id", array_hash).join(seen, "sha1", "left").select("segment_id", F.coalesce("duplicate", F.lit(0.0)).alias("duplicate"))
-        stats = signals.rule_table(made, radar).join(marks, "segment_id")
+        made = signals.measure(faults.inject(picked, fault, radar, seed), radar, ("rules", "sha1"))
+        stats = made.join(seen, "sha1", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(0.0)))
         rates = rules.firing(stats, thresholds).groupBy("rule").agg(F.avg(F.col("fired").cast("double")).alias("rate"))
         out.append(rates.where("rate > 0").select(F.lit(fault).alias("fault"), "rule", F.round("rate", 4).alias("rate")))
     return reduce(DataFrame.unionByName, out)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from sigloom.config import CLASS_GROUPS, FEATURES, Quality, Radar
 from sigloom.functions import signals
 from sigloom.operators import catalog, evaluate, rules, splits
-from sigloom.sources import raw
 
 
 def _write(df: DataFrame, root: str, name: str) -> DataFrame:
@@ -22,11 +21,11 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
 
-def ingest(raw_segments: DataFrame, root: str, seed: int = 0, config: Quality = Quality()) -> dict:
+def ingest(raw_segments: DataFrame, root: str, radar: Radar, seed: int = 0, config: Quality = Quality()) -> dict:
     """Write ``segments_iq``, ``segments_base`` and ``measurements``; returns the counts."""
     spark = raw_segments.sparkSession
     iq = _write(raw_segments.select("segment_id", "iq_re", "iq_im"), root, "segments_iq")
-    hashed = raw_segments.drop("iq_re", "iq_im").join(raw.segment_hashes(iq), "segment_id")
+    hashed = raw_segments.drop("iq_re", "iq_im").join(signals.measure(iq, radar, ("sha1",)), "segment_id")
     base = _write(catalog.sequence_segments(hashed), root, "segments_sequenced")
     measured = catalog.summarise_measurements(base)
     links = catalog.duplicate_links(base)
@@ -53,9 +52,9 @@ def ingest(raw_segments: DataFrame, root: str, seed: int = 0, config: Quality =
 
 def process(spark: SparkSession, root: str, radar: Radar) -> DataFrame:
     """Write ``features`` and ``rd_maps``; returns the features."""
-    iq = read(spark, root, "segments_iq")
-    _write(signals.rd_table(iq, radar), root, "rd_maps")
-    return _write(signals.feature_table(iq, radar), root, "features")
+    measured = _write(signals.measure(read(spark, root, "segments_iq"), radar, ("features", "map")), root, "measured")
+    _write(measured.select("segment_id", "rd_db"), root, "rd_maps")
+    return _write(measured.drop("rd_db"), root, "features")
 
 
 def assess(spark: SparkSession, root: str, radar: Radar, n_per_fault: int = 500, seed: int = 0, config: Quality = Quality(), trees: int = 300) -> DataFrame:

@@ -47,10 +47,13 @@ def _rounded(df: DataFrame, names, places: int | None = None) -> DataFrame:
 
 def _stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Signals' catalogue rows, and their rule statistics with the duplicate mark."""
-    segments = A.vector_signals(spark, sf_dir)
-    hashed = segments.select("segment_id", F.sha1(F.concat_ws(",", F.col("iq_re").cast("array<string>"), F.col("iq_im").cast("array<string>"))).alias("sha1"))
-    marks = catalog.mark_repeats(hashed).select("segment_id", F.col("duplicate").cast("double").alias("duplicate"))
-    return segments, cut(signals.rule_table(segments, SMALL).join(marks, "segment_id"), "stats")
+    measured = signals.measure(A.vector_arrays(spark, sf_dir), SMALL, ("rules", "sha1"))
+    marked = catalog.mark_repeats(measured).withColumn("duplicate", F.col("duplicate").cast("double")).drop("sha1")
+    return A.vector_catalog(spark, sf_dir), cut(marked, "stats")
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.feature_table(A.vector_arrays(spark, sf_dir), SMALL)
 
 
 def _thresholds(segments: DataFrame, stats: DataFrame) -> dict[str, float]:
@@ -60,8 +63,7 @@ def _thresholds(segments: DataFrame, stats: DataFrame) -> dict[str, float]:
 
 @query
 def snr_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = A.vector_signals(spark, sf_dir)
-    joined = segments.drop("iq_re", "iq_im").join(signals.feature_table(segments, SMALL), "segment_id")
+    joined = A.vector_catalog(spark, sf_dir).join(_features(spark, sf_dir), "segment_id")
     return run_sql(spark, SQL_DIR / "snr_by_class.sql", {"segments": joined})
 
 
@@ -69,7 +71,7 @@ def snr_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_flags_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, stats = _stats(spark, sf_dir)
     ruled = rules.apply(stats, _thresholds(segments, stats)).select("segment_id", "rule_flags")
-    joined = segments.drop("iq_re", "iq_im").join(ruled, "segment_id").join(signals.feature_table(segments, SMALL), "segment_id")
+    joined = segments.join(ruled, "segment_id").join(_features(spark, sf_dir), "segment_id")
     return run_sql(spark, SQL_DIR / "quality_flags_per_class.sql", {"segments": rules.quality_flags(joined)})
 
 
@@ -206,7 +208,7 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spectra(spark: SparkSession, sf_dir: str, kernel, schema: str) -> DataFrame:
     """Rows that ``kernel`` makes of each segment's samples, as columns after the id."""
-    return signals.rows_of(A.vector_signals(spark, sf_dir), kernel, schema, SMALL)
+    return signals.rows_of(A.vector_arrays(spark, sf_dir), kernel, schema, SMALL)
 
 
 @query
@@ -224,7 +226,7 @@ def dft_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     kernel = lambda x, radar: {"noise_floor": signals.floor_of(signals.power_spectrum(x))}
-    return _rounded(signals.over_segments(A.vector_signals(spark, sf_dir), kernel, ("noise_floor",), SMALL), ["noise_floor"], 9)
+    return _rounded(signals.over_segments(A.vector_arrays(spark, sf_dir), kernel, ("noise_floor",), SMALL), ["noise_floor"], 9)
 
 
 @query
@@ -233,7 +235,7 @@ def cfar_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         hit, threshold = signals.cfar(signals.power_spectrum(x)[:, radar.centre], radar)
         return {"detections": hit.sum(axis=1).astype(float), "threshold_sum": threshold.sum(axis=1)}
 
-    found = signals.over_segments(A.vector_signals(spark, sf_dir), kernel, ("detections", "threshold_sum"), SMALL)
+    found = signals.over_segments(A.vector_arrays(spark, sf_dir), kernel, ("detections", "threshold_sum"), SMALL)
     return found.select("segment_id", F.col("detections").cast("bigint").alias("detections"), F.round("threshold_sum", 6).alias("threshold_sum"))
 
 
@@ -250,13 +252,13 @@ def stft_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def segment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(signals.feature_table(A.vector_signals(spark, sf_dir), SMALL), FEATURES)
+    return _rounded(_features(spark, sf_dir), FEATURES)
 
 
 @query
 def feature_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = A.vector_signals(spark, sf_dir)
-    joined = segments.select("segment_id", catalog.class_group(F.col("label")).alias("class_group")).join(signals.feature_table(segments, SMALL), "segment_id")
+    groups = A.vector_catalog(spark, sf_dir).select("segment_id", catalog.class_group(F.col("label")).alias("class_group"))
+    joined = groups.join(_features(spark, sf_dir), "segment_id")
     long = joined.select("class_group", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES))).alias("v"))
     found = order.quantiles(long.select("class_group", "v.feature", "v.value"), ["class_group", "feature"], "value", {"median": 0.5})
     wide = found.groupBy("class_group").pivot("feature", list(FEATURES)).agg(F.first("median"))
@@ -270,7 +272,7 @@ def rd_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
         level = signals.normalise(signals.decibel(p) - signals.decibel(signals.floor_of(p))[:, None, None])
         return {"mean_level": level.mean(axis=(1, 2))}
 
-    return _rounded(signals.over_segments(A.vector_signals(spark, sf_dir), kernel, ("mean_level",), SMALL), ["mean_level"])
+    return _rounded(signals.over_segments(A.vector_arrays(spark, sf_dir), kernel, ("mean_level",), SMALL), ["mean_level"])
 
 
 @query
@@ -323,11 +325,8 @@ def rule_flags_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def group_exemplar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segment of each class group whose signal-to-noise ratio is nearest to the group's median."""
-    segments = A.vector_signals(spark, sf_dir)
-    table = signals.feature_table(segments, SMALL).select("segment_id", "snr_db").join(
-        segments.select("segment_id", catalog.class_group(F.col("label")).alias("class_group")), "segment_id"
-    )
-    table = cut(table, "snr")
+    groups = A.vector_catalog(spark, sf_dir).select("segment_id", catalog.class_group(F.col("label")).alias("class_group"))
+    table = cut(_features(spark, sf_dir).select("segment_id", "snr_db").join(groups, "segment_id"), "snr")
     medians = order.quantiles(table, ["class_group"], "snr_db", {"median": 0.5})
     off = F.round(F.abs(F.col("snr_db") - F.col("median")), 6)
     return table.join(medians, "class_group").groupBy("class_group").agg(F.min_by("segment_id", F.struct(off, "segment_id")).alias("segment_id"))
@@ -336,7 +335,7 @@ def group_exemplar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rules_firing_per_fault(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = cut(A.vector_signals(spark, sf_dir), "signals")
-    _, stats = _stats(spark, sf_dir)
+    stats = _stats(spark, sf_dir)[1]
     return evaluate.firing_rates(segments.where("edge_flag = 0 and split_grouped = 3"), segments, SMALL, _thresholds(segments, stats))
 
 
@@ -349,7 +348,7 @@ def grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _injection(fault: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        segments = A.vector_signals(spark, sf_dir)
+        segments = A.vector_arrays(spark, sf_dir)
         rows = faults.with_donors(segments, segments) if fault == "duplicate_segment" else segments
         made = faults.inject(rows, fault, SMALL)
         size = lambda c: F.aggregate(c, F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double") * v.cast("double"))
@@ -365,21 +364,21 @@ for _fault in FAULTS:
 
 @query
 def pca_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = cut(signals.feature_table(A.vector_signals(spark, sf_dir), SMALL), "features")
+    table = cut(_features(spark, sf_dir), "features")
     model = anomaly.fit_components(table.select(*FEATURES))
     return anomaly.score_rows(table, "segment_id", "pca_error", model.error)
 
 
 @query
 def iforest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = cut(signals.feature_table(A.vector_signals(spark, sf_dir), SMALL), "features")
+    table = cut(_features(spark, sf_dir), "features")
     model = anomaly.fit_forest(table, "segment_id")
     return anomaly.score_rows(table, "segment_id", "iforest", model.score)
 
 
 @query
 def recon_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = cut(signals.rd_table(A.vector_signals(spark, sf_dir), SMALL), "maps")
+    maps = cut(signals.rd_table(A.vector_arrays(spark, sf_dir), SMALL), "maps")
     model = anomaly.fit_components(maps.select("rd_db"), k=32, squeeze=False, scale=False)
     return anomaly.score_rows(maps.select("segment_id", "rd_db"), "segment_id", "recon_error", model.error)
 
@@ -392,15 +391,14 @@ def fault_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def classifier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = A.vector_signals(spark, sf_dir)
-    table = signals.feature_table(segments, SMALL).join(segments.select("segment_id", "label", "paper_split", "split_grouped"), "segment_id")
+    known = A.vector_catalog(spark, sf_dir).select("segment_id", "label", "edge_flag", "paper_split", "split_grouped")
+    table = _features(spark, sf_dir).join(known, "segment_id")
     return classify.experiments(cut(table.withColumn("class_group", catalog.class_group(F.col("label"))), "training"), FEATURES)
 
 
 @query
 def export_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = A.vector_signals(spark, sf_dir)
-    rows = segments.drop("iq_re", "iq_im").join(signals.rd_table(segments, SMALL), "segment_id")
+    rows = A.vector_catalog(spark, sf_dir).join(signals.rd_table(A.vector_arrays(spark, sf_dir), SMALL), "segment_id")
     spec = {"name": "rd_clean", "version": "1.0", "description": "clean segments", "filters": {"edge_flag": 0}}
     path = fresh_path(spark, "export")
     export.export(rows, spec, path, source="embeddings")

@@ -84,21 +84,27 @@ def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.sequence_segments(raw)
 
 
-def vector_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten consecutive vectors as a segment of five complex cells of 64 samples.
+def vector_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten consecutive vectors as a segment of five complex cells of 64 samples: (segment_id, iq_re, iq_im).
 
     Cell c of segment i has vector 10 i + 2 c as its real and the next one as its
     imaginary part. An incomplete last segment is left out.
     """
-    number = F.col("vec_id") % 10
-    packed = table(spark, sf_dir, "embeddings").groupBy((F.col("vec_id") / 10).cast("long").alias("segment_id")).agg(
-        F.array_sort(F.collect_list(F.struct(number.alias("k"), "embedding", F.col("label").alias("l")))).alias("v")  # ten rows
+    packed = table(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 10").alias("segment_id")).agg(
+        F.array_sort(F.collect_list(F.struct((F.col("vec_id") % 10).alias("k"), "embedding"))).alias("v")  # ten rows
     )
     part = lambda odd: F.flatten(F.transform(F.filter("v", lambda x: x["k"] % 2 == odd), lambda x: x["embedding"]))
-    first = F.element_at("v", 1)["l"]
+    return packed.where(F.size("v") == 10).select("segment_id", part(0).alias("iq_re"), part(1).alias("iq_im"))
+
+
+def vector_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue rows of the segments of ``vector_arrays``, from ids and labels alone: vectors are not read."""
     names = F.array(*(F.lit(x) for x in ("D1", "D2", "D3", "D4", "D5", "D6", "seagull", "human_walk", "CR", "heron")))
-    i = F.col("segment_id")
-    raw = packed.where(F.size("v") == 10).select(
+    i, first = F.col("segment_id"), F.col("first")
+    sized = table(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 10").alias("segment_id")).agg(
+        F.count("*").alias("n"), F.min_by("label", "vec_id").alias("first")
+    )
+    raw = sized.where("n = 10").select(
         "segment_id",
         (2 * first + i % 2).cast("long").alias("measurement_id"),
         F.get(names, first).alias("label"),
@@ -106,7 +112,10 @@ def vector_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 11 == 0).cast("int").alias("edge_flag"),
         split_code(i).alias("paper_split"),
         split_code(2 * first + i % 2).alias("split_grouped"),
-        part(0).alias("iq_re"),
-        part(1).alias("iq_im"),
     )
     return catalog.sequence_segments(raw)
+
+
+def vector_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue rows with their arrays; the arrays stay where their packing has put them."""
+    return vector_catalog(spark, sf_dir).join(vector_arrays(spark, sf_dir), "segment_id")

@@ -9,7 +9,6 @@ large collections are kept as many files; a row of its output is a segment.
 from __future__ import annotations
 
 import glob
-import hashlib
 import os
 from collections.abc import Iterator
 
@@ -91,18 +90,6 @@ def file_md5(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"))
 
 
-def segment_hashes(segments: DataFrame) -> DataFrame:
-    """(segment_id, sha1) over the samples as interleaved 32-bit complex numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            out = [hashlib.sha1((np.array(re, np.float32) + 1j * np.array(im, np.float32)).astype(np.complex64).tobytes()).hexdigest() for re, im in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["segment_id", "sha1"])
-
-    return segments.select("segment_id", "iq_re", "iq_im").mapInArrow(run, "segment_id long, sha1 string")
-
-
 def _target(label: str, rng: np.random.Generator, t: np.ndarray) -> np.ndarray:
     """Return of the target alone: rotor lines, wing beats, limbs, or a still reflector."""
     turn = lambda hz: np.exp(2j * np.pi * hz * t)

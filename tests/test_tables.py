@@ -127,7 +127,7 @@ def test_metrics(spark):
 @pytest.fixture(scope="module")
 def staged(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("engine"))
-    counts = ingest.ingest(raw.synthetic(spark, radar=SMALL), root)
+    counts = ingest.ingest(raw.synthetic(spark, radar=SMALL), root, SMALL)
     ingest.process(spark, root, SMALL)
     table = ingest.assess(spark, root, SMALL, n_per_fault=20, trees=40)
     return root, counts, table
