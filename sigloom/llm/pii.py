@@ -14,8 +14,6 @@ columns are ignored. Very long texts are scanned whole.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,7 +145,10 @@ def redact(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     Overlapping spans are replaced as one, named after the one that begins first. A null
     text stays null. Texts without spans stay as they are.
     """
-    found = find(docs)
+    own = docs.columns
+    inner = [f"__own{i}" for i in range(len(own))]  # so that no name of a table can clash
+    text = inner[own.index("text")]
+    found = find(docs.toDF(*inner), text)
     chosen = F.array_sort(
         F.transform(F.filter("pii", lambda s: s["score"] >= least_score), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")))
     )
@@ -155,13 +156,16 @@ def redact(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        piece = F.substring("text", acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        piece = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         out = F.when(fresh, F.concat(acc["out"], F.array(piece, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), out.alias("out"))
 
     def close(acc: Column) -> Column:
-        return F.array_join(F.concat(acc["out"], F.array(F.substring("text", acc["at"] + 1, F.length("text")))), "")
-
-    hidden = found.withColumn("text", F.when(F.size("pii") > 0, F.aggregate(chosen, start, step, close)).otherwise(F.col("text")))
-    changed = {"n_chars": F.when(F.size("pii") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return reduce(lambda d, c: d.withColumn(c, changed[c]), changed, hidden).select(*(F.col(f"`{c}`") for c in docs.columns))
+        return F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), "")
+
+    hit = F.size("pii") > 0
+    hidden = found.withColumn(text, F.when(hit, F.aggregate(chosen, start, step, close)).otherwise(F.col(text)))
+    if "n_chars" in own:
+        n = inner[own.index("n_chars")]
+        hidden = hidden.withColumn(n, F.when(hit, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return hidden.select(*inner).toDF(*own)
