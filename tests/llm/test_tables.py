@@ -35,20 +35,32 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def plain_components(prints, radius=3):
-    parent = list(range(len(prints)))
+def joined(n, links):
+    parent = list(range(n))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i in range(len(prints)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= radius:
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
-    return [find(i) for i in range(len(prints))]
+    for i, j in links:
+        a, b = sorted((find(i), find(j)))
+        parent[b] = a
+    return [find(i) for i in range(n)]
+
+
+def plain_links(prints, radius=3):
+    return [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= radius]
+
+
+def plain_components(prints, radius=3):
+    return joined(len(prints), plain_links(prints, radius))
+
+
+def alike(texts):
+    """Pairs whose sets of 5-word shingles are 0.8 alike."""
+    sets = [shingles("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))[1] for t in texts]
+    return [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
 
 
 def near_copies(rng):
@@ -70,22 +82,27 @@ def test_near_duplicates_against_all_pairs(spark, part):
     assert [found[i]["component_id"] for i in range(len(texts))] == plain_components(prints)
 
 
+@pytest.mark.parametrize("words", [1, 3])
 @pytest.mark.parametrize("radius", [0, 1, 2, 3, 5, 7])
-def test_bit_planes_against_popcounts(radius):
+def test_bit_planes_against_popcounts(radius, words):
     rng = np.random.default_rng(radius)
-    base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
-    flips = np.array([[1 << int(b) for b in rng.choice(64, 6, replace=False)] for _ in range(200)], dtype=object)
-    values = np.array([int(base[i % 12]) ^ sum(int(f) for f in flips[i][: rng.integers(0, 7)]) for i in range(200)], dtype=np.uint64)
+    base = [int.from_bytes(rng.bytes(8 * words), "big") for _ in range(12)]
+    values = [base[i % 12] ^ sum(1 << int(b) for b in rng.choice(64 * words, rng.integers(0, 7), replace=False)) for i in range(200)]
+    table = np.array([list(np.frombuffer(v.to_bytes(8 * words, "big"), ">u8")) for v in values], np.uint64)
     runs = np.sort(rng.integers(0, 5, 200))
-    got = np.arange(200)
-    for a, b in simhash.links_within(values, runs, radius):
-        got[a] = b
-    want = np.arange(200)
-    for run in set(runs):
-        at = np.flatnonzero(runs == run)
-        for i, r in zip(at, plain_components([int(v) for v in values[at]], radius)):
-            want[i] = at[r]
-    assert (got == want).all()
+    want = [(i, j) for i, j in plain_links(values, radius) if runs[i] == runs[j]]
+    for radii in ((radius,), (radius // 2, radius)):
+        pairs = links_of(table, runs, *radii)
+        assert set(pairs) <= set(want) and joined(200, pairs) == joined(200, want)
+        assert len(pairs) == 200 - len(set(joined(200, want)))
+    roots = np.arange(200) // 3
+    known = [(i, j) for i in range(200) for j in range(i) if runs[i] == runs[j] and roots[i] == roots[j]]
+    pairs = links_of(table, runs, radius, roots=roots)
+    assert joined(200, pairs + known) == joined(200, want + known)
+
+
+def links_of(table, runs, *radii, roots=None):
+    return [(int(b), int(a)) for a, b in simhash.links_within(table, runs, *radii, roots=roots)]
 
 
 def test_links_are_found_through_any_two_blocks(spark):
@@ -101,16 +118,40 @@ def test_links_are_found_through_any_two_blocks(spark):
 
 
 def test_one_of_each_group_stays(spark):
-    texts = near_copies(random.Random(2))
+    rng = random.Random(2)
+    texts = near_copies(rng)
+    wider = prose(rng, 80).split()
+    texts += [" ".join(wider), " ".join(wider[:20] + ["other"] + wider[21:]), " ".join(wider[3:]), " ".join(wider[40:])]
     rows = docs(spark, texts).withColumn("fp", F.lit("clash")).withColumn("component_id", F.lit(1))
     kept = simhash.keep_one(rows.unionByName(rows.where("doc_id = 3")).unionByName(rows.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long"))))
     assert kept.columns == rows.columns
-    want = sorted(set(plain_components([plain_fingerprint(t) for t in texts])))
+    links = plain_links([plain_fingerprint(t) for t in texts])
+    want = sorted(set(joined(len(texts), links + alike(texts))))
+    assert len(want) < len(set(joined(len(texts), links)))
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == want
     assert kept.where("doc_id is null").count() == 1
     assert simhash.keep_one(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("part", [simhash.PART, 6])
+def test_near_copies_against_all_pairs(spark, part):
+    """Texts of 8 words and up, edited; no more and no less is linked than shingle sets and fingerprints say."""
+    rng = random.Random(7)
+    texts = list(ODD)
+    for n in (8, 12, 30, 100, 400):
+        for _ in range(6):
+            first = prose(rng, n).split()
+            texts.append(" ".join(first))
+            for edits in (1, max(1, n // 40), max(1, n // 15), n // 6):
+                words = list(first)
+                for _ in range(edits):
+                    words[rng.randrange(n)] = rng.choice(["other", "Words", "here"])
+                texts.append(" ".join(words))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, texts).repartition(5), part).collect()}
+    want = joined(len(texts), plain_links([plain_fingerprint(t) for t in texts]) + alike(texts))
+    assert [found[i] for i in range(len(texts))] == want
+
+
 # --- decontamination
 
 
