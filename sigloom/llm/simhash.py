@@ -10,8 +10,9 @@ compared as bit planes; the links found are contracted to components.
 lie further apart than a block table of 64 bits can reach. Distinct texts carry a second
 SimHash of ``WIDE`` bits over distinct 5-word shingles and meet in buckets of MinHash
 bands. There the same bit planes propose pairs that span what lies within
-``WIDE_RADII``, closest first and only between texts not yet in one component, so their
-number grows with the texts; exact shingle sets then verify each pair.
+``WIDE_RADII``, and exact shingle sets verify each pair. Only verified links join texts:
+where a pair was refuted, its buckets are compared again without it, and with more pairs
+a text each time, until every pair within the last radius is joined or refuted.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero and
 link like any other. Texts with fewer words than a shingle count as one shingle.
@@ -125,7 +126,9 @@ def _lanes(flags: np.ndarray) -> np.ndarray:
     return np.packbits(padded, bitorder="little").view("<u8")
 
 
-def links_within(values: np.ndarray, runs: np.ndarray, *radii: int, roots: np.ndarray | None = None) -> np.ndarray:
+def links_within(
+    values: np.ndarray, runs: np.ndarray, *radii: int, roots: np.ndarray | None = None, refuted: np.ndarray | None = None, spare: int = 0
+) -> np.ndarray:
     """Position pairs, one row each, that join all values of a run linked at the last of ``radii`` bits.
 
     ``values`` have one or more words each and are sorted by ``runs``. For each shift d
@@ -133,16 +136,19 @@ def links_within(values: np.ndarray, runs: np.ndarray, *radii: int, roots: np.nd
     and words whose lanes have all passed the radius are left out of the remaining planes.
     Each pair given lies within a radius itself and joins what was apart: pairs within an
     earlier radius come first, and values of a run with equal ``roots`` count as joined.
+    Pairs ``refuted`` (i * n + j of positions i < j) are neither given nor do they join.
+    Up to ``spare`` pairs a value are given beyond those that join, unless its ``roots`` do.
     """
     n = len(values)
     planes = _planes(values)
     starts = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
     longest = int(np.diff(np.r_[starts, n]).max(initial=1))
     step = max(8, len(planes) // 16)  # planes added up before lanes beyond the radius are left out
-    parent, found = np.arange(n), []
+    parent, found, seen, extra = np.arange(n), [], set(), np.zeros(n, np.int64)
     if roots is not None:
         _, first, place = np.unique(np.stack([runs, roots], axis=1), axis=0, return_index=True, return_inverse=True)
         parent = first[place.ravel()]
+    known = up = parent.copy()
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -155,6 +161,8 @@ def links_within(values: np.ndarray, runs: np.ndarray, *radii: int, roots: np.nd
         start = (1 << digits) - 1 - radius  # so that the counter overflows just beyond the radius
         near = np.zeros(n, bool)
         near[: n - d] = runs[: n - d] == runs[d:]
+        apart = known if spare else up
+        near[: n - d] &= apart[: n - d] != apart[d:]
         wanted = _lanes(near)
         at = np.flatnonzero(wanted)
         other = _shifted(planes, d)
@@ -183,46 +191,67 @@ def links_within(values: np.ndarray, runs: np.ndarray, *radii: int, roots: np.nd
         bits = np.unpackbits((~beyond).astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
         word, bit = np.nonzero(bits)
         left = at[word] * 64 + bit
+        left = left[apart[left] != apart[left + d]]
+        if refuted is not None:
+            left = left[~np.isin(left * n + left + d, refuted)]
+        if spare:
+            left = left[(up[left] != up[left + d]) | ((extra[left] < spare) & (extra[left + d] < spare))]
+        for i in left.tolist():
+            a, b_ = root(i), root(i + d)
+            if a != b_:
+                parent[max(a, b_)] = min(a, b_)
+            elif (i, d) in seen or max(extra[i], extra[i + d]) >= spare:
+                continue
+            else:
+                extra[[i, i + d]] += 1
+            seen.add((i, d))
+            found.append((i, i + d))
         up = parent
         while (flat := up[up]).tobytes() != up.tobytes():
             up = flat
         parent = up.copy()
-        for i in left[parent[left] != parent[left + d]].tolist():
-            a, b_ = root(i), root(i + d)
-            if a != b_:
-                parent[max(a, b_)] = min(a, b_)
-                found.append((i, i + d))
     return np.array(found, np.int64).reshape(-1, 2)
 
 
-def _link_stream(radii: tuple[int, ...]):
-    """From rows (t, k, i, j, node[, root, wide]) sorted by the first four: links between nodes, by ``wide`` or else themselves."""
+def _link_stream(radii: tuple[int, ...], spare: int = 0):
+    """From rows (t, k, i, j, node[, root, wide, refuted]) sorted by the first four: links between nodes, by ``wide`` or else themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        kept, kept_wrong = None, []
         for batch in _and_none(batches):
             if batch is not None:
                 rows = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:6]]
                 rows = np.stack(rows + (_words(batch.column(6)) if batch.num_columns > 6 else []))
-                rows = rows if kept is None else np.concatenate([kept, rows], axis=1)
+                wrong = batch.column(7).to_pylist() if batch.num_columns > 7 else [None] * rows.shape[1]
+                rows, wrong = rows if kept is None else np.concatenate([kept, rows], axis=1), kept_wrong + wrong
                 if not rows.shape[1]:
                     continue
                 last = (rows[:4] == rows[:4, -1:]).all(axis=0)
                 done = rows.shape[1] - int(last.sum())  # the last bucket may go on in the next batch
-                rows, kept = rows[:, :done], rows[:, done:]
+                rows, kept, wrong, kept_wrong = rows[:, :done], rows[:, done:], wrong[:done], wrong[done:]
             else:
-                rows, kept = kept, None
+                rows, kept, wrong = kept, None, kept_wrong
             if rows is None or rows.shape[1] < 2:
                 continue
-            new = np.r_[True, (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)]
+            runs = np.cumsum(np.r_[True, (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)])
             node, roots = rows[4], rows[5] if len(rows) > 5 else None
             values = np.ascontiguousarray(rows[4:5].T if roots is None else rows[6:].T).view(np.uint64)
-            pairs = links_within(values, np.cumsum(new), *radii, roots=roots)
-            yield pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["a", "b"])
+            pairs = node[links_within(values, runs, *radii, roots=roots, refuted=_places(runs, node, wrong), spare=spare)]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
 
     return run
 
 
+def _places(runs: np.ndarray, node: np.ndarray, wrong: list[list[int] | None]) -> np.ndarray | None:
+    """i * n + j of the positions i < j of each node of ``wrong`` and one of its refuted partners in the same run."""
+    n, named = len(node), [i for i, w in enumerate(wrong) if w]
+    if not named:
+        return None
+    place = {key: i for i, key in enumerate(zip(runs.tolist(), node.tolist()))}
+    met = ((i, place.get((int(runs[i]), w))) for i in named for w in wrong[i])
+    return np.array([min(i, j) * n + max(i, j) for i, j in met if j is not None], np.int64)
+
+
 def _words(column: pa.Array) -> list[np.ndarray]:
     """The second fingerprints of a batch, one array per word."""
     return list(np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(len(column), -1).T)
@@ -253,8 +282,8 @@ def links(classes: DataFrame, radius: int = 3, part: int = PART) -> DataFrame:
     return _compared(dealt.select("t", "k", "count", F.xxhash64("fp").alias("own"), "fp"), (radius,), part)
 
 
-def _compared(rows: DataFrame, radii: tuple[int, ...], part: int) -> DataFrame:
-    """Links of rows (t, k, count, own, node[, root, wide]): buckets of over ``part`` rows are dealt out by ``own``."""
+def _compared(rows: DataFrame, radii: tuple[int, ...], part: int, spare: int = 0) -> DataFrame:
+    """Links of rows (t, k, count, own, node[, root, wide, refuted]): buckets of over ``part`` rows are dealt out by ``own``."""
     parts = F.ceil(F.coalesce("count", F.lit(1)) / part).cast("int")
     dealt = rows.withColumn("own", F.pmod(F.col("own"), parts).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -262,7 +291,7 @@ def _compared(rows: DataFrame, radii: tuple[int, ...], part: int) -> DataFrame:
     dealt = dealt.select("t", "k", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), *values)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
-    return dealt.mapInArrow(_link_stream(radii), "a long, b long").distinct()
+    return dealt.mapInArrow(_link_stream(radii, spare), "a long, b long").distinct()
 
 
 def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
@@ -328,32 +357,46 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(tids), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["tid", "shingles"])
 
 
-def proposed(texts: DataFrame, roots: DataFrame, part: int = PART) -> DataFrame:
-    """Pairs (a, b) of ``tid`` that share a band and span what lies within ``WIDE_RADII`` bits.
+def proposed(texts: DataFrame, keyed: DataFrame, refuted: DataFrame | None = None, spare: int = 0, part: int = PART) -> DataFrame:
+    """Pairs (a, b) of ``tid`` that share a band of ``keyed`` (tid, root, t, k) and span what lies within ``WIDE_RADII`` bits.
 
-    Texts that ``roots`` (node, root) has in one component are not compared, so a dense
-    group of near copies, of whatever size, proposes nothing within itself.
+    Texts of one ``root`` are not compared, so a dense group of near copies, of whatever
+    size, proposes nothing within itself. ``refuted`` (a, b) are left out; ``spare`` as in
+    ``links_within``.
     """
-    rooted = texts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    keyed = rooted.select("tid", F.coalesce("root", "fp").alias("root"), F.posexplode("bands").alias("t", "k"))
-    keyed = cut(keyed, "simhash-bands")
     buckets = keyed.groupBy("t", "k").agg(F.count("*").alias("count"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     met = keyed.join(buckets.where("lo != hi").select("t", "k", "count"), ["t", "k"])
     met = met.join(texts.select("tid", "wide"), "tid")
-    return _compared(met.select("t", "k", "count", F.xxhash64("tid").alias("own"), "tid", "root", "wide"), WIDE_RADII, part)
+    values = [F.xxhash64("tid").alias("own"), "tid", "root", "wide"]
+    if refuted is not None:
+        met = met.join(refuted.groupBy(F.col("a").alias("tid")).agg(F.collect_list("b").alias("refuted")), "tid", "left")
+        values.append("refuted")
+    return _compared(met.select("t", "k", "count", *values), WIDE_RADII, part, spare)
 
 
-def similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The rows of ``pairs`` whose sets of shingles are at least ``threshold`` alike; only their texts are read again."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
+def shingle_sets(docs: DataFrame, texts: DataFrame, named: DataFrame) -> DataFrame:
+    """(tid, s): the sets of shingles of the texts ``named``; only these are read again."""
     wanted = cut(named.join(texts.select("tid", "rep"), "tid").select(F.col("rep").alias("doc_id")).distinct(), "simhash-again")
     again = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
     sets = again.select("text").mapInArrow(_sets, "tid long, shingles array<long>")
-    sets = cut(sets.groupBy("tid").agg(F.first("shingles").alias("s")), "simhash-sets")
+    return cut(sets.groupBy("tid").agg(F.first("shingles").alias("s")), "simhash-sets")
+
+
+def similar(sets: DataFrame, pairs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """``pairs`` with ``real``: whether their sets of shingles are at least ``threshold`` alike."""
     both = pairs.join(sets.select(F.col("tid").alias("a"), F.col("s").alias("sa")), "a")
     both = both.join(sets.select(F.col("tid").alias("b"), F.col("s").alias("sb")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("of"))
-    return shared.where(F.col("n") >= F.lit(threshold) * (F.col("of") - F.col("n")) - 1e-9).select("a", "b")
+    return shared.select("a", "b", (F.col("n") >= F.lit(threshold) * (F.col("of") - F.col("n")) - 1e-9).alias("real"))
+
+
+def _contracted(roots: DataFrame, near: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after the links ``near`` (a, b) between nodes; the components of roots alone are sought."""
+    for end in ("a", "b"):
+        near = near.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    moved = connected_components(near.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    again = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    return cut(again.select("node", F.coalesce("to", "root").alias("root")).union(moved.join(roots, "node", "left_anti")), "simhash-roots")
 
 
 def near_duplicates(
@@ -379,11 +422,26 @@ def near_copies(docs: DataFrame, part: int = PART) -> DataFrame:
     roots = cut(connected_components(links(classes, part=part)), "simhash-roots")
     once = [F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("wide").alias("wide")]
     texts = cut(prints.where("doc_id is not null").groupBy("tid").agg(*once), "simhash-texts")
-    near = similar(docs, texts, cut(proposed(texts, roots, part), "simhash-pairs"))
-    for end in ("a", "b"):
-        near = near.join(texts.select(F.col("tid").alias(end), F.col("fp").alias(f"fp_{end}")), end)
-    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(near.select("fp_a", "fp_b"))
-    return _grouped(prints, classes, connected_components(edges))
+    rooted = texts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    keyed = cut(rooted.select("tid", "fp", F.coalesce("root", "fp").alias("root"), F.posexplode("bands").alias("t", "k")), "simhash-bands")
+    refuted, sets, spare = None, None, 0
+    while True:
+        pairs = cut(proposed(texts, keyed, refuted, spare, part), "simhash-pairs")
+        if spare < 2:  # texts of later rounds are among those of the second
+            sets = shingle_sets(docs, texts, pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct() if not spare else keyed.select("tid").distinct())
+        judged = cut(similar(sets, pairs), "simhash-judged")
+        near, wrong = judged.where("real").select("a", "b"), judged.where("not real").select("a", "b")
+        for end in ("a", "b"):
+            near = near.join(texts.select(F.col("tid").alias(end), F.col("fp").alias(f"fp_{end}")), end)
+        roots = _contracted(roots, near.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
+        if not wrong.limit(1).count():  # what was proposed spans all buckets, and all of it is real
+            return _grouped(prints, classes, roots)
+        refuted = wrong if refuted is None else refuted.union(wrong)
+        ends = [keyed.join(wrong.select(F.col(x).alias("tid"), "a", "b"), "tid").select("t", "k", "a", "b") for x in ("a", "b")]
+        still = ends[0].intersect(ends[1]).select("t", "k").distinct()
+        keyed = keyed.drop("root").join(still, ["t", "k"], "left_semi").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+        keyed = cut(keyed.select("tid", "fp", F.coalesce("root", "fp").alias("root"), "t", "k"), "simhash-bands")
+        spare = 2 * spare + 1
 
 
 def _classes(prints: DataFrame) -> DataFrame:

@@ -152,6 +152,29 @@ def test_near_copies_against_all_pairs(spark, part):
     assert [found[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("part", [simhash.PART, 16])
+def test_false_proposals_use_up_no_join(spark, part):
+    """Large families whose outsider is 0.8 alike to three members and slightly less to all others."""
+    rng = random.Random(11)
+    texts = []
+    for f in range(5):
+        first = prose(rng, 200).split()
+        edited = lambda *places, first=first: " ".join(f"e{f}x{i}" if i in places else w for i, w in enumerate(first))
+        texts += [edited(20 + 4 * i) for i in range(40)] + [edited(0), edited(199), edited(0, 199), edited(10, 50, 90, 130)]
+    rng.shuffle(texts)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, texts).repartition(3), part).collect()}
+    want = joined(len(texts), plain_links([plain_fingerprint(t) for t in texts]) + alike(texts))
+    assert [found[i] for i in range(len(texts))] == want and len(set(want)) == 5
+
+
+def test_refuted_pairs_are_left_out_and_spare_pairs_given():
+    values, runs = np.zeros((6, 1), np.uint64), np.array([0, 0, 0, 0, 0, 1])
+    refuted = np.array([i * 6 + j for i in range(4) for j in range(i + 1, 4)])
+    assert set(map(tuple, simhash.links_within(values, runs, 0, refuted=refuted).tolist())) == {(i, 4) for i in range(4)}
+    every = simhash.links_within(values, runs, 0, 1, roots=np.array([0, 0, 2, 3, 4, 5]), spare=9).tolist()
+    assert sorted(every) == [[i, j] for i in range(5) for j in range(i + 1, 5) if (i, j) != (0, 1)]
+
+
 # --- decontamination
 
 
