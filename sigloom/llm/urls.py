@@ -7,9 +7,9 @@ precedence: an explicit allow rule wins for its own url, and a component that ha
 allowed url is not blocked through another one.
 
 A node of the link graph is host plus path: scheme, query and fragment make no
-difference. Edge cases: a null url or one without ``://`` has an empty host and path, no
-rule, no aliases, and is allowed. Relative link targets are read against the page's
-host. Rows with null or repeated ids are judged one by one; extra columns are ignored.
+difference. A page's canonical link and its refresh are an edge each. Edge cases: a null
+url or one without ``://`` has an empty host and path, no rule, no aliases, and is
+allowed. Relative link targets are read against the page's host and folder. Rows with null or repeated ids are judged one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ RULES = (
 )
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+_ABSOLUTE = r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 _CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b[^>]*http-equiv\s*=\s*["']?refresh\b[^>]*?url\s*=\s*["']?([^"'\s>]+)"""
@@ -55,19 +57,44 @@ def fitting(host_: Column, path_: Column, rules=RULES) -> Column:
     return out
 
 
-def link_target(html: Column, url: Column) -> Column:
-    """Host plus path that a page's canonical link or refresh points to; null if it has neither."""
+def _without_dots(path_: Column) -> Column:
+    """``path_`` with its segments ``.`` and ``..`` carried out; those beyond the root have no effect."""
+    parts = F.split(path_, "/")
+    last = F.element_at(parts, -1)
+    climbed = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x))),
+    )
+    end = F.when(last.isin(".", "..") & (F.size(climbed) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(climbed, "/"), end)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """Host plus path of a link target read against the page ``url``; null if the target or the page has none."""
+    whole = F.when(target.rlike(_ABSOLUTE), target).when(target.startswith("//"), F.concat(F.lit("http:"), target))
+    own = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path(url), r"(?s)^.*/", 0), F.lit("")), F.lit("/"))
+    read = F.when(own == "", path(url)).when(own.startswith("/"), _dotted(own)).otherwise(_dotted(F.concat(folder, own)))
+    relative = ~target.rlike(_SCHEME) & (host(url) != "")
+    return F.when(whole.isNotNull(), F.concat(host(whole), path(whole))).when(relative, F.concat(host(url), read))
+
+
+def _dotted(path_: Column) -> Column:
+    return F.when(path_.rlike(r"(?s)/\.{1,2}(/|$)"), _without_dots(path_)).otherwise(path_)
+
+
+def link_targets(html: Column, url: Column) -> Column:
+    """Array of host plus path that a page's canonical link and its refresh point to; null where it has none."""
     canonical = F.nullif(F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1), F.lit(""))
-    found = F.coalesce(canonical, F.nullif(F.regexp_extract(html, _REFRESH, 1), F.lit("")))
-    whole = F.when(found.contains("://"), found).when(found.startswith("//"), F.concat(F.lit("http:"), found))
-    whole = F.coalesce(whole, F.when(found.startswith("/"), F.concat(F.lit("http://"), host(url), found)))
-    return F.concat(host(whole), path(whole))
+    refresh = F.nullif(F.regexp_extract(html, _REFRESH, 1), F.lit(""))
+    return F.array(resolved(canonical, url), resolved(refresh, url))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b): host plus path of each page that has a link target, and of the target."""
+    """(a, b): host plus path of each page that has link targets, and of each target."""
     hinted = pages.where(F.col("html").rlike("(?i)canonical|refresh"))
-    found = hinted.select(F.concat(host(F.col("url")), path(F.col("url"))).alias("a"), link_target(F.col("html"), F.col("url")).alias("b"))
+    found = hinted.select(F.concat(host(F.col("url")), path(F.col("url"))).alias("a"), F.explode(link_targets(F.col("html"), F.col("url"))).alias("b"))
     return found.where("a != '' and b != ''")
 
 

@@ -319,6 +319,30 @@ def test_block_decisions_reach_aliases(spark):
     assert {found[i] for i in (*range(20, 45), 50)} == {(None, "block")}
 
 
+def test_canonical_and_refresh_are_edges_of_their_own(spark):
+    both = '<link rel="canonical" href="http://a.com/1"><meta http-equiv="refresh" content="0; url=http://bad.net/1">'
+    found = {r["page_id"]: r["verdict"] for r in urls.judge(pages(spark, [(0, "http://a.com/1", both), (1, "http://a.com/2", both.replace("bad.net", "fine.com"))])).collect()}
+    assert found == {0: "block", 1: "block"}
+    alone = urls.judge(pages(spark, [(0, "http://a.com/1", both), (1, "http://c.com/1", None)]))
+    assert {r["page_id"]: r["verdict"] for r in alone.collect()} == {0: "block", 1: "allow"}
+
+
+RELATIVE = [
+    ("b.html", "h.com/x/y/b.html"), ("../b", "h.com/x/b"), ("../../../b", "h.com/b"), ("./b/../c/", "h.com/x/y/c/"), (".", "h.com/x/y/"), ("..", "h.com/x/"), ("/q/../r", "h.com/r"), ("/r", "h.com/r"),
+    ("b?u=http://o.net/", "h.com/x/y/b"), ("?q=1", "h.com/x/y/a"), ("#top", "h.com/x/y/a"), ("//o.net/p", "o.net/p"), ("HTTPS://O.net/p", "o.net/p"), ("mailto:x", None), (None, None),
+]
+
+
+def test_relative_targets_are_read_against_the_page(spark):
+    rows = spark.createDataFrame([(t, w) for t, w in RELATIVE], "t string, w string")
+    for r in rows.select("t", "w", urls.resolved(F.col("t"), F.lit("http://H.com/x/y/a?z=1/2")).alias("found")).collect():
+        assert r["found"] == r["w"], r["t"]
+    assert rows.where("t = 'b.html'").select(urls.resolved(F.col("t"), F.lit("http://h.com"))).first()[0] == "h.com/b.html"
+    assert rows.where("t = 'b.html'").select(urls.resolved(F.col("t"), F.lit("no url"))).first()[0] is None
+    found = urls.judge(pages(spark, [(0, "http://k.com/x/a", '<link rel=canonical href="../m">'), (1, "http://k.com/m", '<meta http-equiv=refresh content="0; url=http://bad.net/2">')]))
+    assert {r["verdict"] for r in found.collect()} == {"block"}
+
+
 def test_urls_and_chat_against_sql(spark, tmp_path):
     import duckdb
 
