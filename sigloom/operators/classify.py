@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.operators.evaluate import class_weights, macro_f1
@@ -36,16 +36,23 @@ def train_one(train: DataFrame, target: str, features: tuple[str, ...], regulari
 
 
 def _guess(model, rows: DataFrame, target: str) -> DataFrame:
+    """(label, guess) of every row of ``rows``, by the features alone; a row whose features are not whole has no guess."""
     names = F.array(*(F.lit(x) for x in model.stages[0].labels))
-    out = model.transform(rows)
-    return out.select(F.col(target).alias("label"), F.get(names, F.col("prediction").cast("int")).alias("guess"))
+    features = model.stages[1].getInputCols()
+    whole = reduce(Column.__and__, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in features))
+    out = rows.where(whole)
+    for stage in model.stages[1:]:  # the first one looks at the label
+        out = stage.transform(out)
+    guessed = out.select(F.col(target).alias("label"), F.get(names, F.col("prediction").cast("int")).alias("guess"))
+    return guessed.union(rows.where(~whole).select(F.col(target), F.lit(None).cast("string")))
 
 
 def experiments(rows: DataFrame, features: tuple[str, ...], grid: tuple[float, ...] = (0.001, 0.1)) -> DataFrame:
     """(target, split, trained_on, tested_on, n, accuracy, macro_f1) of every experiment.
 
     Of the models of ``grid`` the one with the best macro F1 on validation rows counts.
-    Drone types are told apart among drones only. Experiments whose training rows have
+    Drone types are told apart among drones only. All ``n`` rows count; those of labels that
+    no training row has, or without whole features, are wrong. Experiments whose training rows have
     fewer than two classes are left out.
     """
     out = []
@@ -59,8 +66,8 @@ def experiments(rows: DataFrame, features: tuple[str, ...], grid: tuple[float, .
             best = models[marks.index(max(marks))]
             for tested, test in (("all", known), ("clean", known.where("edge_flag = 0") if "edge_flag" in rows.columns else known)):
                 guesses = _guess(best, test.where(F.col(split) == 3), target)
-                row = macro_f1(guesses, "label", "guess")
+                row = macro_f1(guesses, "label", "guess").crossJoin(guesses.agg(F.count("*").alias("n")))
                 tags = [F.lit(v).alias(k) for k, v in (("target", target), ("split", split), ("trained_on", "clean" if clean else "all"), ("tested_on", tested))]
-                out.append(row.select(*tags, "accuracy", "macro_f1"))
+                out.append(row.select(*tags, "n", "accuracy", "macro_f1"))
         train.unpersist()
     return reduce(DataFrame.unionByName, out)

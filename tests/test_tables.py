@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.config import SMALL
-from sigloom.operators import anomaly, catalog, evaluate, graph, ingest, order, splits
+from sigloom.operators import anomaly, catalog, classify, evaluate, graph, ingest, order, splits
 from sigloom.sources import export, raw
 
 
@@ -124,6 +124,19 @@ def test_metrics(spark):
     assert sum(x["weight"] for x in evaluate.class_weights(df, "l").collect()) == pytest.approx(3)
 
 
+def test_all_rows_are_scored(spark):
+    """Labels that no training row has and rows without whole features count, and count as wrong."""
+    rng = np.random.default_rng(5)
+    rows = [(f"D{1 + i % 2}", "drone" if i % 4 < 2 else "bird", 1, float(i % 2 * 9 + rng.normal()), float(i % 4 // 2 * 9 + rng.normal())) for i in range(80)]
+    rows += [("D1", "drone", 2, 0.0, 0.0), ("D7", "reflector", 2, 0.0, 0.0)]
+    rows += [("D1", "drone", 3, 0.0, 0.0), ("D7", "reflector", 3, 9.0, 9.0), ("D2", "drone", 3, None, 0.0), ("D2", "drone", 3, float("nan"), 0.0)]
+    table = spark.createDataFrame(rows, "label string, class_group string, split_grouped int, a double, b double").withColumn("paper_split", F.col("split_grouped"))
+    found = classify.experiments(table, ("a", "b"), grid=(0.1,)).collect()
+    assert {(r["target"], r["n"], r["accuracy"]) for r in found} == {("class_group", 4, 0.25), ("label", 3, 1 / 3)}
+    unseen = table.where("split_grouped < 3 or class_group = 'reflector'")
+    assert {(r["n"], r["accuracy"], r["macro_f1"]) for r in classify.experiments(unseen, ("a", "b"), grid=(0.1,)).where("target = 'class_group'").collect()} == {(1, 0.0, 0.0)}
+
+
 @pytest.fixture(scope="module")
 def staged(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("engine"))
