@@ -36,13 +36,14 @@ def summarise_measurements(segments: DataFrame, *more: str) -> DataFrame:
 
 
 def mark_repeats(segments: DataFrame) -> DataFrame:
-    """``segments`` with ``duplicate``: 1 if an earlier segment has the same hash.
+    """``segments`` with ``duplicate``: 1 if an earlier segment has the same hash; null hashes count as one.
 
     The first segment of each hash comes from a pre-aggregated group-by, so a hash that
     very many segments share is neither sorted nor held in one task.
     """
-    first = segments.groupBy("sha1").agg(F.min("segment_id").alias("first_segment"))
-    return segments.join(first, "sha1").withColumn("duplicate", (F.col("segment_id") > F.col("first_segment")).cast("int")).drop("first_segment")
+    first = segments.groupBy(F.col("sha1").alias("first_sha1")).agg(F.min("segment_id").alias("first_segment"))
+    marked = segments.join(first, F.col("sha1").eqNullSafe(F.col("first_sha1"))).withColumn("duplicate", (F.col("segment_id") > F.col("first_segment")).cast("int"))
+    return marked.select("sha1", *(c for c in segments.columns if c != "sha1"), "duplicate")
 
 
 def duplicate_links(segments: DataFrame) -> DataFrame:

@@ -124,6 +124,11 @@ def test_metrics(spark):
     assert sum(x["weight"] for x in evaluate.class_weights(df, "l").collect()) == pytest.approx(3)
 
 
+def test_null_hashes_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None), (3, "x"), (4, None)], "segment_id long, sha1 string")
+    assert {r["segment_id"]: r["duplicate"] for r in catalog.mark_repeats(df).collect()} == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
 def test_all_rows_are_scored(spark):
     """Labels that no training row has and rows without whole features count, and count as wrong."""
     rng = np.random.default_rng(5)
