@@ -12,7 +12,8 @@ SimHash of ``WIDE`` bits over distinct 5-word shingles and meet in buckets of Mi
 bands. There the same bit planes propose pairs that span what lies within
 ``WIDE_RADII``, and exact shingle sets verify each pair. Only verified links join texts:
 where a pair was refuted, its buckets are compared again without it, and with more pairs
-a text each time, until every pair within the last radius is joined or refuted.
+a text each time, until every pair within the last radius is joined or refuted. Texts
+of fewer than ``BRIEF`` shingles need not lie within a radius.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero and
 link like any other. Texts with fewer words than a shingle count as one shingle.
@@ -44,6 +45,8 @@ WIDE = 512
 #: Sets 0.8 alike differ in 15.2 % of the bits, deviation 1.6 %; the last radius is three deviations more.
 WIDE_RADII = (64, 84, 102)
 SIMILARITY = 0.8
+#: Texts of fewer shingles meet in a band whatever their bits, which are a matter of chance: all that can be 0.8 alike to a text of under 16.
+BRIEF = 20
 #: MinHash bands and hashes a band: all bands of two texts 0.8 alike differ once in 96,000 pairs.
 BANDS = 16
 ROWS = 3
@@ -126,9 +129,44 @@ def _lanes(flags: np.ndarray) -> np.ndarray:
     return np.packbits(padded, bitorder="little").view("<u8")
 
 
+def _close(planes: np.ndarray, near: np.ndarray, radius: int, d: int) -> np.ndarray:
+    """Positions i of ``near`` whose value lies within ``radius`` bits of value i + d."""
+    step = max(8, len(planes) // 16)  # planes added up before lanes beyond the radius are left out
+    digits = max(1, radius.bit_length())
+    start = (1 << digits) - 1 - radius  # so that the counter overflows just beyond the radius
+    wanted = _lanes(near)
+    at = np.flatnonzero(wanted)
+    if not len(at):
+        return at
+    other = _shifted(planes, d)
+    here, there, beyond = planes[:, at], other[:, at], ~wanted[at]
+    count = [np.full(len(at), _FULL if start >> k & 1 else np.uint64(0)) for k in range(digits)]
+    for b in range(0, len(planes), step):
+        more = _tally(here[b : b + step] ^ there[b : b + step])
+        carry = np.zeros(len(at), np.uint64)
+        for k in range(digits):
+            add = more[k] if k < len(more) else np.uint64(0)
+            odd = count[k] ^ add
+            count[k], carry = odd ^ carry, (count[k] & add) | (odd & carry)
+        for high in more[digits:]:
+            carry = carry | high
+        beyond |= carry
+        if b + step < len(planes):
+            alive = beyond != _FULL
+            if not alive.any():
+                return at[:0]
+            if alive.mean() < 0.7:
+                at, here, there, beyond = at[alive], here[:, alive], there[:, alive], beyond[alive]
+                count = [c[alive] for c in count]
+    bits = np.unpackbits((~beyond).astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+    word, bit = np.nonzero(bits)
+    return at[word] * 64 + bit
+
+
 def links_within(
-    values: np.ndarray, runs: np.ndarray, *radii: int, roots: np.ndarray | None = None, refuted: np.ndarray | None = None, spare: int = 0
-) -> np.ndarray:
+    values: np.ndarray, runs: np.ndarray, *radii: int, roots: np.ndarray | None = None, refuted: np.ndarray | None = None, spare: int = 0,
+    brief: np.ndarray | None = None,
+) -> np.ndarray:
     """Position pairs, one row each, that join all values of a run linked at the last of ``radii`` bits.
 
     ``values`` have one or more words each and are sorted by ``runs``. For each shift d
@@ -138,12 +176,12 @@ def links_within(
     earlier radius come first, and values of a run with equal ``roots`` count as joined.
     Pairs ``refuted`` (i * n + j of positions i < j) are neither given nor do they join.
     Up to ``spare`` pairs a value are given beyond those that join, unless its ``roots`` do.
+    Pairs of which both are ``brief`` come last and need not lie within a radius.
     """
     n = len(values)
     planes = _planes(values)
     starts = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
     longest = int(np.diff(np.r_[starts, n]).max(initial=1))
-    step = max(8, len(planes) // 16)  # planes added up before lanes beyond the radius are left out
     parent, found, seen, extra = np.arange(n), [], set(), np.zeros(n, np.int64)
     if roots is not None:
         _, first, place = np.unique(np.stack([runs, roots], axis=1), axis=0, return_index=True, return_inverse=True)
@@ -156,41 +194,18 @@ def links_within(
             i = parent[i]
         return i
 
-    for radius, d in ((r, d) for r in radii for d in range(1, longest)):
-        digits = max(1, radius.bit_length())
-        start = (1 << digits) - 1 - radius  # so that the counter overflows just beyond the radius
+    for radius, d in ((r, d) for r in (radii if brief is None else (*radii, None)) for d in range(1, longest)):
         near = np.zeros(n, bool)
         near[: n - d] = runs[: n - d] == runs[d:]
         apart = known if spare else up
         near[: n - d] &= apart[: n - d] != apart[d:]
-        wanted = _lanes(near)
-        at = np.flatnonzero(wanted)
-        other = _shifted(planes, d)
-        here, there, beyond = planes[:, at], other[:, at], ~wanted[at]
-        count = [np.full(len(at), _FULL if start >> k & 1 else np.uint64(0)) for k in range(digits)]
-        for b in range(0, len(planes), step):
-            more = _tally(here[b : b + step] ^ there[b : b + step])
-            carry = np.zeros(len(at), np.uint64)
-            for k in range(digits):
-                add = more[k] if k < len(more) else np.uint64(0)
-                odd = count[k] ^ add
-                count[k], carry = odd ^ carry, (count[k] & add) | (odd & carry)
-            for high in more[digits:]:
-                carry = carry | high
-            beyond |= carry
-            if b + step < len(planes):
-                alive = beyond != _FULL
-                if not alive.any():
-                    at = at[:0]
-                    break
-                if alive.mean() < 0.7:
-                    at, here, there, beyond = at[alive], here[:, alive], there[:, alive], beyond[alive]
-                    count = [c[alive] for c in count]
-        if not len(at):
+        if radius is None:
+            near[: n - d] &= brief[: n - d] & brief[d:]
+            left = np.flatnonzero(near)
+        else:
+            left = _close(planes, near, radius, d)
+        if not len(left):
             continue
-        bits = np.unpackbits((~beyond).astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
-        word, bit = np.nonzero(bits)
-        left = at[word] * 64 + bit
         left = left[apart[left] != apart[left + d]]
         if refuted is not None:
             left = left[~np.isin(left * n + left + d, refuted)]
@@ -214,15 +229,15 @@ def links_within(
 
 
 def _link_stream(radii: tuple[int, ...], spare: int = 0):
-    """From rows (t, k, i, j, node[, root, wide, refuted]) sorted by the first four: links between nodes, by ``wide`` or else themselves."""
+    """From rows (t, k, i, j, node[, root, brief, wide, refuted]) sorted by the first four: links between nodes, by ``wide`` or else themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, kept_wrong = None, []
         for batch in _and_none(batches):
             if batch is not None:
-                rows = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:6]]
-                rows = np.stack(rows + (_words(batch.column(6)) if batch.num_columns > 6 else []))
-                wrong = batch.column(7).to_pylist() if batch.num_columns > 7 else [None] * rows.shape[1]
+                rows = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]]
+                rows = np.stack(rows + (_words(batch.column(7)) if batch.num_columns > 7 else []))
+                wrong = batch.column(8).to_pylist() if batch.num_columns > 8 else [None] * rows.shape[1]
                 rows, wrong = rows if kept is None else np.concatenate([kept, rows], axis=1), kept_wrong + wrong
                 if not rows.shape[1]:
                     continue
@@ -234,9 +249,9 @@ def _link_stream(radii: tuple[int, ...], spare: int = 0):
             if rows is None or rows.shape[1] < 2:
                 continue
             runs = np.cumsum(np.r_[True, (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)])
-            node, roots = rows[4], rows[5] if len(rows) > 5 else None
-            values = np.ascontiguousarray(rows[4:5].T if roots is None else rows[6:].T).view(np.uint64)
-            pairs = node[links_within(values, runs, *radii, roots=roots, refuted=_places(runs, node, wrong), spare=spare)]
+            node, roots, brief = rows[4], *((rows[5], rows[6] > 0) if len(rows) > 5 else (None, None))
+            values = np.ascontiguousarray(rows[4:5].T if roots is None else rows[7:].T).view(np.uint64)
+            pairs = node[links_within(values, runs, *radii, roots=roots, refuted=_places(runs, node, wrong), spare=spare, brief=brief)]
             yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
 
     return run
@@ -283,7 +298,7 @@ def links(classes: DataFrame, radius: int = 3, part: int = PART) -> DataFrame:
 
 
 def _compared(rows: DataFrame, radii: tuple[int, ...], part: int, spare: int = 0) -> DataFrame:
-    """Links of rows (t, k, count, own, node[, root, wide, refuted]): buckets of over ``part`` rows are dealt out by ``own``."""
+    """Links of rows (t, k, count, own, node[, root, brief, wide, refuted]): buckets of over ``part`` rows are dealt out by ``own``."""
     parts = F.ceil(F.coalesce("count", F.lit(1)) / part).cast("int")
     dealt = rows.withColumn("own", F.pmod(F.col("own"), parts).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -316,34 +331,34 @@ def shingle_set(text: bytes | None) -> tuple[int, np.ndarray]:
     return xxhash.xxh64_intdigest(joined, SEED), np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
 
 
-def sketch(text: bytes | None) -> tuple[int, list[int], bytes]:
-    """(hash of the words, band keys, second fingerprint) of one text; no bands if it has no word."""
+def sketch(text: bytes | None) -> tuple[int, list[int], bytes, bool]:
+    """(hash of the words, band keys, second fingerprint, whether it is brief) of one text; no bands if it has no word."""
     tid, found = shingle_set(text)
     if not len(found):
-        return tid, [], b""
+        return tid, [], b"", True
     ones = np.zeros(WIDE, np.int64)
     for at in range(0, len(found), 1 << 12):
         lot = np.stack([_mixed(found[at : at + (1 << 12)], k) for k in range(WIDE // 64)], axis=1)
         ones += np.unpackbits(lot.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
     least = np.array([(found * f).min() for f in _FACTORS]).reshape(BANDS, ROWS)
     bands = [xxhash.xxh64_intdigest(row.tobytes(), SEED) for row in least]
-    return tid, bands, np.packbits(2 * ones > len(found)).tobytes()
+    return tid, bands, np.packbits(2 * ones > len(found)).tobytes(), len(found) < BRIEF
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, tid, bands, wide): the fingerprint, and what finds near copies."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, tid long, bands array<long>, wide binary"
+    """(doc_id, fp, tid, bands, wide, brief): the fingerprint, and what finds near copies."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, tid long, bands array<long>, wide binary, brief boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lots(batches):
             texts = [x.as_py() for x in batch.column(1).cast(pa.binary())]
             prints = np.fromiter((fingerprint(x, 3) for x in texts), np.uint64, len(texts)).view(np.int64)
             made = [sketch(x) for x in texts]
-            tids = np.array([t for t, _, _ in made], np.uint64).view(np.int64)
-            offsets = np.cumsum([0, *(len(b) for _, b, _ in made)]).astype(np.int32)
-            bands = np.array([k for _, b, _ in made for k in b], np.uint64).view(np.int64)
-            columns = [pa.array(prints), pa.array(tids), pa.ListArray.from_arrays(offsets, pa.array(bands)), pa.array([w for _, _, w in made], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "tid", "bands", "wide"])
+            tids = np.array([t for t, _, _, _ in made], np.uint64).view(np.int64)
+            offsets = np.cumsum([0, *(len(b) for _, b, _, _ in made)]).astype(np.int32)
+            bands = np.array([k for _, b, _, _ in made for k in b], np.uint64).view(np.int64)
+            columns = [pa.array(prints), pa.array(tids), pa.ListArray.from_arrays(offsets, pa.array(bands)), pa.array([w for _, _, w, _ in made], pa.binary()), pa.array([x for _, _, _, x in made], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "tid", "bands", "wide", "brief"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -358,7 +373,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def proposed(texts: DataFrame, keyed: DataFrame, refuted: DataFrame | None = None, spare: int = 0, part: int = PART) -> DataFrame:
-    """Pairs (a, b) of ``tid`` that share a band of ``keyed`` (tid, root, t, k) and span what lies within ``WIDE_RADII`` bits.
+    """Pairs (a, b) of ``tid`` that share a band of ``keyed`` (tid, root, t, k) and span what lies within ``WIDE_RADII`` bits or is brief.
 
     Texts of one ``root`` are not compared, so a dense group of near copies, of whatever
     size, proposes nothing within itself. ``refuted`` (a, b) are left out; ``spare`` as in
@@ -366,8 +381,8 @@ def proposed(texts: DataFrame, keyed: DataFrame, refuted: DataFrame | None = Non
     """
     buckets = keyed.groupBy("t", "k").agg(F.count("*").alias("count"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     met = keyed.join(buckets.where("lo != hi").select("t", "k", "count"), ["t", "k"])
-    met = met.join(texts.select("tid", "wide"), "tid")
-    values = [F.xxhash64("tid").alias("own"), "tid", "root", "wide"]
+    met = met.join(texts.select("tid", F.col("brief").cast("int").alias("brief"), "wide"), "tid")
+    values = [F.xxhash64("tid").alias("own"), "tid", "root", "brief", "wide"]
     if refuted is not None:
         met = met.join(refuted.groupBy(F.col("a").alias("tid")).agg(F.collect_list("b").alias("refuted")), "tid", "left")
         values.append("refuted")
@@ -420,7 +435,7 @@ def near_copies(docs: DataFrame, part: int = PART) -> DataFrame:
     prints = cut(sketches(docs), "simhash")
     classes = _classes(prints)
     roots = cut(connected_components(links(classes, part=part)), "simhash-roots")
-    once = [F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("wide").alias("wide")]
+    once = [F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("wide").alias("wide"), F.first("brief").alias("brief")]
     texts = cut(prints.where("doc_id is not null").groupBy("tid").agg(*once), "simhash-texts")
     rooted = texts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     keyed = cut(rooted.select("tid", "fp", F.coalesce("root", "fp").alias("root"), F.posexplode("bands").alias("t", "k")), "simhash-bands")

@@ -167,6 +167,17 @@ def test_false_proposals_use_up_no_join(spark, part):
     assert [found[i] for i in range(len(texts))] == want and len(set(want)) == 5
 
 
+def test_short_texts_meet_whatever_their_bits(spark):
+    rng = random.Random(12)
+    texts = []
+    for n in (8, 9, 10, 12, 19):
+        for _ in range(30):
+            first = prose(rng, n)
+            texts += [first, first + " more"]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, texts).repartition(3)).collect()}
+    assert [found[i] for i in range(len(texts))] == [i // 2 * 2 for i in range(len(texts))]
+
+
 def test_refuted_pairs_are_left_out_and_spare_pairs_given():
     values, runs = np.zeros((6, 1), np.uint64), np.array([0, 0, 0, 0, 0, 1])
     refuted = np.array([i * 6 + j for i in range(4) for j in range(i + 1, 4)])
