@@ -47,6 +47,8 @@ WIDE_RADII = (64, 84, 102)
 SIMILARITY = 0.8
 #: Texts of fewer shingles meet in a band whatever their bits, which are a matter of chance: all that can be 0.8 alike to a text of under 16.
 BRIEF = 20
+#: Pairs a text beyond those that join, once a pair was refuted; eight times as many in each later round.
+SPARE = 7
 #: MinHash bands and hashes a band: all bands of two texts 0.8 alike differ once in 96,000 pairs.
 BANDS = 16
 ROWS = 3
@@ -442,13 +444,14 @@ def near_copies(docs: DataFrame, part: int = PART) -> DataFrame:
     refuted, sets, spare = None, None, 0
     while True:
         pairs = cut(proposed(texts, keyed, refuted, spare, part), "simhash-pairs")
-        if spare < 2:  # texts of later rounds are among those of the second
+        if spare <= SPARE:  # texts of later rounds are among those of the second
             sets = shingle_sets(docs, texts, pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct() if not spare else keyed.select("tid").distinct())
         judged = cut(similar(sets, pairs), "simhash-judged")
         near, wrong = judged.where("real").select("a", "b"), judged.where("not real").select("a", "b")
-        for end in ("a", "b"):
-            near = near.join(texts.select(F.col("tid").alias(end), F.col("fp").alias(f"fp_{end}")), end)
-        roots = _contracted(roots, near.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
+        if near.limit(1).count():
+            for end in ("a", "b"):
+                near = near.join(texts.select(F.col("tid").alias(end), F.col("fp").alias(f"fp_{end}")), end)
+            roots = _contracted(roots, near.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
         if not wrong.limit(1).count():  # what was proposed spans all buckets, and all of it is real
             return _grouped(prints, classes, roots)
         refuted = wrong if refuted is None else refuted.union(wrong)
@@ -456,7 +459,7 @@ def near_copies(docs: DataFrame, part: int = PART) -> DataFrame:
         still = ends[0].intersect(ends[1]).select("t", "k").distinct()
         keyed = keyed.drop("root").join(still, ["t", "k"], "left_semi").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
         keyed = cut(keyed.select("tid", "fp", F.coalesce("root", "fp").alias("root"), "t", "k"), "simhash-bands")
-        spare = 2 * spare + 1
+        spare = (SPARE + 1) * spare + SPARE
 
 
 def _classes(prints: DataFrame) -> DataFrame:
