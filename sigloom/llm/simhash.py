@@ -7,13 +7,18 @@ bits (two fingerprints at most ``radius`` bits apart agree in at least two of
 compared as bit planes; the links found are contracted to components.
 
 ``near_copies`` widens this to texts whose sets of 5-word shingles are 0.8 alike, which
-lie further apart than a block table of 64 bits can reach. Distinct texts carry a second
-SimHash of ``WIDE`` bits over distinct 5-word shingles and meet in buckets of MinHash
-bands. There the same bit planes propose pairs that span what lies within
-``WIDE_RADII``, and exact shingle sets verify each pair. Only verified links join texts:
-where a pair was refuted, its buckets are compared again without it, and with more pairs
-a text each time, until every pair within the last radius is joined or refuted. Texts
-of fewer than ``BRIEF`` shingles need not lie within a radius.
+lie further apart than a block table of 64 bits can reach. Distinct texts meet in buckets
+of MinHash bands. There the same bit planes, over a second SimHash of ``WIDE`` bits of
+the set, propose pairs within ``WIDE_RADII``, and the exact sets, which come with them,
+verify each proposal on the spot. Only verified links join texts, so a false proposal
+takes no true one's place. Texts of fewer than ``BRIEF`` shingles need not lie within a
+radius.
+
+Buckets are worked off twice (``settled``). First each is cut into parts of bounded size,
+and a part is compared on its own: work and copies are linear in the rows, and a dense
+group of whatever size becomes one root. Then only buckets that were cut and still hold
+several roots are compared whole: every pair of parts meets, but for parts of the
+bucket's commonest root, which need not meet each other.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero and
 link like any other. Texts with fewer words than a shingle count as one shingle.
@@ -23,7 +28,7 @@ a component id unless all ids of the component are null. Extra columns are ignor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -37,18 +42,17 @@ from sigloom.llm.batches import lots
 from sigloom.operators.graph import connected_components
 
 SEED = 42
-#: Fingerprints of a bucket that one task compares at once; larger buckets are dealt out as pairs of parts.
-PART = 2048
+#: Rows of a bucket that one task compares at once: fingerprints, and texts with their sets.
+PART, WIDE_PART = 1024, 256
 #: Words of a shingle and bits of the second fingerprint.
 WIDE_WORDS = 5
 WIDE = 512
-#: Sets 0.8 alike differ in 15.2 % of the bits, deviation 1.6 %; the last radius is three deviations more.
-WIDE_RADII = (64, 84, 102)
+#: Radii of proposal, nearer pairs first. Of sets 0.8 alike with ``BRIEF`` or more shingles, one pair in 70 million lies beyond the last
+#: (at worst 15.6 % of the bits differ in the mean), which is less than bands miss.
+WIDE_RADII = (64, 128)
 SIMILARITY = 0.8
-#: Texts of fewer shingles meet in a band whatever their bits, which are a matter of chance: all that can be 0.8 alike to a text of under 16.
-BRIEF = 20
-#: Pairs a text beyond those that join, once a pair was refuted; eight times as many in each later round.
-SPARE = 7
+#: Texts of fewer shingles are verified whatever their bits, which are a matter of chance.
+BRIEF = 8
 #: MinHash bands and hashes a band: all bands of two texts 0.8 alike differ once in 96,000 pairs.
 BANDS = 16
 ROWS = 3
@@ -87,19 +91,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _shifted(planes: np.ndarray, by: int) -> np.ndarray:
-    """Bit planes whose lane i holds what lane i + by held."""
-    words, bits = divmod(by, 64)
-    width = planes.shape[1] - words
-    out = np.zeros_like(planes)
-    out[:, :width] = planes[:, words:]
-    if bits:
-        carry = np.zeros_like(planes)
-        carry[:, : width - 1] = planes[:, words + 1 :]
-        out = (out >> np.uint64(bits)) | (carry << np.uint64(64 - bits))
-    return out
-
-
 def _planes(values: np.ndarray) -> np.ndarray:
     """One row per bit of a value (of one or more words); lane i of each row, at bit i % 64 of word i // 64, is that bit of value i."""
     bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(len(values), -1), axis=1)
@@ -132,7 +123,7 @@ def _lanes(flags: np.ndarray) -> np.ndarray:
 
 
 def _close(planes: np.ndarray, near: np.ndarray, radius: int, d: int) -> np.ndarray:
-    """Positions i of ``near`` whose value lies within ``radius`` bits of value i + d."""
+    """Positions i of ``near`` whose value lies within ``radius`` bits of value i + d; ``planes`` end in a word of zeros."""
     step = max(8, len(planes) // 16)  # planes added up before lanes beyond the radius are left out
     digits = max(1, radius.bit_length())
     start = (1 << digits) - 1 - radius  # so that the counter overflows just beyond the radius
@@ -140,11 +131,19 @@ def _close(planes: np.ndarray, near: np.ndarray, radius: int, d: int) -> np.ndar
     at = np.flatnonzero(wanted)
     if not len(at):
         return at
-    other = _shifted(planes, d)
-    here, there, beyond = planes[:, at], other[:, at], ~wanted[at]
+    words, bits = divmod(d, 64)
+    end = planes.shape[1] - 1
+
+    def differing(lo: int, hi: int, at: np.ndarray) -> np.ndarray:
+        there = planes[lo:hi, np.minimum(at + words, end)]
+        if bits:
+            there = (there >> np.uint64(bits)) | (planes[lo:hi, np.minimum(at + words + 1, end)] << np.uint64(64 - bits))
+        return planes[lo:hi, at] ^ there
+
+    beyond = ~wanted[at]
     count = [np.full(len(at), _FULL if start >> k & 1 else np.uint64(0)) for k in range(digits)]
     for b in range(0, len(planes), step):
-        more = _tally(here[b : b + step] ^ there[b : b + step])
+        more = _tally(differing(b, b + step, at))
         carry = np.zeros(len(at), np.uint64)
         for k in range(digits):
             add = more[k] if k < len(more) else np.uint64(0)
@@ -158,37 +157,36 @@ def _close(planes: np.ndarray, near: np.ndarray, radius: int, d: int) -> np.ndar
             if not alive.any():
                 return at[:0]
             if alive.mean() < 0.7:
-                at, here, there, beyond = at[alive], here[:, alive], there[:, alive], beyond[alive]
+                at, beyond = at[alive], beyond[alive]
                 count = [c[alive] for c in count]
-    bits = np.unpackbits((~beyond).astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
-    word, bit = np.nonzero(bits)
+    bits_ = np.unpackbits((~beyond).astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+    word, bit = np.nonzero(bits_)
     return at[word] * 64 + bit
 
 
 def links_within(
-    values: np.ndarray, runs: np.ndarray, *radii: int, roots: np.ndarray | None = None, refuted: np.ndarray | None = None, spare: int = 0,
-    brief: np.ndarray | None = None,
-) -> np.ndarray:
-    """Position pairs, one row each, that join all values of a run linked at the last of ``radii`` bits.
+    values: np.ndarray, runs: np.ndarray, radii: tuple[int, ...], roots: np.ndarray | None = None, sides: np.ndarray | None = None,
+    brief: np.ndarray | None = None, alike: Callable[[int, int], bool] | None = None,
+) -> list[tuple[int, int]]:
+    """Position pairs that join all values of a run linked at the last of ``radii`` bits.
 
     ``values`` have one or more words each and are sorted by ``runs``. For each shift d
     the lanes hold the pairs (i, i + d); carry-save counters add up the differing planes,
     and words whose lanes have all passed the radius are left out of the remaining planes.
-    Each pair given lies within a radius itself and joins what was apart: pairs within an
-    earlier radius come first, and values of a run with equal ``roots`` count as joined.
-    Pairs ``refuted`` (i * n + j of positions i < j) are neither given nor do they join.
-    Up to ``spare`` pairs a value are given beyond those that join, unless its ``roots`` do.
-    Pairs of which both are ``brief`` come last and need not lie within a radius.
+    Each pair given lies within a radius and joins what was apart: pairs within an earlier
+    radius come first, and values of a run with equal ``roots`` count as joined. With
+    ``sides``, only values of different sides are compared. Two ``brief`` values come last
+    and need not lie within a radius. A pair for which ``alike`` is false is none.
     """
     n = len(values)
-    planes = _planes(values)
+    planes = np.hstack([_planes(values), np.zeros((values.shape[1] * 64, 1), np.uint64)])
     starts = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
     longest = int(np.diff(np.r_[starts, n]).max(initial=1))
-    parent, found, seen, extra = np.arange(n), [], set(), np.zeros(n, np.int64)
+    parent, found = np.arange(n), []
     if roots is not None:
         _, first, place = np.unique(np.stack([runs, roots], axis=1), axis=0, return_index=True, return_inverse=True)
         parent = first[place.ravel()]
-    known = up = parent.copy()
+    up = parent.copy()
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -196,95 +194,134 @@ def links_within(
             i = parent[i]
         return i
 
-    for radius, d in ((r, d) for r in (radii if brief is None else (*radii, None)) for d in range(1, longest)):
-        near = np.zeros(n, bool)
-        near[: n - d] = runs[: n - d] == runs[d:]
-        apart = known if spare else up
-        near[: n - d] &= apart[: n - d] != apart[d:]
-        if radius is None:
-            near[: n - d] &= brief[: n - d] & brief[d:]
-            left = np.flatnonzero(near)
-        else:
-            left = _close(planes, near, radius, d)
-        if not len(left):
-            continue
-        left = left[apart[left] != apart[left + d]]
-        if refuted is not None:
-            left = left[~np.isin(left * n + left + d, refuted)]
-        if spare:
-            left = left[(up[left] != up[left + d]) | ((extra[left] < spare) & (extra[left + d] < spare))]
-        for i in left.tolist():
-            a, b_ = root(i), root(i + d)
-            if a != b_:
-                parent[max(a, b_)] = min(a, b_)
-            elif (i, d) in seen or max(extra[i], extra[i + d]) >= spare:
-                continue
+    for radius in radii if brief is None or brief.sum() < 2 else (*radii, None):
+        for d in range(1, longest):
+            near = np.zeros(n, bool)
+            near[: n - d] = (runs[: n - d] == runs[d:]) & (up[: n - d] != up[d:])
+            if sides is not None:
+                near[: n - d] &= sides[: n - d] != sides[d:]
+            if radius is None:
+                near[: n - d] &= brief[: n - d] & brief[d:]
+                left = np.flatnonzero(near)
             else:
-                extra[[i, i + d]] += 1
-            seen.add((i, d))
-            found.append((i, i + d))
-        up = parent
-        while (flat := up[up]).tobytes() != up.tobytes():
-            up = flat
-        parent = up.copy()
-    return np.array(found, np.int64).reshape(-1, 2)
-
-
-def _link_stream(radii: tuple[int, ...], spare: int = 0):
-    """From rows (t, k, i, j, node[, root, brief, wide, refuted]) sorted by the first four: links between nodes, by ``wide`` or else themselves."""
+                left = _close(planes, near, radius, d)
+            joined = len(found)
+            for i in left.tolist():
+                a, b = root(i), root(i + d)
+                if a != b and (alike is None or alike(i, i + d)):
+                    parent[max(a, b)] = min(a, b)
+                    found.append((i, i + d))
+            if len(found) > joined:
+                up = parent
+                while (flat := up[up]).tobytes() != up.tobytes():
+                    up = flat
+                parent = up.copy()
+    return found
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first four columns, in tables of whole buckets."""
+    kept = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if kept is None else pa.concat_tables([kept, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        same = np.ones(table.num_rows, bool)
+        for c in table.columns[:4]:
+            values = c.to_numpy()
+            same &= values == values[-1]
+        done = table.num_rows - int(same.sum())  # the last bucket may go on in the next batch
+        if done:
+            yield table.slice(0, done)
+        kept = table.slice(done)
+    if kept is not None and kept.num_rows:
+        yield kept
+
+
+def _link_stream(radii: tuple[int, ...], threshold: float = SIMILARITY):
+    """From rows (t, k, i, j, own, root, value[, shingles]) sorted by the first four: links (a, b) between roots of a bucket.
+
+    Where i and j differ, only rows of different ``own`` are compared. ``value`` is the
+    fingerprint as bytes; ``shingles``, if there, the sorted set that verifies a pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, kept_wrong = None, []
-        for batch in _and_none(batches):
-            if batch is not None:
-                rows = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]]
-                rows = np.stack(rows + (_words(batch.column(7)) if batch.num_columns > 7 else []))
-                wrong = batch.column(8).to_pylist() if batch.num_columns > 8 else [None] * rows.shape[1]
-                rows, wrong = rows if kept is None else np.concatenate([kept, rows], axis=1), kept_wrong + wrong
-                if not rows.shape[1]:
-                    continue
-                last = (rows[:4] == rows[:4, -1:]).all(axis=0)
-                done = rows.shape[1] - int(last.sum())  # the last bucket may go on in the next batch
-                rows, kept, wrong, kept_wrong = rows[:, :done], rows[:, done:], wrong[:done], wrong[done:]
-            else:
-                rows, kept, wrong = kept, None, kept_wrong
-            if rows is None or rows.shape[1] < 2:
+        for table in _buckets(batches):
+            if table.num_rows < 2:
                 continue
-            runs = np.cumsum(np.r_[True, (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)])
-            node, roots, brief = rows[4], *((rows[5], rows[6] > 0) if len(rows) > 5 else (None, None))
-            values = np.ascontiguousarray(rows[4:5].T if roots is None else rows[7:].T).view(np.uint64)
-            pairs = node[links_within(values, runs, *radii, roots=roots, refuted=_places(runs, node, wrong), spare=spare, brief=brief)]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+            keys = np.stack([c.to_numpy() for c in table.columns[:4]])
+            runs = np.cumsum(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+            own, roots = table.column(4).to_numpy().astype(np.int64), table.column(5).to_numpy()
+            sides = np.where(keys[2] == keys[3], np.arange(len(own)), -1 - own)
+            values = np.frombuffer(b"".join(table.column(6).to_pylist()), ">u8").astype(np.uint64).reshape(len(own), -1)
+            brief = alike = None
+            if table.num_columns > 7:
+                sets = [np.frombuffer(x.as_buffer(), "<u8") for chunk in table.column(7).chunks for x in chunk]
+                brief = np.fromiter(map(len, sets), np.int64, len(sets)) < BRIEF
+                alike = lambda i, j, sets=sets: similar(sets[i], sets[j], threshold)
+            found = np.array(links_within(values, runs, radii, roots, sides, brief, alike), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(roots[found[:, 0]]), pa.array(roots[found[:, 1]])], ["a", "b"])
 
     return run
 
 
-def _places(runs: np.ndarray, node: np.ndarray, wrong: list[list[int] | None]) -> np.ndarray | None:
-    """i * n + j of the positions i < j of each node of ``wrong`` and one of its refuted partners in the same run."""
-    n, named = len(node), [i for i, w in enumerate(wrong) if w]
-    if not named:
-        return None
-    place = {key: i for i, key in enumerate(zip(runs.tolist(), node.tolist()))}
-    met = ((i, place.get((int(runs[i]), w))) for i in named for w in wrong[i])
-    return np.array([min(i, j) * n + max(i, j) for i, j in met if j is not None], np.int64)
+def similar(one: np.ndarray, two: np.ndarray, threshold: float = SIMILARITY) -> bool:
+    """Whether two sorted sets are at least ``threshold`` alike (Jaccard)."""
+    one, two = (one, two) if len(one) <= len(two) else (two, one)
+    if len(one) < threshold * len(two) - 1e-9 or not len(one):
+        return False
+    at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+    shared = int(np.count_nonzero(two[at] == one))
+    return shared >= threshold * (len(one) + len(two) - shared) - 1e-9
 
 
-def _words(column: pa.Array) -> list[np.ndarray]:
-    """The second fingerprints of a batch, one array per word."""
-    return list(np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(len(column), -1).T)
+def _compared(dealt: DataFrame, radii: tuple[int, ...]) -> DataFrame:
+    """Distinct links (a, b) between roots of rows (t, k, i, j, own, root, value[, shingles])."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.repartition(n, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
+    return rows.mapInArrow(_link_stream(radii), "a long, b long").distinct()
 
 
-def _and_none(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
+def settled(keyed: DataFrame, valued: Callable[[DataFrame], DataFrame], radii: tuple[int, ...], part: int) -> DataFrame:
+    """(node, root): what the roots of ``keyed`` (t, k, node, root) that have a link become.
 
+    Rows with equal t and k meet. ``valued`` takes rows (t, k, i, j, own, node, root) and
+    returns them as ``_compared`` wants them. Each bucket is cut into parts of about
+    ``part`` rows by a hash, each compared on its own. Buckets of more rows whose roots
+    are not one by then are compared whole.
+    """
+    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    met = cut(keyed.join(sizes.select("t", "k", "n"), ["t", "k"]), "simhash-met")
+    own = F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("n") / part)).cast("int").alias("own")
+    once = met.select("t", "k", own, "node", "root").select("t", "k", F.col("own").alias("i"), F.col("own").alias("j"), "own", "node", "root")
+    moved = connected_components(_compared(valued(once), radii))
+
+    large = met.where(F.col("n") > part).join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    large = large.select("t", "k", "node", F.coalesce("to", "root").alias("root"))
+    per = large.groupBy("t", "k", "root").agg(F.count("*").alias("c")).groupBy("t", "k")
+    per = per.agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("top"))
+    again = cut(large.join(per.where("most < n"), ["t", "k"]), "simhash-again")
+    if not again.limit(1).count():
+        return moved
+    half = max(1, part // 2)
+    tops, others = (F.ceil(x / half).cast("int") for x in (F.col("most"), F.col("n") - F.col("most")))
+    is_top, h = F.col("root") == F.col("top"), F.xxhash64("node")
+    placed = again.withColumn("own", F.when(is_top, F.pmod(h, tops)).otherwise(tops + F.pmod(h, others)).cast("int"))
+    placed = placed.withColumn("with", F.explode(F.sequence(F.when(is_top, tops).otherwise(0), tops + others - 1)))
+    whole = placed.select("t", "k", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "root")
+    return chained(moved, connected_components(_compared(valued(whole), radii)))
+
+
+def chained(roots: DataFrame, moved: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after ``moved`` (node, root) took some roots elsewhere; nodes of ``moved`` alone are kept too."""
+    again = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    again = again.select("node", F.coalesce("to", "root").alias("root"))
+    return cut(again.union(moved.join(roots.select("node"), "node", "left_anti")), "simhash-roots")
 
-def links(classes: DataFrame, radius: int = 3, part: int = PART) -> DataFrame:
-    """Links (a, b) between distinct fingerprints in column ``fp`` that join all within ``radius`` bits.
 
-    A bucket of over ``part`` fingerprints is cut into parts by hash, and every pair of
-    parts is compared in a group of its own, so that no task holds a whole bucket.
-    """
+def links(classes: DataFrame, radius: int = 3, part: int = PART) -> DataFrame:
+    """(node, root) of the distinct fingerprints in column ``fp`` that have another within ``radius`` bits; the root is one of them."""
     blocks = radius + 2
     edges = np.linspace(0, 64, blocks + 1).round().astype(int).tolist()
     cut_out = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])]
@@ -293,22 +330,9 @@ def links(classes: DataFrame, radius: int = 3, part: int = PART) -> DataFrame:
         for i in range(blocks)
         for j in range(i + 1, blocks)
     ]
-    keyed = classes.select("fp", F.explode(F.array(*tables)).alias("e")).select("e.t", "e.k", "fp")
-    large = keyed.groupBy("t", "k").count().where(F.col("count") > part)
-    dealt = keyed.join(large, ["t", "k"], "left")
-    return _compared(dealt.select("t", "k", "count", F.xxhash64("fp").alias("own"), "fp"), (radius,), part)
-
-
-def _compared(rows: DataFrame, radii: tuple[int, ...], part: int, spare: int = 0) -> DataFrame:
-    """Links of rows (t, k, count, own, node[, root, brief, wide, refuted]): buckets of over ``part`` rows are dealt out by ``own``."""
-    parts = F.ceil(F.coalesce("count", F.lit(1)) / part).cast("int")
-    dealt = rows.withColumn("own", F.pmod(F.col("own"), parts).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-    values = [c for c in rows.columns if c not in ("t", "k", "count", "own")]
-    dealt = dealt.select("t", "k", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), *values)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
-    return dealt.mapInArrow(_link_stream(radii, spare), "a long, b long").distinct()
+    keyed = classes.select("fp", F.explode(F.array(*tables)).alias("e")).select("e.t", "e.k", F.col("fp").alias("node"), F.col("fp").alias("root"))
+    value = F.to_binary(F.lpad(F.hex("node"), 16, "0"), F.lit("hex")).alias("value")
+    return settled(keyed, lambda rows: rows.select("t", "k", "i", "j", "own", "root", value), (radius,), part)
 
 
 def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
@@ -333,34 +357,37 @@ def shingle_set(text: bytes | None) -> tuple[int, np.ndarray]:
     return xxhash.xxh64_intdigest(joined, SEED), np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
 
 
-def sketch(text: bytes | None) -> tuple[int, list[int], bytes, bool]:
-    """(hash of the words, band keys, second fingerprint, whether it is brief) of one text; no bands if it has no word."""
-    tid, found = shingle_set(text)
+def bands_of(found: np.ndarray) -> list[int]:
+    """MinHash band keys of a set of shingles; none of an empty set."""
     if not len(found):
-        return tid, [], b"", True
+        return []
+    least = np.array([(found * f).min() for f in _FACTORS]).reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(row.tobytes(), SEED) for row in least]
+
+
+def wide_print(found: np.ndarray) -> bytes:
+    """SimHash of ``WIDE`` bits of a set of shingles."""
     ones = np.zeros(WIDE, np.int64)
     for at in range(0, len(found), 1 << 12):
         lot = np.stack([_mixed(found[at : at + (1 << 12)], k) for k in range(WIDE // 64)], axis=1)
         ones += np.unpackbits(lot.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
-    least = np.array([(found * f).min() for f in _FACTORS]).reshape(BANDS, ROWS)
-    bands = [xxhash.xxh64_intdigest(row.tobytes(), SEED) for row in least]
-    return tid, bands, np.packbits(2 * ones > len(found)).tobytes(), len(found) < BRIEF
+    return np.packbits(2 * ones > len(found)).tobytes()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, tid, bands, wide, brief): the fingerprint, and what finds near copies."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, tid long, bands array<long>, wide binary, brief boolean"
+    """(doc_id, fp, tid, bands): the fingerprint, the hash of the words, and the band keys that near copies share."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, tid long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lots(batches):
             texts = [x.as_py() for x in batch.column(1).cast(pa.binary())]
             prints = np.fromiter((fingerprint(x, 3) for x in texts), np.uint64, len(texts)).view(np.int64)
-            made = [sketch(x) for x in texts]
-            tids = np.array([t for t, _, _, _ in made], np.uint64).view(np.int64)
-            offsets = np.cumsum([0, *(len(b) for _, b, _, _ in made)]).astype(np.int32)
-            bands = np.array([k for _, b, _, _ in made for k in b], np.uint64).view(np.int64)
-            columns = [pa.array(prints), pa.array(tids), pa.ListArray.from_arrays(offsets, pa.array(bands)), pa.array([w for _, _, w, _ in made], pa.binary()), pa.array([x for _, _, _, x in made], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "tid", "bands", "wide", "brief"])
+            made = [(tid, bands_of(found)) for tid, found in map(shingle_set, texts)]
+            tids = np.array([t for t, _ in made], np.uint64).view(np.int64)
+            offsets = np.cumsum([0, *(len(b) for _, b in made)]).astype(np.int32)
+            bands = np.array([k for _, b in made for k in b], np.uint64).view(np.int64)
+            columns = [pa.array(prints), pa.array(tids), pa.ListArray.from_arrays(offsets, pa.array(bands))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "tid", "bands"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -369,51 +396,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in lots(batches, 64):
         made = [shingle_set(x.as_py()) for x in batch.column(0).cast(pa.binary())]
         tids = np.array([t for t, _ in made], np.uint64).view(np.int64)
-        offsets = np.cumsum([0, *(len(found) for _, found in made)]).astype(np.int32)
-        flat = np.concatenate([np.empty(0, np.uint64), *(found for _, found in made)]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(tids), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["tid", "shingles"])
+        columns = [pa.array([wide_print(x) for _, x in made], pa.binary()), pa.array([x.astype("<u8").tobytes() for _, x in made], pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(tids), *columns], ["tid", "value", "shingles"])
 
 
-def proposed(texts: DataFrame, keyed: DataFrame, refuted: DataFrame | None = None, spare: int = 0, part: int = PART) -> DataFrame:
-    """Pairs (a, b) of ``tid`` that share a band of ``keyed`` (tid, root, t, k) and span what lies within ``WIDE_RADII`` bits or is brief.
-
-    Texts of one ``root`` are not compared, so a dense group of near copies, of whatever
-    size, proposes nothing within itself. ``refuted`` (a, b) are left out; ``spare`` as in
-    ``links_within``.
-    """
-    buckets = keyed.groupBy("t", "k").agg(F.count("*").alias("count"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    met = keyed.join(buckets.where("lo != hi").select("t", "k", "count"), ["t", "k"])
-    met = met.join(texts.select("tid", F.col("brief").cast("int").alias("brief"), "wide"), "tid")
-    values = [F.xxhash64("tid").alias("own"), "tid", "root", "brief", "wide"]
-    if refuted is not None:
-        met = met.join(refuted.groupBy(F.col("a").alias("tid")).agg(F.collect_list("b").alias("refuted")), "tid", "left")
-        values.append("refuted")
-    return _compared(met.select("t", "k", "count", *values), WIDE_RADII, part, spare)
-
-
-def shingle_sets(docs: DataFrame, texts: DataFrame, named: DataFrame) -> DataFrame:
-    """(tid, s): the sets of shingles of the texts ``named``; only these are read again."""
-    wanted = cut(named.join(texts.select("tid", "rep"), "tid").select(F.col("rep").alias("doc_id")).distinct(), "simhash-again")
+def shingle_sets(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """(tid, value, shingles): second fingerprints and sets of shingles of the texts ``named`` (tid, rep); only these are read again."""
+    wanted = cut(named.select(F.col("rep").alias("doc_id")).distinct(), "simhash-named")
     again = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = again.select("text").mapInArrow(_sets, "tid long, shingles array<long>")
-    return cut(sets.groupBy("tid").agg(F.first("shingles").alias("s")), "simhash-sets")
-
-
-def similar(sets: DataFrame, pairs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """``pairs`` with ``real``: whether their sets of shingles are at least ``threshold`` alike."""
-    both = pairs.join(sets.select(F.col("tid").alias("a"), F.col("s").alias("sa")), "a")
-    both = both.join(sets.select(F.col("tid").alias("b"), F.col("s").alias("sb")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("of"))
-    return shared.select("a", "b", (F.col("n") >= F.lit(threshold) * (F.col("of") - F.col("n")) - 1e-9).alias("real"))
-
-
-def _contracted(roots: DataFrame, near: DataFrame) -> DataFrame:
-    """``roots`` (node, root) after the links ``near`` (a, b) between nodes; the components of roots alone are sought."""
-    for end in ("a", "b"):
-        near = near.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    moved = connected_components(near.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
-    again = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-    return cut(again.select("node", F.coalesce("to", "root").alias("root")).union(moved.join(roots, "node", "left_anti")), "simhash-roots")
+    sets = again.select("text").mapInArrow(_sets, "tid long, value binary, shingles binary")
+    return cut(sets.join(named, "tid", "left_semi").dropDuplicates(["tid"]), "simhash-sets")
 
 
 def near_duplicates(
@@ -426,40 +418,31 @@ def near_duplicates(
     """
     prints = cut(fingerprints(docs, id_col, text_col, width), "simhash")
     classes = _classes(prints)
-    return _grouped(prints, classes, connected_components(links(classes, radius, part)))
+    return _grouped(prints, classes, links(classes, radius, part))
 
 
-def near_copies(docs: DataFrame, part: int = PART) -> DataFrame:
+def near_copies(docs: DataFrame, part: int = PART, wide_part: int = WIDE_PART) -> DataFrame:
     """As ``near_duplicates``, with links too between texts whose sets of 5-word shingles are ``SIMILARITY`` alike.
 
     Rows without an id have no part in the wider links.
     """
     prints = cut(sketches(docs), "simhash")
     classes = _classes(prints)
-    roots = cut(connected_components(links(classes, part=part)), "simhash-roots")
-    once = [F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("wide").alias("wide"), F.first("brief").alias("brief")]
-    texts = cut(prints.where("doc_id is not null").groupBy("tid").agg(*once), "simhash-texts")
-    rooted = texts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    keyed = cut(rooted.select("tid", "fp", F.coalesce("root", "fp").alias("root"), F.posexplode("bands").alias("t", "k")), "simhash-bands")
-    refuted, sets, spare = None, None, 0
-    while True:
-        pairs = cut(proposed(texts, keyed, refuted, spare, part), "simhash-pairs")
-        if spare <= SPARE:  # texts of later rounds are among those of the second
-            sets = shingle_sets(docs, texts, pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct() if not spare else keyed.select("tid").distinct())
-        judged = cut(similar(sets, pairs), "simhash-judged")
-        near, wrong = judged.where("real").select("a", "b"), judged.where("not real").select("a", "b")
-        if near.limit(1).count():
-            for end in ("a", "b"):
-                near = near.join(texts.select(F.col("tid").alias(end), F.col("fp").alias(f"fp_{end}")), end)
-            roots = _contracted(roots, near.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
-        if not wrong.limit(1).count():  # what was proposed spans all buckets, and all of it is real
-            return _grouped(prints, classes, roots)
-        refuted = wrong if refuted is None else refuted.union(wrong)
-        ends = [keyed.join(wrong.select(F.col(x).alias("tid"), "a", "b"), "tid").select("t", "k", "a", "b") for x in ("a", "b")]
-        still = ends[0].intersect(ends[1]).select("t", "k").distinct()
-        keyed = keyed.drop("root").join(still, ["t", "k"], "left_semi").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-        keyed = cut(keyed.select("tid", "fp", F.coalesce("root", "fp").alias("root"), "t", "k"), "simhash-bands")
-        spare = (SPARE + 1) * spare + SPARE
+    roots = cut(links(classes, part=part), "simhash-roots")
+    once = [F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("bands").alias("bands")]
+    texts = prints.where("doc_id is not null").groupBy("tid").agg(*once)
+    rooted = texts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    texts = cut(rooted.select("tid", "rep", "root", "bands"), "simhash-texts")
+    keyed = texts.select(F.col("tid").alias("node"), "root", F.posexplode("bands").alias("t", "k"))
+    sets = None
+
+    def valued(rows: DataFrame) -> DataFrame:
+        nonlocal sets
+        if sets is None:  # the texts of the second comparison are among those of the first
+            sets = shingle_sets(docs, texts.join(rows.select(F.col("node").alias("tid")).distinct(), "tid", "left_semi").select("tid", "rep"))
+        return rows.join(sets.withColumnRenamed("tid", "node"), "node").select("t", "k", "i", "j", "own", "root", "value", "shingles")
+
+    return _grouped(prints, classes, chained(roots, settled(keyed, valued, WIDE_RADII, wide_part)))
 
 
 def _classes(prints: DataFrame) -> DataFrame:

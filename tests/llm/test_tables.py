@@ -92,17 +92,22 @@ def test_bit_planes_against_popcounts(radius, words):
     runs = np.sort(rng.integers(0, 5, 200))
     want = [(i, j) for i, j in plain_links(values, radius) if runs[i] == runs[j]]
     for radii in ((radius,), (radius // 2, radius)):
-        pairs = links_of(table, runs, *radii)
+        pairs = links_of(table, runs, radii)
         assert set(pairs) <= set(want) and joined(200, pairs) == joined(200, want)
         assert len(pairs) == 200 - len(set(joined(200, want)))
     roots = np.arange(200) // 3
     known = [(i, j) for i in range(200) for j in range(i) if runs[i] == runs[j] and roots[i] == roots[j]]
-    pairs = links_of(table, runs, radius, roots=roots)
+    pairs = links_of(table, runs, (radius,), roots=roots)
     assert joined(200, pairs + known) == joined(200, want + known)
+    sides = rng.integers(0, 2, 200)
+    across = [(i, j) for i, j in want if sides[i] != sides[j]]
+    assert joined(200, links_of(table, runs, (radius,), sides=sides)) == joined(200, across)
+    odd = [(i, j) for i, j in want if (i + j) % 2]
+    assert joined(200, links_of(table, runs, (radius,), alike=lambda i, j: (i + j) % 2 == 1)) == joined(200, odd)
 
 
-def links_of(table, runs, *radii, roots=None):
-    return [(int(b), int(a)) for a, b in simhash.links_within(table, runs, *radii, roots=roots)]
+def links_of(table, runs, radii, **more):
+    return [(b, a) for a, b in simhash.links_within(table, runs, radii, **more)]
 
 
 def test_links_are_found_through_any_two_blocks(spark):
@@ -110,11 +115,27 @@ def test_links_are_found_through_any_two_blocks(spark):
     base = rng.getrandbits(63)
     values = {base ^ sum(1 << b for b in rng.sample(range(63), 3)) for _ in range(300)}
     classes = spark.createDataFrame([(v,) for v in values | {base}], "fp long")
-    joined = simhash.links(classes, 3, part=16).collect()
-    from sigloom.operators.graph import connected_components
-
-    roots = {r["root"] for r in connected_components(spark.createDataFrame(joined)).collect()}
-    assert len(roots) == 1 and {x for r in joined for x in r} == values | {base}
+    for part in (2, 16, simhash.PART):
+        found = simhash.links(classes, 3, part).collect()
+        assert len({r["root"] for r in found}) == 1 and {r["node"] for r in found} == values | {base}
+
+
+def test_buckets_larger_than_a_part_are_compared_whole(spark):
+    """Values all in one bucket whose only links are between a few, in whatever parts they lie."""
+    rng = np.random.default_rng(3)
+    values = [int.from_bytes(rng.bytes(8), "big", signed=True) for _ in range(400)]
+    values += [v ^ 5 for v in values[::40]] + [values[0] ^ 1 << k for k in range(60)]
+    rows = spark.createDataFrame([(1, 1, v, v) for v in values], "t int, k long, node long, root long")
+    value = F.to_binary(F.lpad(F.hex("node"), 16, "0"), F.lit("hex")).alias("value")
+    found = simhash.settled(rows, lambda r: r.select("t", "k", "i", "j", "own", "root", value), (2,), 16).collect()
+    want = joined(len(values), plain_links([v & (1 << 64) - 1 for v in values], 2))
+    groups = {}
+    for r in found:
+        groups.setdefault(r["root"], set()).add(r["node"])
+    expected = {}
+    for v, root in zip(values, want):
+        expected.setdefault(root, set()).add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in expected.values() if len(g) > 1)
 
 
 def test_one_of_each_group_stays(spark):
@@ -130,10 +151,10 @@ def test_one_of_each_group_stays(spark):
     assert len(want) < len(set(joined(len(texts), links)))
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == want
     assert kept.where("doc_id is null").count() == 1
-    assert simhash.keep_one(docs(spark, [])).count() == 0
+    assert simhash.keep_one(docs(spark, [])).count() == 0 == simhash.near_duplicates(docs(spark, [])).count()
 
 
-@pytest.mark.parametrize("part", [simhash.PART, 6])
+@pytest.mark.parametrize("part", [simhash.WIDE_PART, 6])
 def test_near_copies_against_all_pairs(spark, part):
     """Texts of 8 words and up, edited; no more and no less is linked than shingle sets and fingerprints say."""
     rng = random.Random(7)
@@ -147,12 +168,12 @@ def test_near_copies_against_all_pairs(spark, part):
                 for _ in range(edits):
                     words[rng.randrange(n)] = rng.choice(["other", "Words", "here"])
                 texts.append(" ".join(words))
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, texts).repartition(5), part).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, texts).repartition(5), part, part).collect()}
     want = joined(len(texts), plain_links([plain_fingerprint(t) for t in texts]) + alike(texts))
     assert [found[i] for i in range(len(texts))] == want
 
 
-@pytest.mark.parametrize("part", [simhash.PART, 16])
+@pytest.mark.parametrize("part", [simhash.WIDE_PART, 16])
 def test_false_proposals_use_up_no_join(spark, part):
     """Large families whose outsider is 0.8 alike to three members and slightly less to all others."""
     rng = random.Random(11)
@@ -162,7 +183,7 @@ def test_false_proposals_use_up_no_join(spark, part):
         edited = lambda *places, first=first: " ".join(f"e{f}x{i}" if i in places else w for i, w in enumerate(first))
         texts += [edited(20 + 4 * i) for i in range(40)] + [edited(0), edited(199), edited(0, 199), edited(10, 50, 90, 130)]
     rng.shuffle(texts)
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, texts).repartition(3), part).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, texts).repartition(3), part, part).collect()}
     want = joined(len(texts), plain_links([plain_fingerprint(t) for t in texts]) + alike(texts))
     assert [found[i] for i in range(len(texts))] == want and len(set(want)) == 5
 
@@ -178,12 +199,18 @@ def test_short_texts_meet_whatever_their_bits(spark):
     assert [found[i] for i in range(len(texts))] == [i // 2 * 2 for i in range(len(texts))]
 
 
-def test_refuted_pairs_are_left_out_and_spare_pairs_given():
-    values, runs = np.zeros((6, 1), np.uint64), np.array([0, 0, 0, 0, 0, 1])
-    refuted = np.array([i * 6 + j for i in range(4) for j in range(i + 1, 4)])
-    assert set(map(tuple, simhash.links_within(values, runs, 0, refuted=refuted).tolist())) == {(i, 4) for i in range(4)}
-    every = simhash.links_within(values, runs, 0, 1, roots=np.array([0, 0, 2, 3, 4, 5]), spare=9).tolist()
-    assert sorted(every) == [[i, j] for i in range(5) for j in range(i + 1, 5) if (i, j) != (0, 1)]
+@pytest.mark.parametrize("words", [8, 12, 20, 60, 300])
+def test_every_pair_at_the_threshold_is_found(spark, words):
+    """Recall by length of text: pairs made to be just 0.8 alike."""
+    rng, texts = random.Random(words), []
+    n = words - 4
+    for _ in range(60):
+        first = prose(rng, words).split()
+        more = [f"z{k}" for k in range(n // 4)]  # n of n + n // 4 shingles are shared
+        texts += [" ".join(first), " ".join(first + more)]
+    assert len(alike(texts)) == 60
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, texts).repartition(3)).collect()}
+    assert [found[i] for i in range(len(texts))] == [i // 2 * 2 for i in range(len(texts))]
 
 
 # --- decontamination
@@ -452,8 +479,7 @@ def test_pipeline_stages(spark, sf):
     assert one.columns == columns and {r["doc_id"] for r in rows.collect()} - set(left) == {1_000_000, 1_000_001, 1_000_002}
     two = p.near_dedup(spark, one, sf)
     ids = sorted(left)
-    roots = plain_components([plain_fingerprint(left[i]) for i in ids])
-    kept = {ids[r] for r in roots}
+    kept = {ids[r] for r in joined(len(ids), plain_links([plain_fingerprint(left[i]) for i in ids]) + alike([left[i] for i in ids]))}
     assert two.columns == columns and {r["doc_id"] for r in two.collect()} == kept
     three = p.decontamination(spark, two, sf)
     order = sorted(kept)
