@@ -47,9 +47,9 @@ PART, WIDE_PART = 1024, 256
 #: Words of a shingle and bits of the second fingerprint.
 WIDE_WORDS = 5
 WIDE = 512
-#: Radii of proposal, nearer pairs first. Of sets 0.8 alike with ``BRIEF`` or more shingles, one pair in 70 million lies beyond the last
+#: Radii of proposal, nearer pairs first. Of sets 0.8 alike with ``BRIEF`` or more shingles, one pair in 700,000 lies beyond the last
 #: (at worst 15.6 % of the bits differ in the mean), which is less than bands miss.
-WIDE_RADII = (64, 128)
+WIDE_RADII = (64, 120)
 SIMILARITY = 0.8
 #: Texts of fewer shingles are verified whatever their bits, which are a matter of chance.
 BRIEF = 8
@@ -124,13 +124,13 @@ def _lanes(flags: np.ndarray) -> np.ndarray:
 
 def _close(planes: np.ndarray, near: np.ndarray, radius: int, d: int) -> np.ndarray:
     """Positions i of ``near`` whose value lies within ``radius`` bits of value i + d; ``planes`` end in a word of zeros."""
-    step = max(8, len(planes) // 16)  # planes added up before lanes beyond the radius are left out
     digits = max(1, radius.bit_length())
     start = (1 << digits) - 1 - radius  # so that the counter overflows just beyond the radius
     wanted = _lanes(near)
     at = np.flatnonzero(wanted)
     if not len(at):
         return at
+    step = max(8, -(-len(planes) // min(16, max(2, len(at) // 32))))  # planes added up before lanes beyond the radius are left out
     words, bits = divmod(d, 64)
     end = planes.shape[1] - 1
 
@@ -166,7 +166,7 @@ def _close(planes: np.ndarray, near: np.ndarray, radius: int, d: int) -> np.ndar
 
 def links_within(
     values: np.ndarray, runs: np.ndarray, radii: tuple[int, ...], roots: np.ndarray | None = None, sides: np.ndarray | None = None,
-    brief: np.ndarray | None = None, alike: Callable[[int, int], bool] | None = None,
+    brief: np.ndarray | None = None, alike: Callable[[int, int], bool] | None = None, met: Callable[[np.ndarray, int], np.ndarray] | None = None,
 ) -> list[tuple[int, int]]:
     """Position pairs that join all values of a run linked at the last of ``radii`` bits.
 
@@ -176,7 +176,8 @@ def links_within(
     Each pair given lies within a radius and joins what was apart: pairs within an earlier
     radius come first, and values of a run with equal ``roots`` count as joined. With
     ``sides``, only values of different sides are compared. Two ``brief`` values come last
-    and need not lie within a radius. A pair for which ``alike`` is false is none.
+    and need not lie within a radius. A pair for which ``alike`` is false is none, and of
+    the positions that ``met`` says have met their partner d further elsewhere none is tried.
     """
     n = len(values)
     planes = np.hstack([_planes(values), np.zeros((values.shape[1] * 64, 1), np.uint64)])
@@ -205,6 +206,8 @@ def links_within(
                 left = np.flatnonzero(near)
             else:
                 left = _close(planes, near, radius, d)
+            if met is not None and len(left):
+                left = left[~met(left, d)]
             joined = len(found)
             for i in left.tolist():
                 a, b = root(i), root(i + d)
@@ -240,10 +243,11 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _link_stream(radii: tuple[int, ...], threshold: float = SIMILARITY):
-    """From rows (t, k, i, j, own, root, value[, shingles]) sorted by the first four: links (a, b) between roots of a bucket.
+    """From rows (t, k, i, j, own, whole, root, value[, shingles, bands]) sorted by the first four: links (a, b) between roots of a bucket.
 
     Where i and j differ, only rows of different ``own`` are compared. ``value`` is the
-    fingerprint as bytes; ``shingles``, if there, the sorted set that verifies a pair.
+    fingerprint as bytes; ``shingles``, if there, the sorted set that verifies a pair. In
+    buckets compared ``whole``, a pair that shares a band before ``t`` is left to that one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,20 +256,45 @@ def _link_stream(radii: tuple[int, ...], threshold: float = SIMILARITY):
                 continue
             keys = np.stack([c.to_numpy() for c in table.columns[:4]])
             runs = np.cumsum(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
-            own, roots = table.column(4).to_numpy().astype(np.int64), table.column(5).to_numpy()
-            sides = np.where(keys[2] == keys[3], np.arange(len(own)), -1 - own)
-            values = np.frombuffer(b"".join(table.column(6).to_pylist()), ">u8").astype(np.uint64).reshape(len(own), -1)
-            brief = alike = None
-            if table.num_columns > 7:
-                sets = [np.frombuffer(x.as_buffer(), "<u8") for chunk in table.column(7).chunks for x in chunk]
+            own, whole, roots = (table.column(c).to_numpy() for c in (4, 5, 6))
+            sides = np.where(keys[2] == keys[3], np.arange(len(own)), -1 - own.astype(np.int64))
+            values = _words(table.column(7))
+            brief = alike = met = None
+            if table.num_columns > 8:
+                sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column(8)]
                 brief = np.fromiter(map(len, sets), np.int64, len(sets)) < BRIEF
                 alike = lambda i, j, sets=sets: similar(sets[i], sets[j], threshold)
-            found = np.array(links_within(values, runs, radii, roots, sides, brief, alike), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(roots[found[:, 0]]), pa.array(roots[found[:, 1]])], ["a", "b"])
+                earlier = _words(table.column(9))
+                earlier[np.arange(earlier.shape[1]) >= np.where(whole, keys[0], 0)[:, None]] = 0
+                met = lambda at, d, e=earlier: ((e[at] == e[at + d]) & (e[at] != 0)).any(axis=1)
+            found = links_within(values, runs, radii, roots, sides, brief, alike, met)
+            yield pa.RecordBatch.from_pydict(_stars([(int(roots[i]), int(roots[j])) for i, j in found]), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return run
 
 
+def _words(column: pa.ChunkedArray) -> np.ndarray:
+    """Byte strings of one length as rows of big-endian words."""
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(len(column), -1)
+
+
+def _stars(found: list[tuple[int, int]]) -> dict[str, list[int]]:
+    """The same components as the links ``found`` have, each as links to its least member, so that they are joined in few rounds."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    for x, y in found:
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    nodes = [x for x in up if root(x) != x]
+    return {"a": nodes, "b": [root(x) for x in nodes]}
+
+
 def similar(one: np.ndarray, two: np.ndarray, threshold: float = SIMILARITY) -> bool:
     """Whether two sorted sets are at least ``threshold`` alike (Jaccard)."""
     one, two = (one, two) if len(one) <= len(two) else (two, one)
@@ -277,7 +306,7 @@ def similar(one: np.ndarray, two: np.ndarray, threshold: float = SIMILARITY) ->
 
 
 def _compared(dealt: DataFrame, radii: tuple[int, ...]) -> DataFrame:
-    """Distinct links (a, b) between roots of rows (t, k, i, j, own, root, value[, shingles])."""
+    """Distinct links (a, b) between roots of rows as ``_link_stream`` takes them."""
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = dealt.repartition(n, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
     return rows.mapInArrow(_link_stream(radii), "a long, b long").distinct()
@@ -286,15 +315,16 @@ def _compared(dealt: DataFrame, radii: tuple[int, ...]) -> DataFrame:
 def settled(keyed: DataFrame, valued: Callable[[DataFrame], DataFrame], radii: tuple[int, ...], part: int) -> DataFrame:
     """(node, root): what the roots of ``keyed`` (t, k, node, root) that have a link become.
 
-    Rows with equal t and k meet. ``valued`` takes rows (t, k, i, j, own, node, root) and
-    returns them as ``_compared`` wants them. Each bucket is cut into parts of about
+    Rows with equal t and k meet. ``valued`` takes rows (t, k, i, j, own, whole, node,
+    root) and returns them as ``_link_stream`` takes them. Each bucket is cut into parts of about
     ``part`` rows by a hash, each compared on its own. Buckets of more rows whose roots
     are not one by then are compared whole.
     """
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
     met = cut(keyed.join(sizes.select("t", "k", "n"), ["t", "k"]), "simhash-met")
     own = F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("n") / part)).cast("int").alias("own")
-    once = met.select("t", "k", own, "node", "root").select("t", "k", F.col("own").alias("i"), F.col("own").alias("j"), "own", "node", "root")
+    once = met.select("t", "k", own, (F.col("n") <= part).alias("whole"), "node", "root")
+    once = once.select("t", "k", F.col("own").alias("i"), F.col("own").alias("j"), "own", "whole", "node", "root")
     moved = connected_components(_compared(valued(once), radii))
 
     large = met.where(F.col("n") > part).join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
@@ -309,7 +339,7 @@ def settled(keyed: DataFrame, valued: Callable[[DataFrame], DataFrame], radii: t
     is_top, h = F.col("root") == F.col("top"), F.xxhash64("node")
     placed = again.withColumn("own", F.when(is_top, F.pmod(h, tops)).otherwise(tops + F.pmod(h, others)).cast("int"))
     placed = placed.withColumn("with", F.explode(F.sequence(F.when(is_top, tops).otherwise(0), tops + others - 1)))
-    whole = placed.select("t", "k", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "root")
+    whole = placed.select("t", "k", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", F.lit(True).alias("whole"), "node", "root")
     return chained(moved, connected_components(_compared(valued(whole), radii)))
 
 
@@ -332,7 +362,7 @@ def links(classes: DataFrame, radius: int = 3, part: int = PART) -> DataFrame:
     ]
     keyed = classes.select("fp", F.explode(F.array(*tables)).alias("e")).select("e.t", "e.k", F.col("fp").alias("node"), F.col("fp").alias("root"))
     value = F.to_binary(F.lpad(F.hex("node"), 16, "0"), F.lit("hex")).alias("value")
-    return settled(keyed, lambda rows: rows.select("t", "k", "i", "j", "own", "root", value), (radius,), part)
+    return settled(keyed, lambda rows: rows.select("t", "k", "i", "j", "own", "whole", "root", value), (radius,), part)
 
 
 def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
@@ -396,15 +426,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in lots(batches, 64):
         made = [shingle_set(x.as_py()) for x in batch.column(0).cast(pa.binary())]
         tids = np.array([t for t, _ in made], np.uint64).view(np.int64)
-        columns = [pa.array([wide_print(x) for _, x in made], pa.binary()), pa.array([x.astype("<u8").tobytes() for _, x in made], pa.binary())]
-        yield pa.RecordBatch.from_arrays([pa.array(tids), *columns], ["tid", "value", "shingles"])
+        bands = [np.array(bands_of(x), ">u8").tobytes() for _, x in made]
+        columns = [pa.array(x, pa.binary()) for x in ([wide_print(x) for _, x in made], [x.astype("<u8").tobytes() for _, x in made], bands)]
+        yield pa.RecordBatch.from_arrays([pa.array(tids), *columns], ["tid", "value", "shingles", "bands"])
 
 
 def shingle_sets(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """(tid, value, shingles): second fingerprints and sets of shingles of the texts ``named`` (tid, rep); only these are read again."""
+    """(tid, value, shingles, bands): second fingerprints, sets of shingles and band keys of the texts ``named`` (tid, rep); only these are read again."""
     wanted = cut(named.select(F.col("rep").alias("doc_id")).distinct(), "simhash-named")
     again = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = again.select("text").mapInArrow(_sets, "tid long, value binary, shingles binary")
+    sets = again.select("text").mapInArrow(_sets, "tid long, value binary, shingles binary, bands binary")
     return cut(sets.join(named, "tid", "left_semi").dropDuplicates(["tid"]), "simhash-sets")
 
 
@@ -440,7 +471,7 @@ def near_copies(docs: DataFrame, part: int = PART, wide_part: int = WIDE_PART) -
         nonlocal sets
         if sets is None:  # the texts of the second comparison are among those of the first
             sets = shingle_sets(docs, texts.join(rows.select(F.col("node").alias("tid")).distinct(), "tid", "left_semi").select("tid", "rep"))
-        return rows.join(sets.withColumnRenamed("tid", "node"), "node").select("t", "k", "i", "j", "own", "root", "value", "shingles")
+        return rows.join(sets.withColumnRenamed("tid", "node"), "node").select("t", "k", "i", "j", "own", "whole", "root", "value", "shingles", "bands")
 
     return _grouped(prints, classes, chained(roots, settled(keyed, valued, WIDE_RADII, wide_part)))
 

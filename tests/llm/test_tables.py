@@ -127,7 +127,7 @@ def test_buckets_larger_than_a_part_are_compared_whole(spark):
     values += [v ^ 5 for v in values[::40]] + [values[0] ^ 1 << k for k in range(60)]
     rows = spark.createDataFrame([(1, 1, v, v) for v in values], "t int, k long, node long, root long")
     value = F.to_binary(F.lpad(F.hex("node"), 16, "0"), F.lit("hex")).alias("value")
-    found = simhash.settled(rows, lambda r: r.select("t", "k", "i", "j", "own", "root", value), (2,), 16).collect()
+    found = simhash.settled(rows, lambda r: r.select("t", "k", "i", "j", "own", "whole", "root", value), (2,), 16).collect()
     want = joined(len(values), plain_links([v & (1 << 64) - 1 for v in values], 2))
     groups = {}
     for r in found:
