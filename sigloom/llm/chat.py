@@ -1,18 +1,21 @@
 r"""Chat formatting by prefix-target expansion.
 
-Every assistant turn becomes an example of its own: all turns before it are its context
-and only its reply is trainable. Written out, the contexts of a conversation of n turns
-hold n squared turns, so examples share their prefixes: a conversation's formatted text
-is stored once, turn by turn, and an example is the range ``[0, target_end)`` of it with
-the trainable range ``[target_start, target_end)``. ``materialise`` writes the examples
-out in full where that is wanted.
+Every assistant turn is exploded into an example of its own: all turns before it are its
+context and only its reply is trainable. Written out, the contexts of a conversation of
+n turns hold n squared turns, so examples share their prefixes: a conversation's
+formatted text is stored once, turn by turn, and an example is a row of ranges over it,
+``[0, context_end)`` for the context and ``[target_start, target_end)`` for the loss
+mask. ``read_back`` takes turns, loss text and loss length from the written examples and
+the text that they point into; ``materialise`` writes whole examples out.
 
 A template marks turns with control strings. In texts, a backslash follows every
 backslash, and every ``<`` or ``[`` that would begin a control string or stands before a
 backslash; so no text can hold a control string and unescaping gives the text back.
 
-Each conversation streams through one task in turn order, a batch of rows at a time;
-only running totals are kept, whatever its length.
+Places in a conversation's text are running sums over ranges of the sort order, so a
+conversation of any length is formatted by many tasks. Only the digests of ``read_back``
+are sequential: there a conversation's rows stream through one task, a batch at a time,
+and only running totals are kept.
 
 Edge cases: a null text is empty and a null role is the empty role. Turns are ordered by
 turn, then role and text, so ties and repeated rows have a fixed place and all count. A
@@ -27,10 +30,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions.storage import cut
+from sigloom.operators.order import running_sums
 
 # The template's control strings, and what opens and closes a turn of a role.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]")
@@ -70,24 +74,6 @@ def parse_turn(segment: str) -> tuple[str, str]:
     return "assistant", unescape(segment[len(before) : len(segment) - len(after)])
 
 
-SEGMENT = "conv_id long, seq long, example long, segment string, start long, end long, target_start long, target_end long"
-
-
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    conv, seq, at, example = object(), 0, 0, 0
-    for batch in batches:
-        out = []
-        for c, role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if c != conv:
-                conv, seq, at, example = c, 0, 0, 0
-            segment, first = format_turn(role, text)
-            end = at + len(segment)
-            target = (at + first, at + first + len(escape(text))) if role == "assistant" else (None, None)
-            out.append((c, seq, example, segment, at, end, *target))
-            seq, at, example = seq + 1, end, example + (role == "assistant")
-        yield _batch(out, SEGMENT)
-
-
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
     fields = [x.split() for x in schema.split(", ")]
@@ -101,25 +87,56 @@ def _streamed(df: DataFrame, *order: str) -> DataFrame:
     return df.repartition(n, "conv_id").sortWithinPartitions("conv_id", *order)
 
 
+def _hidden(text: Column) -> Column:
+    """``escape`` as an expression."""
+    return F.regexp_replace(text, _ESCAPE.pattern, r"$0\\")
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
     """One row per turn: its formatted segment, its place in the conversation's text, and the example it belongs to.
 
-    ``example`` counts the assistant turns before; the turns of one number are what its
-    example adds to the prefix it shares with the example before. ``target_*`` are set on
-    the assistant turn that the example trains on.
+    (conv_id, seq, example, segment, start, end, target_start, target_end). ``example``
+    counts the assistant turns before; the turns of one number are what its example adds
+    to the prefix it shares with the example before. ``target_*`` enclose the reply of an
+    assistant turn. Equal turns are placed together and numbered afterwards.
     """
-    clean = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        "turn",
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    each = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), said("role"), said("text"))
+    each = each.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
+    role, other = F.col("role"), F.concat(F.lit(OTHER[0]), _hidden(F.col("role")), F.lit(OTHER[1]))
+    before, after = other, F.lit(OTHER[2])
+    for name, (opens, closes) in TURNS.items():
+        before, after = F.when(role == name, F.lit(opens)).otherwise(before), F.when(role == name, F.lit(closes)).otherwise(after)
+    each = each.withColumn("before", before).withColumn("hidden", _hidden(F.col("text"))).withColumn("segment", F.concat("before", "hidden", after))
+    each = each.withColumn("chars", F.char_length("segment").cast("long")).withColumn("all_chars", F.col("chars") * F.col("n"))
+    each = each.withColumn("replies", F.when(role == "assistant", F.col("n")).otherwise(F.lit(0).cast("long")))
+    placed = running_sums(each, ["conv_id", "turn", "role", "text"], ["n", "all_chars", "replies"])
+    sums = ("before_n", "before_all_chars", "before_replies")
+    firsts = placed.groupBy(F.col("conv_id").alias("of")).agg(*(F.min(c).alias(f"first_{c}") for c in sums))
+    placed = placed.join(firsts, F.col("conv_id").eqNullSafe(F.col("of")))
+    at = {c: F.col(c) - F.col(f"first_{c}") for c in sums}
+    rows = placed.select(
+        "conv_id", F.posexplode(F.sequence(F.lit(1), F.col("n"))).alias("k", "_"), "segment", "role", "chars", F.char_length("before").alias("skip"),
+        F.char_length("hidden").alias("inner"), *(at[c].alias(c) for c in sums),
+    )
+    start = F.col("before_all_chars") + F.col("k") * F.col("chars")
+    reply = F.col("role") == "assistant"
+    return rows.select(
+        "conv_id",
+        (F.col("before_n") + F.col("k")).alias("seq"),
+        (F.col("before_replies") + F.when(reply, F.col("k")).otherwise(0)).alias("example"),
+        "segment",
+        start.alias("start"),
+        (start + F.col("chars")).alias("end"),
+        F.when(reply, start + F.col("skip")).alias("target_start"),
+        F.when(reply, start + F.col("skip") + F.col("inner")).alias("target_end"),
     )
-    return _streamed(clean, "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_format, SEGMENT)
 
 
 def examples(segments: DataFrame) -> DataFrame:
-    """One row per assistant turn: (conv_id, example, context_chars, target_start, target_end)."""
-    return segments.where("target_start is not null").select("conv_id", "example", F.col("start").alias("context_chars"), "target_start", "target_end")
+    """One row per assistant turn: (conv_id, example, seq, context_end, target_start, target_end), ranges of the conversation's text."""
+    replies = segments.where("target_start is not null")
+    return replies.select("conv_id", "example", "seq", F.col("start").alias("context_end"), "target_start", "target_end")
 
 
 def materialise(segments: DataFrame) -> DataFrame:
@@ -127,7 +144,7 @@ def materialise(segments: DataFrame) -> DataFrame:
 
     Contexts are repeated for every reply, so this is for conversations of ordinary length.
     """
-    wanted = examples(segments)
+    wanted = examples(segments).drop("seq")
     parts = segments.select("conv_id", F.col("example").alias("of"), "seq", "segment")
     joined = wanted.join(parts, "conv_id").where(F.col("of") <= F.col("example"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "segment"))), lambda x: x["segment"]), "")
@@ -138,7 +155,7 @@ DIGEST = "conv_id long, n_turns long, n_examples long, turns_sha256 string, loss
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    conv, state = None, None
+    conv, state, mask = None, None, None
 
     def row() -> tuple:
         n, k, turns, chars, loss, total = state
@@ -146,31 +163,40 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out = []
-        for c, segment, start, first, last in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        for c, segment, start, context_end, first, last in zip(*(batch.column(i).to_pylist() for i in range(6))):
             if state is None or c != conv:
                 if state is not None:
                     out.append(row())
-                conv, state = c, [0, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                conv, state, mask = c, [0, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], None
+            if segment is None:  # an example, before the turn that it trains on
+                if context_end != state[5] or not context_end <= first <= last:
+                    raise ValueError(f"an example of conversation {c} does not have the turns before it as its context")
+                mask = first, last
+                continue
             role, text = parse_turn(segment)
             state[0] += 1
             state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             state[5] += len(segment)
-            if first is not None:
-                trained = unescape(segment[first - start : last - start])
+            if mask is not None:
+                trained = unescape(segment[mask[0] - start : mask[1] - start])
                 state[1] += 1
                 state[3] += len(trained)
                 state[4].update(trained.encode("utf-8", "surrogatepass"))
+                mask = None
         yield _batch(out, DIGEST)
     if state is not None:
         yield _batch([row()], DIGEST)
 
 
-def read_back(segments: DataFrame) -> DataFrame:
-    """Per conversation, turns and trainable text parsed out of the formatted text."""
-    rows = _streamed(segments, "seq").select("conv_id", "segment", "start", "target_start", "target_end")
-    return rows.mapInArrow(_digest, DIGEST)
+def read_back(segments: DataFrame, made: DataFrame) -> DataFrame:
+    """Per conversation, the turns parsed out of its text and what the masks of its examples ``made`` let train."""
+    none = lambda kind: F.lit(None).cast(kind)
+    text = segments.select("conv_id", "seq", F.lit(1).alias("kind"), "segment", "start", *(none("long").alias(c) for c in ("context_end", "target_start", "target_end")))
+    masks = made.select("conv_id", "seq", F.lit(0).alias("kind"), none("string").alias("segment"), none("long").alias("start"), "context_end", "target_start", "target_end")
+    return _streamed(text.unionByName(masks), "seq", "kind").drop("seq", "kind").mapInArrow(_digest, DIGEST)
 
 
 def report(turns: DataFrame) -> DataFrame:
-    """Format, write, read again, and digest what was read."""
-    return read_back(cut(format_conversations(turns), "chat"))
+    """Format, explode into examples, write both, read them again, and digest what was read."""
+    segments = cut(format_conversations(turns), "chat-text")
+    return read_back(segments, cut(examples(segments), "chat-examples"))

@@ -186,6 +186,26 @@ def test_examples_have_all_turns_before_as_context(spark):
     assert [(m["text"], chat.unescape(m["text"][m["target_start"] : m["target_end"]])) for m in made] == want
 
 
+def test_what_is_read_back_goes_through_the_examples(spark):
+    """One wrong mask changes the loss text of its conversation and of no other; a wrong context is an error."""
+    rows, df = conversations(spark)
+    segments = chat.format_conversations(df.where("conv_id is not null")).cache()
+    made = chat.examples(segments)
+    good = {r["conv_id"]: r for r in chat.read_back(segments, made).collect()}
+    last = {c: max(len(x or "") for d, _, r, x in rows if d == c and r == "assistant") for c in good if any(d == c and r == "assistant" and x for d, _, r, x in rows)}
+    conv = max(last, key=last.get)
+    longer = F.struct(F.col("target_end") - F.col("target_start"), "example")
+    worst = made.where(F.col("conv_id") == conv).agg(F.max_by("example", longer)).first()[0]
+    hit = (F.col("conv_id") == conv) & (F.col("example") == worst)
+    wrong = made.withColumn("target_end", F.when(hit, F.col("target_start")).otherwise(F.col("target_end")))
+    bad = {r["conv_id"]: r for r in chat.read_back(segments, wrong).collect()}
+    assert {c for c in good if good[c] != bad[c]} == {conv} and bad[conv]["loss_chars"] < good[conv]["loss_chars"]
+    fewer = {r["conv_id"]: r for r in chat.read_back(segments, made.where(~hit)).collect()}
+    assert fewer[conv]["n_examples"] == good[conv]["n_examples"] - 1 and fewer[conv]["turns_sha256"] == good[conv]["turns_sha256"]
+    with pytest.raises(Exception, match="context"):
+        chat.read_back(segments, made.withColumn("context_end", F.when(hit, F.col("context_end") + 1).otherwise(F.col("context_end")))).collect()
+
+
 # --- personal data
 
 PII = [
