@@ -66,10 +66,16 @@ URLS = r"""
     with recursive cut as (select page_id, url, html, case when url like '%://%' then translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
         case when url like '%://%' then regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) else '' end as path from pages),
     rules(verdict, h, p) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
-    target as (select host, host || path as a, coalesce(nullif(regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''),
-        nullif(regexp_extract(html, '(?is)<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*?url\s*=\s*["'']?([^"''\s>]+)', 1), '')) as t from cut),
-    whole as (select a, case when t like '%://%' then t when t like '//%' then 'http:' || t when t like '/%' then 'http://' || host || t end as t from target),
-    ends as (select a, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as b from whole),
+    target as (select host, path, replace(unnest(list_concat(list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+        lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)), regexp_extract_all(html, '(?is)<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*?url\s*=\s*["'']?([^"''\s>]+)', 1))), '&amp;', '&') as t from cut where html is not null),
+    parted as (select *, regexp_extract(t, '(?s)^[^?#]*') as own, coalesce(nullif(regexp_extract(path, '(?s)^.*/'), ''), '/') as folder from target where t <> ''),
+    whole as (select host || path as a, host, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t when t like '//%' then 'http:' || t end as t,
+        case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') or host = '' then null when own = '' then path when own like '/%' then own else folder || own end as p, own = '' as same from parted),
+    dotted as (select distinct p, p as q from whole where t is null and not same and p is not null union select p, case when regexp_matches(q, '^/\.\.(/|$)') then regexp_replace(q, '^/\.\.(/|$)', '/')
+        when regexp_matches(q, '/\.(/|$)') then regexp_replace(q, '/\.(/|$)', '/') else regexp_replace(q, '/[^/]*/\.\.(/|$)', '/') end from dotted where regexp_matches(q, '/\.\.?(/|$)')),
+    ends as (select a, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as b from whole where t is not null
+        union all select a, host || p from whole where t is null and same and p is not null
+        union all select a, host || q from whole join dotted using (p) where t is null and not same and not regexp_matches(q, '/\.\.?(/|$)')),
     edges as (select a, b from ends where a <> '' and b <> '' union select b, a from ends where a <> '' and b <> ''),
     reach as (select a as node, a as other from edges union select r.node, e.b from reach r join edges e on r.other = e.a),
     ruled as (select n.node, r.verdict from (select distinct other as node from reach) n join rules r

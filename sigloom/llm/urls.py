@@ -7,9 +7,11 @@ precedence: an explicit allow rule wins for its own url, and a component that ha
 allowed url is not blocked through another one.
 
 A node of the link graph is host plus path: scheme, query and fragment make no
-difference. A page's canonical link and its refresh are an edge each. Edge cases: a null
+difference. Each canonical link and each refresh of a page is an edge. Edge cases: a null
 url or one without ``://`` has an empty host and path, no rule, no aliases, and is
-allowed. Relative link targets are read against the page's host and folder. Rows with null or repeated ids are judged one by one; extra columns are ignored.
+allowed. Relative link targets are read against the page's host and folder, ``&amp;`` in
+them as ``&``. Rows with null or repeated ids are judged one by one; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -84,17 +86,17 @@ def _dotted(path_: Column) -> Column:
     return F.when(path_.rlike(r"(?s)/\.{1,2}(/|$)"), _without_dots(path_)).otherwise(path_)
 
 
-def link_targets(html: Column, url: Column) -> Column:
-    """Array of host plus path that a page's canonical link and its refresh point to; null where it has none."""
-    canonical = F.nullif(F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1), F.lit(""))
-    refresh = F.nullif(F.regexp_extract(html, _REFRESH, 1), F.lit(""))
-    return F.array(resolved(canonical, url), resolved(refresh, url))
+def link_targets(html: Column) -> Column:
+    """Array of the targets that a page's canonical links and its refreshes name, as written."""
+    canonical = F.transform(F.regexp_extract_all(html, F.lit(_CANONICAL), F.lit(0)), lambda tag: F.regexp_extract(tag, _HREF, 1))
+    written = F.concat(canonical, F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
+    return F.transform(F.filter(written, lambda t: t != ""), lambda t: F.replace(t, F.lit("&amp;"), F.lit("&")))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(a, b): host plus path of each page that has link targets, and of each target."""
-    hinted = pages.where(F.col("html").rlike("(?i)canonical|refresh"))
-    found = hinted.select(F.concat(host(F.col("url")), path(F.col("url"))).alias("a"), F.explode(link_targets(F.col("html"), F.col("url"))).alias("b"))
+    hinted = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select("url", F.explode(link_targets(F.col("html"))).alias("target"))
+    found = hinted.select(F.concat(host(F.col("url")), path(F.col("url"))).alias("a"), resolved(F.col("target"), F.col("url")).alias("b"))
     return found.where("a != '' and b != ''")
 
 

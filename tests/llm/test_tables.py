@@ -385,10 +385,19 @@ def test_urls_and_chat_against_sql(spark, tmp_path):
     import duckdb
 
     rows = linked_pages() + [(100 + i, u, None) for i, u in enumerate(URLS)]
+    move = lambda t: f'<link rel=canonical href="http://h.com/x/y/own"><meta http-equiv=refresh content="0; url={t}">'
+    rows += [(200 + i, f"http://H.com/x/y/{i}?z=1/2", move(t)) for i, (t, _) in enumerate(RELATIVE) if t]
+    rows += [(300 + i, f"http://{w}", move("http://bad.net/a&amp;b") if i % 3 else None) for i, (_, w) in enumerate(RELATIVE) if w]
+    rows += [(400, "http://two.com/1", '<link rel=canonical href="http://fine.com/"><link rel=canonical href="b//../../c"><x'), (400, "http://two.com/c", '<meta http-equiv=refresh content="0; url=//bad.net/a&b">')]
     pages(spark, rows).write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
-    same(urls.judge(spark.read.parquet(f"{tmp_path}/pages.parquet")), con, oracles.URLS)
+    table = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    same(urls.judge(table), con, oracles.URLS)
+    clash = table.withColumn("host", F.lit("x")).withColumn("node", F.lit(1)).withColumn("fit", F.lit(2)).withColumn("target", F.lit(3))
+    same(urls.judge(clash), con, oracles.URLS)
+    found = urls.judge(table).where("page_id = 400").collect()
+    assert [r["verdict"] for r in found] == ["block", "block"]
 
 
 def test_more_redirects_may_be_given(spark):
