@@ -89,8 +89,8 @@ URLS = r"""
 WARC = """
     with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
     f as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest, payload_bytes >= 1000) end as first from p)
-    select page_id, payload_bytes, payload_digest, case when first <> page_id then 'revisit' else 'response' end as record_type,
-        case when first <> page_id then first end as refers_to from f"""
+    select page_id, payload_bytes, payload_digest, case when first is not null and first is distinct from page_id then 'revisit' else 'response' end as record_type,
+        case when first is distinct from page_id then first end as refers_to from f"""
 
 CHAT = r"""
     with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

@@ -3,20 +3,22 @@
 Writing: each page gives a request, a response or revisit, and a metadata record, all
 tied by WARC-Concurrent-To to the response. Records are text rows that Spark's own
 writer commits, so a lost executor leaves no half-written archive and any file system
-that Spark can write to will do. A revisit carries the HTTP head with the length of the
+that Spark can write to will do; files are bounded by records and so by bytes, as pages
+of a size class are written together. A revisit carries the HTTP head with the length of the
 payload, and the digest, but not the payload.
 
 Reading: archives (plain, or gzip with one or many members) are parsed by
-Content-Length, a file at a time, in Arrow batches; files are small, as the writer
-starts a new one after ``RECORDS_PER_FILE`` pages. The payload digest is verified.
+Content-Length, a file at a time, in Arrow batches. The payload digest is verified.
 
-Assembly: request, response and metadata records are joined through their concurrent-to
-identifiers to one nested row per capture.
+Assembly: records are joined through their concurrent-to identifiers, of which a record
+may have several and which either side may name: connected components over these links
+give one nested row per capture. Records that no link joins are rows of their own.
 
 Edge cases: a null html is an empty payload; a null url has no target URI. Records with
 equal payloads of at least ``LEAST_REVISIT`` bytes refer to the one with the largest id;
-smaller ones are all responses. Rows without an id or with a repeated id are captures of
-their own (ids are told apart by a running number within equal id and payload). Texts of
+smaller ones are all responses, and so are equal payloads if none of their rows has an
+id. Rows without an id or with a repeated id are captures of their own (told apart by url
+and a number within equal id, url and payload). Texts of
 any content are safe, as lengths, not separators, end a record. Extra columns are ignored.
 """
 
@@ -27,13 +29,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.functions.storage import fresh_path
+from sigloom.functions.storage import cut, fresh_path
+from sigloom.operators.graph import connected_components
 
 LEAST_REVISIT = 1000
-RECORDS_PER_FILE = 4000
+#: Size classes of payloads, as (bytes from which, pages of a file): a file holds 256 MB of payload at most, or eight pages.
+SIZES = ((0, 4000), (1 << 16, 256), (1 << 20, 8))
+#: Repeated payloads (about 200 bytes each in memory) that are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 200_000
 #: Date written into records whose page has none.
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
@@ -68,39 +74,52 @@ def _header(name: str, value: Column) -> Column:
 
 
 def _numbered(known: DataFrame) -> DataFrame:
-    """``known`` with ``nr``, which tells rows of equal id and payload apart; rows move only if ids repeat."""
-    again = known.groupBy("page_id").count().where("count > 1")
+    """``known`` with ``nr``, which tells rows of equal id, url and payload apart; payloads move only where ids repeat."""
+    again = known.groupBy(F.col("page_id").alias("id")).agg(F.count("*").alias("c")).where("c > 1 or id is null").select("id")
     if not again.limit(1).count():
         return known.withColumn("nr", F.lit(1))
-    return known.withColumn("nr", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
+    same = known["page_id"].eqNullSafe(again["id"])
+    counted = known.join(again, same, "left_semi").groupBy("page_id", "url", "digest", "bytes").agg(F.first("html").alias("html"), F.count("*").alias("c"))
+    told = counted.select(*known.columns, F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("nr"))
+    return known.join(again, same, "left_anti").withColumn("nr", F.lit(1)).unionByName(told)
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, bytes, digest, nr, refers_to): ``refers_to`` is set for revisits.
+    """(page_id, url, html, bytes, digest, nr, refers_to, refers_url): the last two are set for revisits.
 
-    Ids of payloads are pre-aggregated before they are shuffled; only payloads that occur
-    twice are joined back, each copied to ``SALTS`` parts so that no payload is one task.
+    Ids of payloads are pre-aggregated before they are shuffled. Payloads that occur twice
+    are broadcast if their counted rows are few; then no html is shuffled. Otherwise each
+    is copied to ``SALTS`` parts, so that no payload is one task.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     known = pages.select("page_id", "url", html.alias("html")).withColumn("bytes", F.octet_length("html").cast("long"))
     known = _numbered(known.withColumn("digest", F.sha1(F.col("html").cast("binary"))))
-    copies = known.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    copies = copies.where("n > 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = known.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(copies, ["digest", "salt"], "left").select(
-        "page_id", "url", "html", "bytes", "digest", "nr", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to")
-    )
+    large = known.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest")
+    copies = large.agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1 and first.page_id is not null").select("digest", "first")
+    copies = cut(copies, "warc-copies")
+    if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = known.join(F.broadcast(copies), "digest", "left")
+    else:
+        salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        joined = known.withColumn("salt", salt).join(salted, ["digest", "salt"], "left")
+    again = F.col("first").isNotNull() & ~F.col("first.page_id").eqNullSafe(F.col("page_id"))
+    of = lambda c: F.when(again, F.col(f"first.{c}")).alias(f"refers_{'to' if c == 'page_id' else c}")
+    return joined.select("page_id", "url", "html", "bytes", "digest", "nr", of("page_id"), of("url"))
 
 
 def records(pages: DataFrame) -> DataFrame:
     """One text row per page: its request, response or revisit, and metadata record."""
-    known = with_revisits(pages)
+    return _records(with_revisits(pages))
+
+
+def _records(known: DataFrame) -> DataFrame:
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     host = F.regexp_extract(uri, r"://([^/?#]*)", 1)
     target = F.regexp_extract(uri, r"://[^/?#]*([^#]*)", 1)
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
-    rid = lambda kind, of, nr: _urn(F.lit(kind), of, F.col("digest"), nr)
-    own = [rid(k, name, F.col("nr")) for k in ("request", "response", "metadata")]
+    rid = lambda kind, of, url, nr: _urn(F.lit(kind), of, F.col("digest"), nr, F.coalesce(url, F.lit("")))
+    own = [rid(k, name, F.col("url"), F.col("nr")) for k in ("request", "response", "metadata")]
     link = _header("WARC-Concurrent-To", own[1])
     to = _header("WARC-Target-URI", uri)
     ask = F.concat(F.lit("GET "), F.coalesce(F.nullif(target, F.lit("")), F.lit("/")), F.lit(" HTTP/1.1\r\nHost: "), F.coalesce(host, F.lit("")), F.lit(END))
@@ -108,7 +127,7 @@ def records(pages: DataFrame) -> DataFrame:
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit(END))
     answer = F.concat(head, F.when(again, "").otherwise(F.col("html")))
     digest = _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
-    first = F.when(again, _header("WARC-Refers-To", rid("response", F.col("refers_to").cast("string"), F.lit(1))))
+    first = F.when(again, _header("WARC-Refers-To", rid("response", F.col("refers_to").cast("string"), F.col("refers_url"), F.lit(1))))
     profile = F.when(again, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
     http = lambda kind: F.lit(f"Content-Type: application/http; msgtype={kind}")
     fields = F.concat(F.lit("page-id: "), name, F.lit("\r\nrefers-to-page: "), F.coalesce(F.col("refers_to").cast("string"), F.lit("-")), F.lit("\r\n"))
@@ -123,10 +142,16 @@ def records(pages: DataFrame) -> DataFrame:
     )
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Write the archives of ``pages`` to ``path`` as gzip files."""
-    options = {"compression": "gzip", "lineSep": END, "maxRecordsPerFile": str(RECORDS_PER_FILE)}
-    records(pages).write.options(**options).text(path)
+def write(pages: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Write the archives of ``pages`` below ``path``, a folder per size class that occurs; ``compression`` none lets readers seek records."""
+    known = with_revisits(pages)
+    size = F.lit(0)
+    for k, (least, _) in enumerate(SIZES[1:], 1):
+        size = F.when(F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))) >= least, k).otherwise(size)
+    kinds = sorted(r[0] for r in pages.select(size.alias("k")).distinct().collect())  # at most one row per class
+    for k in kinds or [0]:
+        options = {"compression": compression, "lineSep": END, "maxRecordsPerFile": str(SIZES[k][1])}
+        _records(known.where(size == k) if len(kinds) > 1 else known).write.options(**options).text(f"{path}/size-{k}")
 
 
 def _unzipped(content: bytes) -> bytes:
@@ -140,26 +165,33 @@ def _unzipped(content: bytes) -> bytes:
     return b"".join(out)
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+class Headers(dict[str, str]):
+    """Headers of a record by name in lower case; ``linked`` are the values of all its concurrent-to headers."""
+
+    linked: list[str]
+
+
+def parse(content: bytes) -> Iterator[tuple[Headers, bytes]]:
     """Headers (names in lower case) and block of every record of one archive."""
     data = _unzipped(content)
     view, at = memoryview(data), 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
         stop = data.index(b"\r\n\r\n", at)
         lines = data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        headers = Headers((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines))
+        headers.linked = [v.strip() for k, _, v in (x.partition(":") for x in lines) if k.strip().lower() == "warc-concurrent-to"]
         end = stop + 4 + int(headers.get("content-length", 0))
         yield headers, bytes(view[stop + 4 : end])
         at = end
 
 
-RECORD = "type string, record_id string, concurrent_to string, refers_to string, uri string, payload_bytes long, payload_digest string, fields string, payload binary"
+RECORD = "type string, record_id string, concurrent_to array<string>, refers_to string, uri string, payload_bytes long, payload_digest string, fields string, payload binary"
 
 
 def _parse_files(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
-            [(n, pa.string()) for n in ("type", "record_id", "concurrent_to", "refers_to", "uri")]
+            [("type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("uri", pa.string())]
             + [("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("fields", pa.string()), ("payload", pa.binary())]
         )
         for batch in batches:
@@ -167,7 +199,7 @@ def _parse_files(with_payload: bool):
                 rows, size = [], 0
                 for h, block in parse(content.as_py()):
                     kind = h.get("warc-type")
-                    row = [kind, h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), None, None, None, None]
+                    row = [kind, h.get("warc-record-id"), h.linked, h.get("warc-refers-to"), h.get("warc-target-uri"), None, None, None, None]
                     if kind in ("response", "revisit"):
                         head, _, payload = block.partition(b"\r\n\r\n")
                         said = h.get("warc-payload-digest", "").rpartition(":")[2].lower()
@@ -201,18 +233,31 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 def assemble(found: DataFrame) -> DataFrame:
     """One nested row per capture: (capture_id, response, request, metadata); absent records are null or empty.
 
-    Requests and metadata records name the response they are concurrent to. All sides
-    are keyed by that id and meet in one shuffle, so the archives are read once; a
-    capture's group holds its few records only.
+    Records are linked through concurrent-to identifiers, whichever side names the other
+    and through however many records. ``capture_id`` is the response's id, or else the
+    least id of the group. A group of several responses has a row for each. Records
+    without an id are rows of their own; those of other types (such as warcinfo) belong to no
+    capture. ``found`` is read for its links and for its records.
     """
-    answer = F.col("type").isin("response", "revisit")
+    records_ = found.where(F.col("type").isin("request", "response", "revisit", "metadata"))
+    named = records_.where("record_id is not null").select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
+    members = connected_components(named)
     nested = F.struct("record_id", "uri", "type", "refers_to", "payload_bytes", "payload_digest", "payload")
-    keyed = found.withColumn("capture_id", F.when(answer, F.col("record_id")).otherwise(F.col("concurrent_to")))
-    return keyed.where("capture_id is not null").groupBy("capture_id").agg(
-        F.first(F.when(answer, nested), ignorenulls=True).alias("response"),
-        F.first(F.when(F.col("type") == "request", F.struct("record_id", "uri")), ignorenulls=True).alias("request"),
-        F.collect_list(F.when(F.col("type") == "metadata", F.struct("record_id", "fields"))).alias("metadata"),
+    answer = F.col("type").isin("response", "revisit")
+    request, metadata = F.when(F.col("type") == "request", F.struct("record_id", "uri")), F.when(F.col("type") == "metadata", F.struct("record_id", "fields"))
+    keyed = records_.where("record_id is not null").join(members.withColumnRenamed("node", "record_id"), "record_id", "left")
+    groups = keyed.withColumn("root", F.coalesce("root", "record_id")).groupBy("root").agg(
+        F.collect_list(F.when(answer, nested)).alias("responses"),
+        F.min(request).alias("request"),
+        F.collect_list(metadata).alias("metadata"),
+        F.min("record_id").alias("least"),
+    )
+    alone = records_.where("record_id is null").select(
+        F.array_compact(F.array(F.when(answer, nested))).alias("responses"), request.alias("request"), F.array_compact(F.array(metadata)).alias("metadata"), F.col("record_id").alias("least")
     )
+    groups = groups.drop("root").unionByName(alone)
+    rows = groups.select(F.explode_outer("responses").alias("response"), "request", "metadata", "least")
+    return rows.select(F.coalesce("response.record_id", "least").alias("capture_id"), "response", "request", "metadata")
 
 
 def captures(pages: DataFrame) -> DataFrame:
@@ -220,7 +265,7 @@ def captures(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write(pages, path)
-    whole = assemble(read(spark, path, with_payload=False))
+    whole = assemble(cut(read(spark, path, with_payload=False), "warc-records"))
     field = lambda name: F.nullif(F.regexp_extract(F.array_join("metadata.fields", ""), rf"(?:^|\n){name}: (-?[0-9]+)\r", 1), F.lit("")).cast("long")
     return whole.select(
         field("page-id").alias("page_id"),

@@ -450,6 +450,34 @@ def test_repeated_and_missing_ids_are_captures_of_their_own(spark):
     assert warc.captures(pages(spark, [])).count() == 0
 
 
+def test_ids_missing_among_equal_payloads(spark):
+    html = "x" * 2000
+    rows = [(7, "u", html), (None, "v", html), (None, "v", html), (3, "w", html), (7, "u", html), (None, "y", html + "z"), (None, "y", html + "z")]
+    found = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.captures(pages(spark, rows)).collect())
+    assert found == [("3", 2000, "revisit", 7), ("7", 2000, "response", None), ("7", 2000, "response", None)] + [("None", 2000, "revisit", 7)] * 2 + [("None", 2001, "response", None)] * 2
+
+
+def test_size_classes_and_large_joins(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SIZES", ((0, 5), (100, 2), (1500, 1)))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    test_archive_round_trip(spark)
+
+
+def test_links_of_either_side(spark, tmp_path):
+    """Concurrent-to is read in both directions, repeated, and through other records; orphans stay."""
+    make = lambda kind, rid, *to: "\r\n".join([f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {rid}", *(f"WARC-Concurrent-To: {t}" for t in to), "Content-Length: 0\r\n\r\n\r\n\r\n"])
+    text = make("response", "r1", "q1") + make("request", "q1") + make("metadata", "m1", "q1")
+    text += make("metadata", "m2", "q2", "r2") + make("request", "q2") + make("response", "r2")
+    text += make("request", "q3") + make("metadata", "m4", "gone") + make("response", "r5") + make("warcinfo", "w", "r5")
+    text += make("request", "q6", "r6", "r7") + make("response", "r6") + make("revisit", "r7")
+    (tmp_path / "a.warc").write_bytes(text.encode())
+    found = {r["capture_id"]: (r["response"] and r["response"]["record_id"], r["request"] and r["request"]["record_id"], [m["record_id"] for m in r["metadata"]]) for r in warc.assemble(warc.read(spark, str(tmp_path))).collect()}
+    assert found == {
+        "r1": ("r1", "q1", ["m1"]), "r2": ("r2", "q2", ["m2"]), "q3": (None, "q3", []), "m4": (None, None, ["m4"]), "r5": ("r5", None, []),
+        "r6": ("r6", "q6", []), "r7": ("r7", "q6", []),
+    }
+
+
 def test_members_and_damage(spark, tmp_path):
     record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n"
     block = b"HTTP/1.1 200 OK\r\n\r\nhello"
