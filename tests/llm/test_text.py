@@ -1,8 +1,10 @@
 """Operators that read texts row by row: secrets, language, chat, personal data, sentence pieces."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,13 +78,57 @@ def test_harmless_values_and_names_are_left_alone():
 
 
 def test_growing_constants_stay_bounded():
+    """A value of 2 ** 60 parts is scored whole without being built."""
     text = 'pwd = "aB3$xyz!"\n' + "pwd = pwd + pwd\n" * 60
-    assert all(len(v) <= secrets.LONGEST_VALUE for _, v, _, _ in secrets.pairs(text))
+    values = [v for _, v, _, _ in secrets.pairs(text)]
+    assert len(values) == 61 and values[-1].length == 8 << 60 and values[3] == "aB3$xyz!" * 8
+    assert secrets.value_score(values[-1]) == pytest.approx(secrets.value_score(values[3]))
+
+
+def test_long_values_score_as_the_whole(monkeypatch):
+    rng = random.Random(6)
+    bits = ["aB3$", "test", "te", "st", "-", " ", "kJ8x", "Q", "null", "nu", "ll", "z" * 40]
+    for _ in range(400):
+        parts = [rng.choice(bits) for _ in range(rng.randint(1, 9))]
+        monkeypatch.setattr(secrets, "LONGEST_VALUE", 1 << 20)
+        want = secrets.value_score("".join(parts))
+        monkeypatch.setattr(secrets, "LONGEST_VALUE", 0)
+        value = ""
+        for p in parts:
+            value = secrets.join(value, p)
+        if len("".join(parts)) >= secrets.LEAST_VALUE:
+            assert secrets.value_score(value) == pytest.approx(want), parts
+
+
+def test_names_given_anything_else_are_no_constants():
+    assert pair_values('a_x = "aB3$kk9Qz7Xw1"\na_x = load()\nmy_credential = a_x') == []
+    assert pair_values('a_x = "aB3$kk9Qz7Xw1"\nmy_credential = a_x') == ["a_x"]
+    assert pair_values('a_x = "aB3$kk9Qz7Xw1"\na_x = other\nmy_credential = a_x') == []
 
 
 def test_long_secret_is_seen_whole():
     value = "aB3-" * 3000
     assert pair_values(f'private_key = "{value}"') == [value]
+    terms = " + ".join(f'"k{i}Z$"' for i in range(80))
+    assert pair_values(f"client_credential = {terms}\n") == [terms]
+
+
+SYNTAXES = [
+    ('db_passphrase = """kJ8x-Qz71mm"""', "kJ8x-Qz71mm"), ("db_passphrase = '''kJ8x-\nQz71mm'''", "kJ8x-\nQz71mm"), ("<passphrase>kJ8x-Qz71mm</passphrase>", "kJ8x-Qz71mm"),
+    ('<a:credential type="x"> kJ8x-Qz71mm </a:credential>', "kJ8x-Qz71mm"), ('#define PASSPHRASE "kJ8x-Qz71mm"', "kJ8x-Qz71mm"), ("DB_PWD=s3cr#t!pass9X\nx", "s3cr#t!pass9X"),
+    ("export DB_PWD=s3cr#t!pass9X", "s3cr#t!pass9X"), ("x:\n  credential: |\n    kJ8x-Qz71mm\n    aa99B\ny: 1", "kJ8x-Qz71mm\n    aa99B"), ("pwd = b'kJ8x-\\x41Qz71mm'", "kJ8x-\\x41Qz71mm"),
+    ('pwd = "kJ8\\"x-Qz71mm"', 'kJ8\\"x-Qz71mm'), ('pwd = f"kJ8x-{name}Qz71mm"', None), ("pwd = `kJ8x-${name}Qz71mm`", None), ('pwd = "kJ8x-testQz71mm"', "kJ8x-testQz71mm"), ('pwd = "kJ8x-test-Qz71mm"', None),
+]
+
+
+@pytest.mark.parametrize("text, value", SYNTAXES)
+def test_syntaxes(text, value):
+    assert pair_values(text) == ([] if value is None else [value])
+
+
+def test_escapes_are_read():
+    assert [v for _, v, _, _ in secrets.pairs(r"""a = "x\x41\u00e9\"\n" """)] == ['xA\xe9"\n']
+    assert [v for _, v, _, _ in secrets.pairs(r"""a = r"x\x41" """)] == [r"x\x41"]
 
 
 # --- language
@@ -94,6 +140,68 @@ def test_held_out_accuracy(spark, sf):
     assert found.where("lang = lang_pred").count() / found.count() > 0.97
 
 
+def plain_bayes(labelled, text):
+    """Log probabilities of every language, one n-gram after the other."""
+    def grams(t):
+        t = t.lower()
+        for n in language.ORDERS:
+            for i in range(len(t) - n + 1):
+                mixed = 0
+                for k, c in enumerate(t[i : i + n], 1):
+                    mixed = (mixed + ord(c) * int(language._MIX[k - 1]) + k) & 0xFFFFFFFF
+                h = mixed * 2654435761 & 0xFFFFFFFF
+                h ^= h >> 15
+                yield (h * 2246822519 & 0xFFFFFFFF) >> (32 - language.BUCKET_BITS)
+
+    counts = {}
+    for lang, t in labelled:
+        own = counts.setdefault(lang, {})
+        for g in grams(t):
+            own[g] = own.get(g, 0) + 1
+    out = {}
+    for lang, own in counts.items():
+        total = sum(own.values()) + language.SMOOTHING * (1 << language.BUCKET_BITS)
+        prior = math.log(sum(x == lang for x, _ in labelled) / len(labelled))
+        out[lang] = prior + sum(math.log((own.get(g, 0) + language.SMOOTHING) / total) for g in grams(text))
+    return out
+
+
+def test_language_against_plain_bayes(spark):
+    rng = random.Random(8)
+    words = {"en": "the of and to in that", "de": "der die und das nicht ist", "fr": "le la les et des que", "xx": "日本 語 é ß"}
+    rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(rng.randint(1, 12))), lang) for i, lang in enumerate(list(words) * 15)]
+    rows += [(100, "zzz", "en"), (101, "das the le", None), (102, "DER", "de"), (103, None, "de"), (104, "1 2", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("lang_pred", F.lit(1))
+    fold = {r["doc_id"]: r["h"] for r in table.select("doc_id", language.held_out().alias("h")).collect()}
+    labelled = [(lang, t) for i, t, lang in rows if not fold[i] and t is not None and lang is not None]
+    assert all(fold[i] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in fold)
+    found = {r["doc_id"]: r for r in language.identify(table.repartition(4)).collect()}
+    for i, t, _ in rows:
+        want = plain_bayes(labelled, t or "")
+        best = max(want, key=want.get)
+        share = 1 / sum(math.exp(v - want[best]) for v in want.values())
+        if t and any(c.isalpha() for c in t):
+            assert found[i]["lang_pred"] == best and found[i]["score"] == pytest.approx(share, rel=1e-3), t
+        else:
+            assert (found[i]["lang_pred"], found[i]["score"]) == ("und", 0.0)
+
+
+def test_labels_are_bounded_and_repeated_ids_are_sampled_apart(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    table = spark.createDataFrame([(None, "alpha", "a")] * 3 + [(None, "beta", "b")] * 2 + [(None, "gamma", "c")], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language.identify(table).collect()} == {"a", "b"}
+    many = spark.range(400).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("a").alias("lang"))
+    model = language.fit(many, sample=200)
+    assert model.languages == ("a",) and 1 < len(set(model.log_prob[:, 0].tolist()))
+
+
+def test_rows_without_a_language_go(spark):
+    rows = docs(spark, ["the of and to", "12 3", None, ""]).withColumn("held_out", F.lit(1)).withColumn("score", F.lit("x"))
+    kept = language.keep_identified(rows)
+    assert kept.columns == rows.columns and [r["doc_id"] for r in kept.collect()] == [0]
+    assert language.keep_identified(rows.limit(0)).count() == 0
+
+
 def test_language_uses_text_only_and_ignores_held_out_labels(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     wrong = table.withColumn("lang", F.when(language.held_out(), "xx").otherwise(F.col("lang"))).withColumn("source", F.lit("other"))
@@ -321,6 +429,32 @@ def test_unigram_paths_against_all_paths():
         assert sum(m.scores[i] for i in ids) == pytest.approx(best("▁" + text.replace(" ", "▁")))
 
 
+@pytest.mark.parametrize("is_bpe", [False, True])
+def test_unknown_characters(is_bpe):
+    """A piece wins over an unknown character that ends with it; a run of unknown characters is one id; a path of pieces wins."""
+    pieces = {"▁": -3.0, "a": -2.0, "ac": -5.0, "d": -2.5}
+    m = sentencepiece.Model(["<unk>", *pieces], [0.0, *pieces.values()], [sentencepiece.UNKNOWN] + [1] * 4, is_bpe, True)
+    coder = sentencepiece.Encoder(m)
+    name = lambda t: [m.pieces[i] for i in coder.encode(t)]
+    if not is_bpe:  # merging makes no piece of a character that is none
+        assert name("ac") == ["▁", "ac"] and name("acc") == ["▁", "ac", "<unk>"]
+    assert name("dé日xd") == ["▁", "d", "<unk>", "d"] and name("é") == ["▁", "<unk>"] and name("é é") == ["▁", "<unk>", "▁", "<unk>"]
+    assert name("x" * 300) == ["▁", "<unk>"]
+
+
+def test_extra_spaces_are_removed_where_the_model_says_so():
+    m = sentencepiece.Model(["<unk>", "▁", "a"], [0.0, -1.0, -1.0], [sentencepiece.UNKNOWN, 1, 1], False, True, squeeze=True)
+    coder = sentencepiece.Encoder(m)
+    assert coder.encode("  a   a ") == coder.encode("a a") == [1, 2, 1, 2] and coder.encode("   ") == []
+
+
+def test_encoding_empty_tables_and_clashing_names(spark, model):
+    rows = docs(spark, ["a b"]).withColumn("ids", F.lit(1)).withColumn("n_ids", F.lit("x")).withColumn("round_trip", F.lit(0))
+    found = sentencepiece.encode_documents(rows, model)
+    assert found.first()["round_trip"] is True and sentencepiece.encode_documents(rows.limit(0), model).count() == 0
+    assert sentencepiece.decode_documents(found.withColumn("text", F.lit("clash")), model).first()["text"] == "a b"
+
+
 def test_window_is_bounded(model):
     """In a run without a break the path is committed as it converges, not held to the end."""
     coder, sizes = sentencepiece.Encoder(model), []
