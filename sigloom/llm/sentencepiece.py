@@ -14,8 +14,11 @@ the last ``longest`` boundaries are followed from time to time, and everything b
 the boundary where they meet is committed. What was committed between two meeting points
 is remembered for spans that come again (a bounded table).
 
-Normalisation is what the model asks for, of which identity with a dummy prefix is
-supported. Characters outside the vocabulary become byte pieces.
+Normalisation is what the model asks for, of which the dummy prefix and the removal of
+extra spaces are supported, but no table of character rules. Characters outside the
+vocabulary become byte pieces; where the model has none, a run of them is one unknown
+piece. In a unigram model such a character costs ``UNKNOWN_PENALTY`` more than the worst
+piece.
 
 Edge cases: a null text has null ids and decodes to null; an empty text has none.
 U+2581 in a text decodes to a space, as the format has it. Unpaired surrogates cannot
@@ -26,6 +29,7 @@ columns are ignored or kept as the function says. Long texts stream.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,12 +42,14 @@ from pyspark.sql import functions as F
 from sigloom.llm.batches import lots
 
 SPACE = "▁"
-#: The model of the registered query; a parameter everywhere else.
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The model of the registered query, a setting; a parameter everywhere else.
+MODEL = os.environ.get("SIGLOOM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Spans that a worker remembers in each of two generations (about 150 bytes each), and pairs of pieces.
 REMEMBERED, PAIRS = 250_000, 500_000
 #: Spans of at most so many characters fit into one window.
 SHORT = 64
+#: How much below the worst piece an unknown character scores in a unigram model.
+UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -54,11 +60,15 @@ class Model:
     kinds: list[int]
     is_bpe: bool
     dummy_prefix: bool
+    squeeze: bool = False
     ids: dict[str, int] = field(default_factory=dict)
     prefixes: set[str] = field(default_factory=set)
     bytes: list[int] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
     longest: int = 1
+    unknown: int = 0
+    has_bytes: bool = False
+    worst: float = 0.0
 
     def __post_init__(self) -> None:
         of_byte = {}
@@ -67,7 +77,10 @@ class Model:
                 self.ids[piece] = i
             elif kind == BYTE:
                 of_byte[int(piece[1:-1], 16)] = i
-        self.bytes = [of_byte.get(b, self.kinds.index(UNKNOWN)) for b in range(256)]
+        self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
+        self.has_bytes = len(of_byte) == 256
+        self.bytes = [of_byte.get(b, self.unknown) for b in range(256)]
+        self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         self.longest = max(map(len, self.ids), default=1)
         one = {i: chr(b) if 0 < b < 128 else "\x00" for b, i in of_byte.items()}
@@ -100,7 +113,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
 
 
 def parse_model(data: bytes) -> Model:
-    pieces, scores, kinds, is_bpe, dummy = [], [], [], False, True
+    pieces, scores, kinds, is_bpe, dummy, squeeze = [], [], [], False, True, True
     for n, value in _fields(data):
         if n == 1:
             f = dict(_fields(value))
@@ -111,10 +124,10 @@ def parse_model(data: bytes) -> Model:
             is_bpe = dict(_fields(value)).get(3, 1) == 2
         elif n == 3:
             f = dict(_fields(value))
-            if f.get(2) or f.get(4, 1):
-                raise ValueError("only models without a normalisation of their own are supported")
-            dummy = bool(f.get(3, 1))
-    return Model(pieces, scores, kinds, is_bpe, dummy)
+            if f.get(2):
+                raise ValueError("only models without character rules of their own are supported")
+            dummy, squeeze = bool(f.get(3, 1)), bool(f.get(4, 1))
+    return Model(pieces, scores, kinds, is_bpe, dummy, squeeze)
 
 
 def load_model(spark: SparkSession, path: str) -> Model:
@@ -261,9 +274,16 @@ class Encoder:
             if piece >= 0:
                 out.append(piece)
             else:
-                out.extend(self.model.bytes[b] for b in text[i:k].encode("utf-8", "surrogatepass"))
+                self._outside(text[i:k], out)
         return out
 
+    def _outside(self, chars: str, out: list[int]) -> None:
+        """Append the ids of what no piece covers."""
+        if self.model.has_bytes:
+            out.extend(self.model.bytes[b] for b in chars.encode("utf-8", "surrogatepass"))
+        elif not out or out[-1] != self.model.unknown:
+            out.append(self.model.unknown)
+
     def _settle(self, j: int, edges, back: dict) -> None:
         """Keep the surviving edge among those that end at boundary ``j``."""
         best = None
@@ -271,7 +291,9 @@ class Encoder:
             if (here := back.get(i)) is None:
                 continue
             if piece == -2:
-                best = (i, -2, here[2])
+                total = here[2] + (0.0 if self.model.is_bpe else self.model.worst)
+                if best is None or (not self.model.is_bpe and total > best[2]):
+                    best = (i, -2, total)
             elif self.model.is_bpe:
                 left = here[1]
                 if left < 0 or self.compatible(left, piece):
@@ -279,7 +301,7 @@ class Encoder:
                     break
             else:
                 total = here[2] + self.model.scores[piece]
-                if best is None or best[1] == -2 or total > best[2]:
+                if best is None or total > best[2]:
                     best = (i, piece, total)
         if best is not None:
             back[j] = best
@@ -309,11 +331,13 @@ class Encoder:
             if piece >= 0:
                 out.append(piece)
             else:
-                out.extend(self.model.bytes[b] for b in text[start:stop].encode("utf-8", "surrogatepass"))
+                self._outside(text[start:stop], out)
         return path[0][2]
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
+        if self.model.squeeze:
+            text = _BLANKS.sub(" ", text).strip(" ")
         if not text:
             return b""
         text = text.replace(" ", SPACE)
@@ -321,13 +345,21 @@ class Encoder:
         if not self.space_meets:
             return np.array(self.span(text), "<i4").tobytes()
         pattern = _AT_SPACE_OR_LINE if self.newline_meets else _AT_SPACE
-        return b"".join(map(self.spans.__getitem__, pattern.findall(text)))
+        found = b"".join(map(self.spans.__getitem__, pattern.findall(text)))
+        return found if self.model.has_bytes else self._one_of_a_run(found)
+
+    def _one_of_a_run(self, found: bytes) -> bytes:
+        """Ids of spans joined: unknown pieces that meet are one."""
+        ids = np.frombuffer(found, "<i4")
+        unknown = ids == self.model.unknown
+        return ids[~np.r_[False, unknown[1:] & unknown[:-1]]].tobytes()
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
 
 
 _NOTHING: dict = {}
+_BLANKS = re.compile(" +")
 _AT_SPACE = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _AT_SPACE_OR_LINE = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
