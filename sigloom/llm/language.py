@@ -7,7 +7,8 @@ texts at a time.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0. Rows with a
 null or repeated id are scored like any other. With no labelled row at all, every text
-is ``und``. Extra columns are ignored.
+is ``und``. Of more than ``MOST_LANGUAGES`` distinct labels the most frequent are learned.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from sigloom.llm.batches import lots
 UNKNOWN = "und"
 #: Labelled rows per language that the model is fitted on, in the mean; fewer labelled rows are all used.
 SAMPLE_PER_LANGUAGE = 2000
+#: Labels that are learned, the most frequent ones; the table of log probabilities has so many columns at most.
+MOST_LANGUAGES = 256
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
 SMOOTHING = 0.5
@@ -101,12 +104,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     """A model of the rows (doc_id, text, lang) of ``labelled``, none of whose texts and langs are null."""
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    most = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    sizes = {r["lang"]: r["count"] for r in most.collect()}
     languages = tuple(sorted(sizes))
     counts = np.zeros((1 << BUCKET_BITS, len(languages)))
     if languages:
         rate = F.create_map(*(F.lit(x) for k in languages for x in (k, int(min(1.0, sample / sizes[k]) * (1 << 30)))))
-        chosen = labelled.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")))
+        chosen = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")))
         sums = chosen.select("lang", "text").mapInArrow(_count, "lang string, bucket long, n long")
         table = sums.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
         column = np.array([languages.index(x) for x in table.column("lang").to_pylist()], dtype=np.int64)
