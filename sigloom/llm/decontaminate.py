@@ -2,14 +2,18 @@
 
 An item is contained in a document if at least ``threshold`` of its distinct word
 shingles occur there. Items are partitioned by size class, a power of two of their
-shingle count. Each item keeps a bottom-k MinHash sketch: its k shingles of least hash,
-k being one more than what an item of its class may lack. A document that contains the
-item shares at least one hash of the sketch with it, so the search misses nothing; every
-candidate is then verified by the exact shingles.
-
-The documents are hashed in one pass over whole texts and probe the sketch table, which
-is broadcast if its counted rows are at most ``BROADCAST_ROWS`` and joined by shuffle
-otherwise. Only candidate documents are shingled a second time.
+shingle count, and each class is searched on its own. It has a sketch length of its own:
+each item keeps its k shingles of least hash (bottom-k MinHash), k being one more than
+what an item of the class may lack. And it has a bound, the largest hash in its sketches:
+a document's sketch for the class is its hashes up to that bound. A document that
+contains an item of n shingles lacks at most ``(1 - threshold) n`` of them, so at least k
+less that many of the item's sketch are in the document's: the search misses nothing.
+Every candidate is then verified by the exact shingles.
+
+The documents are hashed in one pass over whole texts, for all widths and classes at
+once, and probe the index, which is broadcast if its counted bytes are at most
+``BROADCAST_BYTES`` and joined by shuffle otherwise. Only candidate documents are shingled
+a second time, in one pass again.
 
 Words are runs of characters other than ASCII white space, letters lower-cased. Items
 shorter than a shingle count as one shingle of all their words, looked for as such.
@@ -28,8 +32,8 @@ from sigloom.functions.storage import cut
 
 WORDS_PER_SHINGLE = 5
 THRESHOLD = 0.8
-#: Rows of a side that is broadcast (about 100 bytes each in memory at most); beyond, the join shuffles.
-BROADCAST_ROWS = 400_000
+#: Bytes of a side that is broadcast, strings and 64 for each row; beyond, the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -53,12 +57,19 @@ def shingle_texts(found: Column, width: int) -> Column:
 
 
 def _sized(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if its rows are few enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df``, a table written before, marked for broadcast if its counted bytes are few enough."""
+    texts = [F.octet_length(f.name) for f in df.schema if f.dataType.simpleString() == "string"]
+    each = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(64))
+    size = df.agg(F.sum(each.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """(item_id, item, width, n, shingles, sketch) of every item with a word; ``item`` tells repeated ids apart."""
+    """(item_id, item, width, n, shingles, class, least, sketch) of every item with a word.
+
+    ``item`` tells repeated ids apart; ``class`` is the size class, and ``least`` how many
+    hashes of the sketch any document that contains the item has.
+    """
     split = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
     split = split.withColumn("item", F.xxhash64("w")).withColumn("width", F.least(F.size("w"), F.lit(width)))
     texts = F.lit(None).cast("array<string>")
@@ -66,8 +77,11 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS_
         texts = F.when(F.col("width") == k, shingle_texts(F.col("w"), k)).otherwise(texts)
     out = split.select("item_id", "item", "width", F.array_distinct(texts).alias("shingles")).withColumn("n", F.size("shingles"))
     hashed = F.transform("shingles", lambda s: F.struct(F.xxhash64(*_split(s, width)).alias("h"), s.alias("s")))
-    top = F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(F.col("n") + 1)).cast("int")) - 1  # the most shingles of its size class
-    k = F.least(F.floor((1 - F.lit(threshold)) * top + 1e-9).cast("int") + 1, F.col("n"))
+    out = out.withColumn("class", F.ceil(F.log2(F.col("n") + 1)).cast("int"))
+    top = F.call_function("shiftleft", F.lit(1), F.col("class")) - 1  # the most shingles of the class
+    lacks = lambda n: F.floor((1 - F.lit(threshold)) * n + 1e-9).cast("int")
+    k = F.least(lacks(top) + 1, F.col("n"))
+    out = out.withColumn("least", F.greatest(k - lacks(F.col("n")), F.lit(1)))
     return out.withColumn("sketch", F.slice(F.transform(F.array_sort(hashed), lambda x: x["h"]), F.lit(1), k))
 
 
@@ -77,33 +91,39 @@ def _split(shingle: Column, width: int) -> list[Column]:
     return [F.get(parts, F.lit(k)) for k in range(width)]
 
 
+def _exploded(by_width: dict[int, Column], name: str) -> Column:
+    """One row (width, name) for each value of each array."""
+    tag = lambda k: lambda v: F.struct(F.lit(k).alias("width"), v.alias(name))
+    tagged = [F.transform(values, tag(k)) for k, values in by_width.items()]
+    return F.inline(F.concat(*tagged) if len(tagged) > 1 else tagged[0])
+
+
 def contained(
     docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS_PER_SHINGLE
 ) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) of every item contained in a document."""
     known = cut(sketches(items, threshold, width), "sketch")
-    widths = [r[0] for r in known.select("width").distinct().orderBy("width").collect()]  # at most ``width`` values
+    bounds = known.groupBy("width", "class").agg(F.max(F.element_at("sketch", -1)).alias("bound")).orderBy("width", "class").collect()  # a row per size class
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    if not widths:
+    if not bounds:
         none = texts.select("doc_id").limit(0)
         return none.selectExpr("doc_id", "cast(null as bigint) as item_id", "0L as n_shingles", "0L as n_shared", "0D as containment")
-    probe = _sized(known.select("width", F.explode("sketch").alias("h")).distinct())
+    widths = sorted({r["width"] for r in bounds})
     split = texts.select("doc_id", words(F.col("text")).alias("w"))
-    hashed = [split.select("doc_id", F.lit(k).alias("width"), F.explode(shingle_hashes(F.col("w"), k)).alias("h")) for k in widths]
-    every = hashed[0]
-    for more in hashed[1:]:
-        every = every.union(more)
-    hits = cut(every.join(probe, ["width", "h"]).distinct(), "hits")
-    owners = known.select("item_id", "item", "width", F.explode("sketch").alias("h"))
-    pairs = cut(hits.join(owners, ["width", "h"]).select("doc_id", "item_id", "item").distinct(), "pairs")
-
-    full = known.select("item_id", "item", "width", "n", F.explode("shingles").alias("s"))
-    wanted = pairs.select("doc_id").distinct()
-    again = texts.join(_sized(wanted), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
-    spelled = [again.select("doc_id", F.lit(k).alias("width"), F.explode(F.array_distinct(shingle_texts(F.col("w"), k))).alias("s")) for k in widths]
-    exact = spelled[0]
-    for more in spelled[1:]:
-        exact = exact.union(more)
+    hashed = split.select("doc_id", _exploded({k: shingle_hashes(F.col("w"), k) for k in widths}, "h"))
+    within = [F.when((F.col("width") == r["width"]) & (F.col("h") <= r["bound"]), r["class"]) for r in bounds]
+    hashed = hashed.where(" or ".join(f"(width = {w} and h <= {max(r['bound'] for r in bounds if r['width'] == w)})" for w in widths))
+    sketched = hashed.select("doc_id", "width", "h", F.explode(F.array_compact(F.array(*within))).alias("class"))
+
+    owners = known.select("class", "width", "item_id", "item", "least", F.explode("sketch").alias("h"))
+    index = cut(owners.select("class", "width", "h").distinct(), "index")
+    hits = cut(sketched.join(_sized(index), ["class", "width", "h"]).distinct(), "hits")
+    met = hits.join(owners, ["class", "width", "h"]).groupBy("doc_id", "item_id", "item", "least").agg(F.count("*").alias("hits"))
+    pairs = cut(met.where("hits >= least").select("doc_id", "item_id", "item"), "pairs")
+
+    full = cut(known.select("item_id", "item", "width", "n", F.explode("shingles").alias("s")), "shingles")
+    again = texts.join(_sized(cut(pairs.select("doc_id").distinct(), "candidates")), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
+    exact = again.select("doc_id", _exploded({k: F.array_distinct(shingle_texts(F.col("w"), k)) for k in widths}, "s"))
     shared = exact.join(_sized(full), ["width", "s"]).distinct().join(pairs, ["doc_id", "item_id", "item"], "left_semi")
     counted = shared.groupBy("doc_id", "item_id", "item", "n").agg(F.count("*").alias("n_shared"))
     out = counted.where(F.col("n_shared") >= F.lit(threshold) * F.col("n") - 1e-9)

@@ -248,11 +248,11 @@ def test_containment_against_brute_force(spark, monkeypatch):
     rows = docs(spark, texts)
     want = contained(texts, items)
     assert len(want) > 30
-    for most in (decontaminate.BROADCAST_ROWS, 0):  # by broadcast and by shuffle
-        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
+    for most in (decontaminate.BROADCAST_BYTES, 0):  # by broadcast and by shuffle
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
         got = [(r["doc_id"], r["item_id"], r["containment"]) for r in decontaminate.contained(rows, table).collect()]
         assert set(got) == want
-    kept = decontaminate.remove_contaminated(rows.withColumn("item", F.lit(1)).withColumn("w", F.lit(2)), table)
+    kept = decontaminate.remove_contaminated(rows.withColumn("item", F.lit(1)).withColumn("w", F.lit(2)).withColumn("class", F.lit(3)), table.withColumn("n", F.lit(4)))
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {d for d, _, _ in want}
     assert decontaminate.contained(rows, table.limit(0)).count() == 0
     assert decontaminate.contained(rows.limit(0), table).count() == 0
