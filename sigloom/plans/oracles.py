@@ -132,7 +132,7 @@ ORACLE: dict[str, str] = {
     "segments_per_measurement": _with(CATALOG, then=text_of("segments_per_measurement")),
     "split_leakage": _with(CATALOG, then=text_of("split_leakage")),
     "time_gaps": _with(CATALOG, then=text_of("time_gaps")),
-    "snr_by_class": _with(SIGNALS, SPECTRUM, FEATURES, "segments as (select * from meta join features using (segment_id))", then=text_of("snr_by_class")),
+    "snr_by_class": _with(SIGNALS, SPECTRUM, FEATURES, f"segments as (select *, {_group('label')} as class_group from meta join features using (segment_id))", then=text_of("snr_by_class")),
     "quality_flags_per_class": _with(
         SIGNALS, SPECTRUM, FEATURES, RULES,
         """segments as (select meta.*, rule_flags, cast(snr_db < 6 as int) as low_snr, cast(coalesce(gap_before_s, 0) > 0.5 as int) as time_gap

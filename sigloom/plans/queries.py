@@ -45,9 +45,9 @@ def _rounded(df: DataFrame, names, places: int | None = None) -> DataFrame:
     return df.select("segment_id", *((F.round(n, places or digits(n)) + 0.0).alias(n) for n in names))  # no negative zeros
 
 
-def _stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Signals' catalogue rows, and their rule statistics with the duplicate mark."""
-    measured = signals.measure(A.vector_arrays(spark, sf_dir), SMALL, ("rules", "sha1"))
+def _stats(spark: SparkSession, sf_dir: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Signals' catalogue rows, and their rule statistics with the duplicate mark, measured in one pass with ``more``."""
+    measured = cut(signals.measure(A.vector_arrays(spark, sf_dir), SMALL, ("rules", "sha1", *more)), "measured")
     marked = catalog.mark_repeats(measured).withColumn("duplicate", F.col("duplicate").cast("double")).drop("sha1")
     return A.vector_catalog(spark, sf_dir), cut(marked, "stats")
 
@@ -64,14 +64,14 @@ def _thresholds(segments: DataFrame, stats: DataFrame) -> dict[str, float]:
 @query
 def snr_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = A.vector_catalog(spark, sf_dir).join(_features(spark, sf_dir), "segment_id")
-    return run_sql(spark, SQL_DIR / "snr_by_class.sql", {"segments": joined})
+    return run_sql(spark, SQL_DIR / "snr_by_class.sql", {"segments": joined.withColumn("class_group", catalog.class_group(F.col("label")))})
 
 
 @query
 def quality_flags_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, stats = _stats(spark, sf_dir)
-    ruled = rules.apply(stats, _thresholds(segments, stats)).select("segment_id", "rule_flags")
-    joined = segments.join(ruled, "segment_id").join(_features(spark, sf_dir), "segment_id")
+    segments, stats = _stats(spark, sf_dir, "features")
+    ruled = rules.apply(stats, _thresholds(segments, stats)).select("segment_id", "rule_flags", "snr_db")
+    joined = segments.join(ruled, "segment_id")
     return run_sql(spark, SQL_DIR / "quality_flags_per_class.sql", {"segments": rules.quality_flags(joined)})
 
 

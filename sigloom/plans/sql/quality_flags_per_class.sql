@@ -1,11 +1,14 @@
--- Flags per label: truncated edges, integrity rules, weak signals, gaps in time.
-SELECT s.label,
-       COUNT(*) AS n_segments,
-       CAST(SUM(s.edge_flag) AS BIGINT) AS edge_truncated,
-       CAST(SUM(CAST(s.rule_flags > 0 AS INT)) AS BIGINT) AS any_rule_flag,
-       ROUND(100.0 * CAST(SUM(CAST(s.rule_flags > 0 AS INT)) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE), 6) AS rule_flag_pct,
-       CAST(SUM(s.low_snr) AS BIGINT) AS low_snr,
-       CAST(SUM(s.time_gap) AS BIGINT) AS time_gap_before
-FROM segments s
-GROUP BY s.label
-ORDER BY n_segments DESC, s.label
+-- Flagged segments per label: truncated edges, integrity rules (count and per cent), weak signals, gaps in time.
+WITH flagged AS (
+    SELECT label,
+           COUNT(*) AS n,
+           COUNT(*) FILTER (WHERE edge_flag <> 0) AS edges,
+           COUNT(*) FILTER (WHERE rule_flags <> 0) AS ruled,
+           COUNT(*) FILTER (WHERE low_snr <> 0) AS weak,
+           COUNT(*) FILTER (WHERE time_gap <> 0) AS gaps
+    FROM segments GROUP BY label
+)
+SELECT label, n AS n_segments, edges AS edge_truncated, ruled AS any_rule_flag,
+       ROUND(CAST(100 * ruled AS DOUBLE) / n, 6) AS rule_flag_pct,
+       weak AS low_snr, gaps AS time_gap_before
+FROM flagged ORDER BY n DESC, label

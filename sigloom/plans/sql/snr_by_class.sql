@@ -1,5 +1,6 @@
 -- Signal over noise, Doppler spread and bandwidth per label.
 SELECT s.label,
+       MIN(s.class_group) AS class_group,
        COUNT(*) AS n,
        ROUND(AVG(s.snr_db), 6) AS snr_db_mean,
        ROUND(MIN(s.snr_db), 6) AS snr_db_min,
