@@ -25,10 +25,10 @@ def main(argv: list[str] | None = None) -> None:
     quality.add_argument("--n-per-fault", type=int, default=500)
     quality.add_argument("--trees", type=int, default=300)
     sub.add_parser("export").add_argument("specs", help="YAML file with a list 'datasets'")
-    sub.add_parser("train")
+    sub.add_parser("train").add_argument("--seeds", type=int, nargs="+", default=[0, 1, 2])
     sub.add_parser("query").add_argument("file")
     sub.add_parser("sql-all")
-    sub.add_parser("report")
+    sub.add_parser("report").add_argument("--html", help="folder to write the report to as a page")
     a = p.parse_args(argv)
     spark, radar, root = SparkSession.builder.appName("sigloom").getOrCreate(), Radar(), a.root
 
@@ -52,14 +52,17 @@ def main(argv: list[str] | None = None) -> None:
             print(json.dumps({k: made[k] for k in ("dataset", "version", "n_segments", "digest")}))
     elif a.stage == "train":
         rows = ingest.segments_view(spark, root).withColumn("class_group", catalog.class_group(F.col("label")))
-        print(report.markdown(classify.experiments(rows, FEATURES)))
+        print(report.markdown(classify.experiments(rows, FEATURES, seeds=tuple(a.seeds))))
     elif a.stage == "query":
         print(report.markdown(sqlrun.run_sql(spark, a.file, views())))
     elif a.stage == "sql-all":
         print(json.dumps({k: df.count() for k, df in sqlrun.run_all(spark, f"{root}/results", views()).items()}))
     else:
         tables = {name: sqlrun.run_sql(spark, sqlrun.SQL_DIR / f"{name}.sql", views()) for name in ("class_balance_per_split", "snr_by_class", "time_gaps", "quality_flags_per_class")}
-        print(report.document("Catalogue", tables))
+        if a.html:
+            spark.createDataFrame([(report.page("Catalogue", tables),)], "value string").coalesce(1).write.mode("overwrite").text(a.html)
+        else:
+            print(report.document("Catalogue", tables))
 
 
 if __name__ == "__main__":

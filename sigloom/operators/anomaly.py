@@ -1,8 +1,12 @@
 """Unsupervised detectors over numeric columns: scaling, principal components, isolation forest.
 
-Moments are summed per partition and added up, so fitting moves one small row per
-partition. The forest is fitted on a sample of a fixed size chosen by hash; every row is
-scored. Models are small arrays that do not grow with the data.
+Moments are summed per partition and the sums are added up in a tree of tasks, so that
+one small table reaches the driver whatever the number of partitions. Each tree of the
+forest draws its rows from all rows. Every row is scored. Models are small arrays that
+do not grow with the data.
+
+Rows with a null, NaN or infinite value have no part in a fit and score infinity. Models
+fitted on no rows at all score by the squares of the values (components) or 0.5 (forest).
 """
 
 from __future__ import annotations
@@ -15,8 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that the isolation forest is fitted on.
-FOREST_ROWS = 4096
+from sigloom.functions.draws import uniforms
+from sigloom.functions.signals import lots
+
+#: Partial sums that one task adds up.
+FAN_IN = 16
 
 
 def signed_log(x: Column) -> Column:
@@ -50,24 +57,46 @@ class Components:
     def error(self, v: np.ndarray) -> np.ndarray:
         """Squared distance of each scaled row from the space of the directions."""
         z = self.scaled(v)
-        return (z**2).sum(axis=1) - ((z @ self.directions) ** 2).sum(axis=1)
+        whole = (z**2).sum(axis=1)
+        return whole - ((z @ self.directions) ** 2).sum(axis=1) if self.directions.size else whole
+
+
+def _finite(v: np.ndarray) -> np.ndarray:
+    return v[np.isfinite(v).all(axis=1)]
 
 
 def moments(rows: DataFrame, squeeze: bool) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean and covariance (population) of the columns of ``rows``."""
+    """Count, mean and covariance (population) of the columns of ``rows``; of no rows zero, and a mean and covariance of width zero."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, square = 0, 0.0, 0.0
         for batch in batches:
-            v = _matrix(batch)
+            v = _finite(_matrix(batch))
             if len(v):
                 v = _squeeze(v) if squeeze else v
                 n, total, square = n + len(v), total + v.sum(axis=0), square + v.T @ v
         if n:
-            flat = np.concatenate([[n], total, square.ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], ["at", "v"])
+            yield pa.RecordBatch.from_pydict({"sums": [np.concatenate([[n], total, square.ravel()]).tobytes()]}, schema=pa.schema([("sums", pa.binary())]))
 
-    summed = rows.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toArrow().column("v").to_numpy()
+    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column(0):
+                one = np.frombuffer(x.as_buffer())
+                total = one.copy() if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]}, schema=pa.schema([("sums", pa.binary())]))
+
+    sums, parts = rows.mapInArrow(first, "sums binary"), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        sums = sums.repartition(parts).mapInArrow(more, "sums binary")
+        if parts == 1:
+            break
+        parts = -(-parts // FAN_IN)
+    row = sums.first()
+    if row is None:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    summed = np.frombuffer(row[0])
     width = int((-1 + np.sqrt(1 + 4 * (len(summed) - 1))) / 2)
     n = int(summed[0])
     mean = summed[1 : 1 + width] / n
@@ -76,7 +105,9 @@ def moments(rows: DataFrame, squeeze: bool) -> tuple[int, np.ndarray, np.ndarray
 
 def fit_components(rows: DataFrame, k: int = 4, squeeze: bool = True, scale: bool = True) -> Components:
     """Scaling by population deviation, then the ``k`` directions of most variance."""
-    _, mean, covariance = moments(rows, squeeze)
+    n, mean, covariance = moments(rows, squeeze)
+    if not n:
+        return Components(np.zeros(1), np.ones(1), np.zeros((0, 0)), squeeze)
     deviation = np.sqrt(np.maximum(np.diag(covariance), 0)) if scale else np.ones(len(mean))
     deviation = np.where(deviation > 0, deviation, 1.0)
     values, vectors = np.linalg.eigh(covariance / np.outer(deviation, deviation))
@@ -101,6 +132,9 @@ class Forest:
 
     def score(self, v: np.ndarray) -> np.ndarray:
         """Between 0 and 1; rows that are easily set apart score high."""
+        norm = float(_path_norm(self.size))
+        if not len(self.column) or not norm:
+            return np.full(len(v), 0.5)
         total = np.zeros(len(v))
         rows = np.arange(len(v))
         for column, threshold, depth in zip(self.column, self.threshold, self.depth):
@@ -109,32 +143,60 @@ class Forest:
                 right = v[rows, np.maximum(column[at], 0)] >= threshold[at]
                 at = np.where(inner, 2 * at + 1 + right, at)
             total += depth[at]
-        return 2.0 ** (-total / len(self.column) / _path_norm(self.size))
+        return 2.0 ** (-total / len(self.column) / norm)
 
 
 def fit_forest(rows: DataFrame, key: str, trees: int = 300, sample: int = 256, seed: int = 0) -> Forest:
-    """An isolation forest on ``FOREST_ROWS`` rows chosen by the hash of ``key``."""
-    chosen = rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(FOREST_ROWS).drop(key).toArrow()
-    v = np.stack([c.to_numpy().astype(float) for c in chosen.columns], axis=1)
-    rng = np.random.default_rng(seed)
-    size = min(sample, len(v))
-    levels = max(1, int(np.ceil(np.log2(max(size, 2)))))
+    """An isolation forest, each tree of which is fitted in a task on ``sample`` rows drawn from all rows by the hash of ``key``.
+
+    A tree's rows are those of least hash. Only rows under a bound are proposed, which
+    leaves a tree short of rows once in ten million; of few rows all are proposed.
+    """
+    columns = [c for c in rows.columns if c != key]
+    n = rows.count()
+    bound = min(1.0, (sample + 6 * np.sqrt(sample)) / max(n, 1))
+    levels = max(1, int(np.ceil(np.log2(max(sample, 2)))))
     nodes = 2 ** (levels + 1) - 1
-    column, threshold, depth = np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes))
-    for t in range(trees):
-        waiting = [(0, 0, rng.choice(len(v), size, replace=False))]
-        while waiting:
-            node, level, members = waiting.pop()
-            low, high = v[members].min(axis=0), v[members].max(axis=0)
-            spread = np.flatnonzero(high > low)
-            if level == levels or len(members) <= 1 or not len(spread):
-                depth[t, node] = level + _path_norm(len(members))
-                continue
-            c = int(rng.choice(spread))
-            column[t, node], threshold[t, node] = c, rng.uniform(low[c], high[c])
-            right = v[members, c] >= threshold[t, node]
-            waiting += [(2 * node + 1, level + 1, members[~right]), (2 * node + 2, level + 1, members[right])]
-    return Forest(column, threshold, depth, size)
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lots(batches):
+            v = _matrix(batch, 1)
+            draws = uniforms(batch.column(0).to_numpy(), trees, seed)
+            row, tree = np.nonzero((draws < bound) & np.isfinite(v).all(axis=1)[:, None])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tree.astype(np.int32)), pa.array(draws[row, tree]), pa.array(list(v[row]), pa.list_(pa.float64()))], ["tree", "draw", "v"]
+            )
+
+    def grow(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("draw", "ascending")]).slice(0, sample)
+        t, v = table.column("tree")[0].as_py(), np.array(table.column("v").to_pylist(), float).reshape(table.num_rows, len(columns))
+        column, threshold, depth = _tree(v, np.random.default_rng([seed, t]), levels, nodes)
+        found = {"tree": [t], "size": [len(v)], "col": [column.tolist()], "threshold": [threshold.tolist()], "depth": [depth.tolist()]}
+        return pa.Table.from_pydict(found, schema=pa.schema([("tree", pa.int32()), ("size", pa.int64()), ("col", pa.list_(pa.int64())), ("threshold", pa.list_(pa.float64())), ("depth", pa.list_(pa.float64()))]))
+
+    hashed = rows.select(F.xxhash64(key).alias("key"), *columns)
+    drawn = hashed.mapInArrow(propose, "tree int, draw double, v array<double>")
+    grown = drawn.groupBy("tree").applyInArrow(grow, "tree int, size bigint, col array<bigint>, threshold array<double>, depth array<double>").orderBy("tree").toArrow()
+    stack = lambda c, kind: np.array(grown.column(c).to_pylist(), kind).reshape(grown.num_rows, nodes)
+    return Forest(stack("col", np.int64), stack("threshold", float), stack("depth", float), max(grown.column("size").to_pylist(), default=0))
+
+
+def _tree(v: np.ndarray, rng: np.random.Generator, levels: int, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One tree over the rows ``v``: at each node a random column is cut at a random place between its ends."""
+    column, threshold, depth = np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes)
+    waiting = [(0, 0, np.arange(len(v)))]
+    while waiting:
+        node, level, members = waiting.pop()
+        low, high = v[members].min(axis=0), v[members].max(axis=0)
+        spread = np.flatnonzero(high > low)
+        if level == levels or len(members) <= 1 or not len(spread):
+            depth[node] = level + _path_norm(len(members))
+            continue
+        c = int(rng.choice(spread))
+        column[node], threshold[node] = c, rng.uniform(low[c], high[c])
+        right = v[members, c] >= threshold[node]
+        waiting += [(2 * node + 1, level + 1, members[~right]), (2 * node + 2, level + 1, members[right])]
+    return column, threshold, depth
 
 
 def score_rows(rows: DataFrame, key: str, name: str, function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -144,7 +206,10 @@ def score_rows(rows: DataFrame, key: str, name: str, function: Callable[[np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value(_matrix(batch, 1)))], [key, name])
+                v = _matrix(batch, 1)
+                whole = np.isfinite(v).all(axis=1)
+                scores = np.where(whole, shared.value(np.where(whole[:, None], v, 0.0)), np.inf)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], [key, name])
 
     others = [c for c in rows.columns if c != key]
     return rows.select(key, *others).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {name} double")

@@ -85,7 +85,7 @@ def encode_labels(segments: DataFrame) -> DataFrame:
     place = lambda names: F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i)))
     vocabulary = segments.select("label").distinct()
     numbered = vocabulary.withColumn("y_label", F.row_number().over(Window.orderBy("label")) - 1)  # one row per label
-    out = segments.join(F.broadcast(numbered), "label", "left")
+    out = segments.join(numbered, "label", "left")
     return out.withColumn("y_group", F.try_element_at(place(CLASS_GROUPS), class_group(F.col("label")))).withColumn(
         "y_drone", F.coalesce(F.try_element_at(place(DRONES), F.col("label")), F.lit(-1))
     )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from sigloom.config import FAULTS, FEATURES, Quality, Radar
 from sigloom.functions import faults, signals
 from sigloom.functions.storage import cut
 from sigloom.operators import anomaly, catalog, rules
-from sigloom.operators.order import quantile, roc_auc
+from sigloom.operators.order import quantile, running_sums
 
 METHODS = ("rules", "iforest", "pca", "recon", "rules_or_recon")
 
@@ -57,6 +60,12 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     return raw.select("label", "n", (F.col("raw") / F.lit(mean)).alias("weight"))
 
 
+def _odd(score: Callable[[np.ndarray], np.ndarray], v: np.ndarray) -> np.ndarray:
+    """``score`` of each row; rows that are not finite are infinitely odd."""
+    whole = np.isfinite(v).all(axis=1)
+    return np.where(whole, score(np.where(whole[:, None], v, 0.0)), np.inf) if len(v) else np.zeros(0)
+
+
 class Detectors:
     """Rules and detectors fitted on clean training segments, thresholds set on clean validation segments."""
 
@@ -71,7 +80,8 @@ class Detectors:
         self.recon = anomaly.fit_components(train.select("rd_norm"), k=32, squeeze=False, scale=False)
         self.scores = cut(self.score(self.stats), "scores")
         validation = self.scores.join(joined.where("edge_flag = 0 and split_grouped = 2").select("segment_id"), "segment_id", "left_semi")
-        self.limits = {m: quantile(validation, m, config.ml_percentile) for m in ("iforest", "pca", "recon")}
+        found = {m: quantile(validation, m, config.ml_percentile) for m in ("iforest", "pca", "recon")}
+        self.limits = {m: float("inf") if v is None else v for m, v in found.items()}  # no validation rows: no alarms
 
     def measure(self, segments: DataFrame, known: DataFrame | None = None) -> DataFrame:
         """Features, rule statistics, map and duplicate mark of ``segments``; ``known`` hashes count as seen."""
@@ -83,15 +93,20 @@ class Detectors:
         return measured.join(marked, "sha1", "left").withColumn("duplicate", F.coalesce("hit", F.lit(0.0))).drop("hit")
 
     def score(self, stats: DataFrame) -> DataFrame:
-        """(segment_id, rule_flags, rules, iforest, pca, recon)."""
-        ruled = rules.apply(stats, self.thresholds).select("segment_id", "rule_flags", F.col("rule_score").alias("rules"))
-        columns = stats.select("segment_id", *FEATURES)
-        parts = [
-            anomaly.score_rows(columns, "segment_id", "iforest", self.forest.score),
-            anomaly.score_rows(columns, "segment_id", "pca", self.pca.error),
-            anomaly.score_rows(stats.select("segment_id", "rd_norm"), "segment_id", "recon", self.recon.error),
-        ]
-        return reduce(lambda a, b: a.join(b, "segment_id"), parts, ruled)
+        """(segment_id, rule_flags, rules, iforest, pca, recon), all detectors in one pass over ``stats``."""
+        shared = stats.sparkSession.sparkContext.broadcast((self.forest, self.pca, self.recon))
+        k = len(FEATURES)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forest, pca, recon = shared.value
+            for batch in signals.lots(batches):
+                v = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(3, 3 + k)], axis=1).reshape(batch.num_rows, k)
+                maps = batch.column(3 + k).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                found = [pa.array(_odd(f, x)) for f, x in ((forest.score, v), (pca.error, v), (recon.error, maps))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *found], ["segment_id", "rule_flags", "rules", "iforest", "pca", "recon"])
+
+        ruled = rules.apply(stats, self.thresholds).select("segment_id", "rule_flags", F.col("rule_score").alias("rules"), *FEATURES, "rd_norm")
+        return ruled.mapInArrow(run, "segment_id long, rule_flags long, rules double, iforest double, pca double, recon double")
 
     def long(self, scores: DataFrame) -> DataFrame:
         """(segment_id, method, score, alarm): rules alarm at one, the others beyond their limit."""
@@ -117,13 +132,22 @@ def firing_rates(clean: DataFrame, known: DataFrame, radar: Radar, thresholds: d
     return reduce(DataFrame.unionByName, out)
 
 
-def fault_table(segments: DataFrame, radar: Radar, n_per_fault: int = 500, seed: int = 0, config: Quality = Quality(), trees: int = 300) -> DataFrame:
+def false_alarms(fitted: Detectors, segments: DataFrame) -> DataFrame:
+    """(method, n, false_alarm_rate) of the deployed thresholds on clean test segments."""
+    clean = segments.where("edge_flag = 0 and split_grouped = 3").select("segment_id")
+    rows = fitted.long(fitted.scores.join(clean, "segment_id", "left_semi"))
+    return rows.groupBy("method").agg(F.count("*").alias("n"), F.avg(F.col("alarm").cast("double")).alias("false_alarm_rate"))
+
+
+def fault_table(
+    segments: DataFrame, radar: Radar, n_per_fault: int = 500, seed: int = 0, config: Quality = Quality(), trees: int = 300, fitted: Detectors | None = None
+) -> DataFrame:
     """(fault, kind, method, n, recall_deployed, recall_at_1pct_fa, roc_auc): every detector on real and injected faults.
 
     Negatives are the clean test segments; faults are injected into some of them, chosen
     by hash. All methods and faults are scored in long form and compared in one plan each.
     """
-    fitted = Detectors(segments, radar, config, seed, trees)
+    fitted = fitted or Detectors(segments, radar, config, seed, trees)
     clean_test = segments.where("edge_flag = 0 and split_grouped = 3")
     negative = fitted.long(fitted.scores.join(clean_test.select("segment_id"), "segment_id", "left_semi"))
     edges = fitted.scores.join(segments.where("edge_flag = 1").select("segment_id"), "segment_id", "left_semi")
@@ -138,14 +162,29 @@ def fault_table(segments: DataFrame, radar: Radar, n_per_fault: int = 500, seed:
     positive = cut(positive, "positive")
     negative = cut(negative, "negative")
     limits = {m: quantile(negative.where(F.col("method") == m), "score", 0.99) for m in METHODS}
-    limit = F.create_map(*(F.lit(x) for m, v in limits.items() for x in (m, v)))
+    limit = F.create_map(*(F.lit(x) for m, v in limits.items() for x in (m, float("inf") if v is None else v)))
     recalls = positive.groupBy("fault", "kind", "method").agg(
         F.count("*").alias("n"),
         F.avg(F.col("alarm").cast("double")).alias("recall_deployed"),
         F.avg((F.col("score") > F.element_at(limit, F.col("method"))).cast("double")).alias("recall_at_1pct_fa"),
     )
-    names = F.explode(F.array(*(F.lit(f) for f in ("edge_truncated", *FAULTS)))).alias("fault")
-    against = negative.select(names, "method", "score", F.lit(False).alias("positive"))
-    both = positive.select("fault", "method", "score", F.lit(True).alias("positive")).unionByName(against)
-    areas = roc_auc(both, "score", "positive", ["fault", "method"]).select("fault", "method", "roc_auc")
-    return recalls.join(areas, ["fault", "method"])
+    return recalls.join(areas(positive, negative), ["fault", "method"])
+
+
+def areas(positive: DataFrame, negative: DataFrame) -> DataFrame:
+    """(fault, method, roc_auc) of the positives of each fault against the negatives of the method.
+
+    Negatives are ranked once per method, among the distinct scores of all faults; each
+    fault's few scores then read their rank, so negatives are not repeated per fault.
+    """
+    clean = F.when(F.isnan("score") | (F.col("score") == float("inf")), 1e300).otherwise(F.col("score")).alias("score")
+    below = negative.select("method", clean).groupBy("method", "score").agg(F.count("*").alias("neg"))
+    above = positive.select("fault", "method", clean).groupBy("fault", "method", "score").agg(F.count("*").alias("pos"))
+    places = below.unionByName(above.select("method", "score", F.lit(0).cast("long").alias("neg"))).groupBy("method", "score").agg(F.sum("neg").alias("neg"))
+    ranked = running_sums(places, ["method", "score"], ["neg"])
+    sizes = ranked.groupBy("method").agg(F.min("before_neg").alias("first"), F.sum("neg").alias("n_neg"))
+    won = above.join(ranked, ["method", "score"]).join(sizes, "method")
+    sums = won.groupBy("fault", "method").agg(
+        F.sum(F.col("pos") * (F.col("before_neg") - F.col("first") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("n_pos"), F.first("n_neg").alias("n_neg")
+    )
+    return sums.select("fault", "method", (F.col("won") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("roc_auc"))

@@ -58,7 +58,7 @@ def process(spark: SparkSession, root: str, radar: Radar) -> DataFrame:
 
 
 def assess(spark: SparkSession, root: str, radar: Radar, n_per_fault: int = 500, seed: int = 0, config: Quality = Quality(), trees: int = 300) -> DataFrame:
-    """Write ``rule_stats``, ``rule_thresholds``, ``quality`` and ``fault_table``; returns the fault table."""
+    """Write ``rule_stats``, ``rule_thresholds``, ``quality``, ``anomaly``, ``false_alarms`` and ``fault_table``; returns the fault table."""
     base, features, iq = (read(spark, root, n) for n in ("segments_base", "features", "segments_iq"))
     marks = base.select("segment_id", F.col("duplicate").cast("double").alias("duplicate"))
     stats = _write(signals.rule_table(iq, radar).join(marks, "segment_id"), root, "rule_stats")
@@ -69,13 +69,18 @@ def assess(spark: SparkSession, root: str, radar: Radar, n_per_fault: int = 500,
     found = rules.apply(stats, thresholds).select("segment_id", "rule_flags", "rule_score")
     flagged = rules.quality_flags(base.join(features.select("segment_id", "snr_db"), "segment_id"), config).select("segment_id", "low_snr", "time_gap")
     _write(found.join(flagged, "segment_id"), root, "quality")
-    return _write(evaluate.fault_table(segments, radar, n_per_fault, seed, config, trees), root, "fault_table")
+    fitted = evaluate.Detectors(segments, radar, config, seed, trees)
+    scores = fitted.scores.select("segment_id", F.col("recon").alias("anomaly_score"), F.col("iforest").alias("anomaly_score_iforest"))
+    _write(scores, root, "anomaly")
+    _write(evaluate.false_alarms(fitted, segments), root, "false_alarms")
+    return _write(evaluate.fault_table(segments, radar, n_per_fault, seed, config, trees, fitted), root, "fault_table")
 
 
 def segments_view(spark: SparkSession, root: str) -> DataFrame:
-    """Catalogue rows with their features and quality, null where a stage has not run."""
-    out = read(spark, root, "segments_base")
-    for name, columns in (("features", FEATURES), ("quality", ("rule_flags", "rule_score", "low_snr", "time_gap"))):
+    """Catalogue rows with their class group, features, quality and anomaly scores, null where a stage has not run."""
+    out = read(spark, root, "segments_base").withColumn("class_group", catalog.class_group(F.col("label")))
+    stages = (("features", FEATURES), ("quality", ("rule_flags", "rule_score", "low_snr", "time_gap")), ("anomaly", ("anomaly_score", "anomaly_score_iforest")))
+    for name, columns in stages:
         try:
             out = out.join(read(spark, root, name), "segment_id", "left")
         except Exception as e:
@@ -85,6 +90,16 @@ def segments_view(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
+def load_json(spark: SparkSession, path: str) -> dict:
+    """A result document as ``save_json`` wrote it."""
+    return json.loads("\n".join(r["value"] for r in spark.read.option("wholetext", "true").text(path).collect()))  # one small document
+
+
+def load_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A result of the batch runner."""
+    return spark.read.option("header", "true").option("inferSchema", "true").csv(path)
+
+
 def save_json(spark: SparkSession, document: dict, path: str) -> None:
     """Write a small result document as one JSON text."""
     spark.createDataFrame([(json.dumps(document, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)

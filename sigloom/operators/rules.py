@@ -12,11 +12,11 @@ from sigloom.operators.order import quantiles
 
 
 def calibrate(clean_train: DataFrame, config: Quality = Quality()) -> dict[str, float]:
-    """Thresholds: fixed ones for hard rules, a percentile of clean training rows for the others."""
+    """Thresholds: fixed ones for hard rules, a percentile of clean training rows for the others; without such a row infinity, which no row reaches."""
     pairs = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("stat")) for r in STAT_RULES))).alias("p")
     long = clean_train.select(pairs).select("p.rule", "p.stat")
     found = {r["rule"]: r["t"] for r in quantiles(long, ["rule"], "stat", {"t": config.rule_percentile}).collect()}  # a row per rule
-    return {k: float(v) for k, v in config.hard().items()} | {r: found[r] for r in STAT_RULES}
+    return {k: float(v) for k, v in config.hard().items()} | {r: found.get(r, float("inf")) for r in STAT_RULES}
 
 
 def fired(rule: str, thresholds: dict[str, float]) -> Column:

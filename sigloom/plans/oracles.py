@@ -264,3 +264,24 @@ ORACLE: dict[str, str] = {
             qualify row_number() over (partition by class_group order by round(abs(snr_db - median), 6), segment_id) = 1""",
     ),
 }
+
+_RAIL = """rail as (select segment_id, 0.3::double * max(greatest(abs(re), abs(im))) as r from sig group by 1)"""
+_CHANGED = """select o.segment_id, round(sum(pow(cast(f.re as float)::double, 2) + pow(cast(f.im as float)::double, 2)), 3) as energy,
+    count(*) filter (cast(f.re as float) <> cast(o.re as float) or cast(f.im as float) <> cast(o.im as float)) as n_changed, count(*) filter (f.re = 0 and f.im = 0) as n_zero,
+    round(cast(max(greatest(abs(cast(f.re as float)), abs(cast(f.im as float)))) as double), 5) as peak from sig o join f using (segment_id, c, t) group by 1"""
+
+ORACLE |= {
+    # faults without a draw, and what an export has to hold
+    "inject_adc_clipping": _with(
+        SIGNALS, _RAIL, "f as (select segment_id, c, t, least(greatest(re, -r), r) as re, least(greatest(im, -r), r) as im from sig join rail using (segment_id))", then=_CHANGED
+    ),
+    "inject_duplicate_segment": _with(
+        SIGNALS, "f as (select o.segment_id, c, t, coalesce(b.re, o.re) as re, coalesce(b.im, o.im) as im from sig o left join (select segment_id + 1 as segment_id, c, t, re, im from sig) b using (segment_id, c, t))",
+        then=_CHANGED,
+    ),
+    "export_digest": _with(
+        SIGNALS,
+        then=f"""select cast(list_position(['drone', 'bird', 'human', 'reflector'], {_group('label')}) - 1 as int) as y, count(*) as n, min(segment_id) as first, max(segment_id) as last,
+            true as verified from meta where edge_flag = 0 group by 1""",
+    ),
+}

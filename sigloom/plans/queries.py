@@ -350,9 +350,16 @@ def _injection(fault: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         segments = A.vector_arrays(spark, sf_dir)
         rows = faults.with_donors(segments, segments) if fault == "duplicate_segment" else segments
-        made = faults.inject(rows, fault, SMALL)
+        made = faults.inject(rows, fault, SMALL).select("segment_id", F.col("iq_re").alias("f_re"), F.col("iq_im").alias("f_im"))
+        both = segments.join(made, "segment_id")
+        sample = F.zip_with(F.arrays_zip("iq_re", "iq_im"), F.arrays_zip("f_re", "f_im"), lambda a, b: (a["iq_re"] != b["f_re"]) | (a["iq_im"] != b["f_im"]))
+        changed = F.size(F.filter(sample, lambda x: x)).cast("long")
+        zero = F.size(F.filter(F.arrays_zip("f_re", "f_im"), lambda x: (x["f_re"] == 0) & (x["f_im"] == 0))).cast("long")
         size = lambda c: F.aggregate(c, F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double") * v.cast("double"))
-        return made.select("segment_id", F.round(size("iq_re") + size("iq_im"), 3).alias("energy"))
+        peak = F.greatest(F.array_max(F.transform("f_re", lambda v: F.abs(v))), F.array_max(F.transform("f_im", lambda v: F.abs(v))))
+        return both.select(
+            "segment_id", F.round(size("f_re") + size("f_im"), 3).alias("energy"), changed.alias("n_changed"), zero.alias("n_zero"), F.round(peak.cast("double"), 5).alias("peak")
+        )
 
     run.__name__ = f"inject_{fault}"
     return run
@@ -391,8 +398,9 @@ def fault_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def classifier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = A.vector_catalog(spark, sf_dir).select("segment_id", "label", "edge_flag", "paper_split", "split_grouped")
-    table = _features(spark, sf_dir).join(known, "segment_id")
+    segments, stats = _stats(spark, sf_dir, "features")
+    flagged = rules.apply(stats, _thresholds(segments, stats)).select("segment_id", "rule_flags", *FEATURES)
+    table = flagged.join(segments.select("segment_id", "label", "edge_flag", "paper_split", "split_grouped"), "segment_id")
     return classify.experiments(cut(table.withColumn("class_group", catalog.class_group(F.col("label"))), "training"), FEATURES)
 
 
@@ -401,6 +409,7 @@ def export_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.vector_catalog(spark, sf_dir).join(signals.rd_table(A.vector_arrays(spark, sf_dir), SMALL), "segment_id")
     spec = {"name": "rd_clean", "version": "1.0", "description": "clean segments", "filters": {"edge_flag": 0}}
     path = fresh_path(spark, "export")
-    export.export(rows, spec, path, source="embeddings")
+    made = export.export(rows, spec, path, source="embeddings")
     read = export.read(spark, path, split_kind="grouped", split=None, task="group", verify=True)
-    return read.groupBy("y").agg(F.count("*").alias("n"), F.min("segment_id").alias("first"), F.max("segment_id").alias("last"))
+    sums = read.groupBy("y").agg(F.count("*").alias("n"), F.min("segment_id").alias("first"), F.max("segment_id").alias("last"))
+    return sums.withColumn("verified", F.lit(made["n_segments"] == read.count()))

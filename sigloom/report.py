@@ -11,7 +11,10 @@ MOST_ROWS = 1000
 
 
 def _rows(df: DataFrame) -> tuple[list[str], list[tuple]]:
-    return df.columns, [tuple(r) for r in df.limit(MOST_ROWS).collect()]
+    """Columns and rows; where there are more than ``MOST_ROWS``, a last row says so."""
+    rows = [tuple(r) for r in df.limit(MOST_ROWS + 1).collect()]
+    more = [(f"only the first {MOST_ROWS} rows are shown", *[None] * (len(df.columns) - 1))] if len(rows) > MOST_ROWS else []
+    return df.columns, rows[:MOST_ROWS] + more
 
 
 def _cell(value) -> str:

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigloom.config import SMALL
-from sigloom.operators import anomaly, catalog, classify, evaluate, graph, ingest, order, splits
+from sigloom.config import INTEGRITY_RULES, SMALL
+from sigloom.operators import anomaly, catalog, classify, evaluate, graph, ingest, order, rules, splits
 from sigloom.sources import export, raw
 
 
@@ -117,6 +117,38 @@ def test_forest_sets_outliers_apart(spark):
     assert all(0 <= x <= 1 for x in s.values())
 
 
+def test_fits_on_no_rows_and_odd_rows(spark):
+    rows = [(i, float(i % 7), float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    odd = df.union(spark.createDataFrame([(100, float("nan"), 1.0), (101, None, 1.0), (102, float("inf"), 1.0)], df.schema))
+    for fit in (lambda d: anomaly.fit_components(d.drop("k"), k=1).error, lambda d: anomaly.fit_forest(d, "k", trees=20).score):
+        good, same = ({r[0]: r[1] for r in anomaly.score_rows(odd, "k", "s", fit(d.repartition(3))).collect()} for d in (df, odd))
+        assert all(good[i] == pytest.approx(same[i]) for i in range(60)) and {same[i] for i in (100, 101, 102)} == {float("inf")}
+        none = {r[1] for r in anomaly.score_rows(df, "k", "s", fit(df.limit(0))).collect()}
+        assert all(np.isfinite(x) for x in none) and anomaly.score_rows(df.limit(0), "k", "s", fit(df)).count() == 0
+    n, mean, covariance = anomaly.moments(df.drop("k").repartition(40), squeeze=False)
+    v = np.array(rows)[:, 1:]
+    assert n == 60 and mean == pytest.approx(v.mean(axis=0)) and covariance == pytest.approx(np.cov(v.T, bias=True))
+
+
+def test_no_clean_rows_and_no_experiment(spark):
+    stats = spark.createDataFrame([], ", ".join(f"{r} double" for r in INTEGRITY_RULES))
+    assert rules.calibrate(stats)["spike"] == float("inf")
+    table = spark.createDataFrame([("D1", "drone", 1, 1, 1.0)], "label string, class_group string, paper_split int, split_grouped int, a double")
+    assert classify.experiments(table, ("a",)).count() == 0
+
+
+def test_areas_rank_negatives_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f, m, float(rng.integers(0, 9)), f != "") for f in ("", "x", "y") for m in ("p", "q") for _ in range(40)]
+    df = spark.createDataFrame(rows, "fault string, method string, score double, positive boolean")
+    found = {(r["fault"], r["method"]): r["roc_auc"] for r in evaluate.areas(df.where("positive"), df.where("not positive")).collect()}
+    assert len(found) == 4
+    for (fault, method), area in found.items():
+        one = order.roc_auc(df.where(f"method = '{method}' and fault in ('', '{fault}')"), "score", "positive").first()
+        assert area == pytest.approx(one["roc_auc"])
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a")], "l string, p string")
     r = evaluate.macro_f1(df, "l", "p").first()
@@ -158,6 +190,11 @@ def test_stages(spark, staged):
     segments = ingest.segments_view(spark, root)
     assert segments.where("rule_score is null or snr_db is null").count() == 0
     assert segments.where("(rule_flags > 0) != (rule_score >= 1)").count() == 0
+    assert segments.where("anomaly_score is null or anomaly_score_iforest is null or class_group is null").count() == 0
+    rates = {r["method"]: r for r in ingest.read(spark, root, "false_alarms").collect()}
+    assert set(rates) == set(evaluate.METHODS) and all(0 <= r["false_alarm_rate"] <= 1 and r["n"] > 0 for r in rates.values())
+    ingest.save_json(spark, {"a": [1, {"b": "x"}]}, f"{root}/results/x")
+    assert ingest.load_json(spark, f"{root}/results/x") == {"a": [1, {"b": "x"}]}
     assert splits.leakage(segments, "split_grouped").first()["measurements_in_multiple_splits"] == 0
     hard = {r["fault"]: r["recall_deployed"] for r in table.where("method = 'rules'").collect()}
     assert hard["dropped_block"] == hard["frozen_block"] == hard["duplicate_segment"] == 1.0
