@@ -114,7 +114,10 @@ RULES = """
 
 
 def _with(*parts: str, then: str) -> str:
-    return f"with {', '.join(parts)} {then}"
+    """``then`` after the common table expressions ``parts``; it may begin with comment lines and expressions of its own."""
+    body = "\n".join(x for x in then.splitlines() if not x.startswith("--")).strip()
+    own = body[:5].lower() == "with "
+    return f"with {', '.join(parts)}{', ' if own else ' '}{body[5:] if own else body}"
 
 
 def digits(name: str) -> int:
