@@ -103,17 +103,18 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     each = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), said("role"), said("text"))
     each = each.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
-    role, other = F.col("role"), F.concat(F.lit(OTHER[0]), _hidden(F.col("role")), F.lit(OTHER[1]))
-    before, after = other, F.lit(OTHER[2])
+    role = F.col("role")
+    before, after = F.concat(F.lit(OTHER[0]), _hidden(role), F.lit(OTHER[1])), F.lit(OTHER[2])
     for name, (opens, closes) in TURNS.items():
         before, after = F.when(role == name, F.lit(opens)).otherwise(before), F.when(role == name, F.lit(closes)).otherwise(after)
-    each = each.withColumn("before", before).withColumn("hidden", _hidden(F.col("text"))).withColumn("segment", F.concat("before", "hidden", after))
-    each = each.withColumn("chars", F.char_length("segment").cast("long")).withColumn("all_chars", F.col("chars") * F.col("n"))
+    segment = F.concat(before, _hidden(F.col("text")), after)
+    each = each.withColumn("all_chars", F.char_length(segment).cast("long") * F.col("n"))  # the segment itself is made again where it is placed
     each = each.withColumn("replies", F.when(role == "assistant", F.col("n")).otherwise(F.lit(0).cast("long")))
     placed = running_sums(each, ["conv_id", "turn", "role", "text"], ["n", "all_chars", "replies"])
     sums = ("before_n", "before_all_chars", "before_replies")
     firsts = placed.groupBy(F.col("conv_id").alias("of")).agg(*(F.min(c).alias(f"first_{c}") for c in sums))
-    placed = placed.join(firsts, F.col("conv_id").eqNullSafe(F.col("of")))
+    placed = placed.join(firsts, F.col("conv_id").eqNullSafe(F.col("of"))).withColumn("hidden", _hidden(F.col("text"))).withColumn("before", before)
+    placed = placed.withColumn("segment", F.concat("before", "hidden", after)).withColumn("chars", F.char_length("segment").cast("long"))
     at = {c: F.col(c) - F.col(f"first_{c}") for c in sums}
     rows = placed.select(
         "conv_id", F.posexplode(F.sequence(F.lit(1), F.col("n"))).alias("k", "_"), "segment", "role", "chars", F.char_length("before").alias("skip"),
