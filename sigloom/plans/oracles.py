@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from sigloom.config import FAULTS, INTEGRITY_RULES
 from sigloom.config import FEATURES as FEATURE_NAMES
-from sigloom.config import INTEGRITY_RULES
 from sigloom.plans.sqlrun import text_of
 
 
@@ -288,3 +288,81 @@ ORACLE |= {
             true as verified from meta where edge_flag = 0 group by 1""",
     ),
 }
+
+_WORD = 2**64
+_STEP = 0x9E3779B97F4A7C15
+
+
+def _let(value: str, body: str) -> str:
+    """``body`` with ``v`` for ``value``."""
+    return f"list_transform([{value}], lambda v: {body})[1]"
+
+
+def _times(value: str, factor: int) -> str:
+    return f"(({value})::uhugeint * {factor}::uhugeint % {_WORD}::uhugeint)::ubigint"
+
+
+def _plus(value: str, more: str) -> str:
+    return f"((({value})::uhugeint + ({more})::uhugeint) % {_WORD}::uhugeint)::ubigint"
+
+
+def _mixed(value: str) -> str:
+    """The mixing of 64-bit words that the draws are made by."""
+    first = _let(value, _times("xor(v, v >> 30)", 0xBF58476D1CE4E5B9))
+    return _let(_let(first, _times("xor(v, v >> 27)", 0x94D049BB133111EB)), "xor(v, v >> 31)")
+
+
+def _draws(name: str, fault: str, n: int, salt: int) -> str:
+    """Table ``name`` (segment_id, i, u): draw i, counted from 0, of each segment."""
+    key = f"(segment_id * {len(FAULTS)} + {FAULTS.index(fault)})"
+    salted = _mixed(f"xor({_mixed(_plus(key, str(_STEP)))}, {_mixed(str((salt + 1) * _STEP % _WORD) + '::ubigint')})")
+    drawn = _mixed(_plus("state", f"(i + 1)::uhugeint * {_STEP}::uhugeint"))
+    return f"""{name} as materialized (select segment_id, i, (({drawn}) >> 11)::double * pow(2::double, -53) as u
+        from (select segment_id, {salted} as state from whole), range({n}) r(i))"""
+
+
+def _drawn(fault: str, *parts: str) -> str:
+    """The evidence of a fault made of the segments ``sig`` and the draws u0, u1, u2 of each."""
+    wide = "d as materialized (select segment_id, max(u) filter (i = 0) as u0, max(u) filter (i = 1) as u1, max(u) filter (i = 2) as u2 from u group by 1)"
+    return _with(SIGNALS, _draws("u", fault, 3, 0), wide, *parts, then=_CHANGED)
+
+
+_LEVEL = "level as (select segment_id, sqrt(quantile_cont(re * re + im * im, 0.25) / 0.2877) as level from sig group by 1)"
+_BURSTS = """starts as (select segment_id, i as k, cast(floor(u * 62) as bigint) as start from u),
+    noise as (select a.segment_id, a.i // 10 as k, (a.i // 2) % 5 as c, a.i % 2 as j, sqrt(-2 * ln(1 - a.u)) * cos(2 * pi() * b.u) / sqrt(2) as re,
+        sqrt(-2 * ln(1 - a.u)) * sin(2 * pi() * b.u) / sqrt(2) as im from n a join n b on a.segment_id = b.segment_id and b.i = a.i + 30),
+    added as (select segment_id, c, start + j as t, 10 * level * sum(re) as re, 10 * level * sum(im) as im from noise join starts using (segment_id, k) join level using (segment_id)
+        group by segment_id, c, start + j, level),
+    f as (select segment_id, c, t, sig.re + coalesce(added.re, 0) as re, sig.im + coalesce(added.im, 0) as im from sig left join added using (segment_id, c, t))"""
+
+ORACLE |= {
+    # faults with draws: the same words are mixed in SQL
+    "inject_dropped_block": _drawn(
+        "dropped_block",
+        """f as (select segment_id, c, t, case when t - floor(u0 * 32) between 0 and 31 then 0 else re end as re, case when t - floor(u0 * 32) between 0 and 31 then 0 else im end as im
+            from sig join d using (segment_id))""",
+    ),
+    "inject_interference_burst": _drawn("interference_burst", _draws("n", "interference_burst", 60, 1), _LEVEL, _BURSTS),
+    "inject_dc_leakage": _drawn(
+        "dc_leakage", _LEVEL,
+        """f as (select segment_id, c, t, re + 3 * level * cos(2 * pi() * u0) as re, im + 3 * level * sin(2 * pi() * u0) as im from sig join d using (segment_id) join level using (segment_id))""",
+    ),
+    "inject_phase_jump": _drawn(
+        "phase_jump",
+        """turned as (select segment_id, c, t, re, im, case when t >= 16 + floor(u2 * 32) then pi() / 2 * (1 + u0) * case when u1 < 0.5 then -1 else 1 end else 0 end as a from sig join d using (segment_id)),
+            f as (select segment_id, c, t, re * cos(a) - im * sin(a) as re, re * sin(a) + im * cos(a) as im from turned)""",
+    ),
+    "inject_range_offset": _drawn(
+        "range_offset",
+        """f as (select segment_id, (c + list_value(-2, -1, 1, 2)[cast(floor(u0 * 4) as int) + 1] + 5) % 5 as c, t, re, im from sig join d using (segment_id))""",
+    ),
+    "inject_frozen_block": _drawn(
+        "frozen_block",
+        """f as (select o.segment_id, o.c, o.t, h.re, h.im from sig o join d using (segment_id) join sig h on h.segment_id = o.segment_id and h.c = o.c
+            and h.t = case when o.t - floor(u0 * 32) between 0 and 31 then cast(floor(u0 * 32) as bigint) else o.t end)""",
+    ),
+    "inject_gain_drift": _drawn(
+        "gain_drift",
+        """f as (select segment_id, c, t, re * g as re, im * g as im from (select *, pow(10, t * 10.0::double / 63 * case when u0 < 0.5 then -1 else 1 end / 20) as g from sig join d using (segment_id)))""",
+    ),
+}
