@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one is set only where none is (tests)."""
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where none is named, a local session (tests) gets one of its own; on a cluster that
+    is an error, since executors elsewhere could not read the driver's folders.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir has to name a shared folder on {master or 'a cluster'}")
         path = tempfile.mkdtemp(prefix="sigloom-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)

@@ -366,3 +366,25 @@ ORACLE |= {
         """f as (select segment_id, c, t, re * g as re, im * g as im from (select *, pow(10, t * 10.0::double / 63 * case when u0 < 0.5 then -1 else 1 end / 20) as g from sig join d using (segment_id)))""",
     ),
 }
+
+ORACLE["grouped_split"] = f"""with recursive {CATALOG},
+    alike as (select measurement_id, sha1(sha1 || '|' || cast(cast(floor(range_m / 2000) as bigint) as varchar)) as h from segments),
+    links as (select distinct min(measurement_id) over (partition by h) as a, measurement_id as b from alike),
+    both_ as materialized (select a, b from links where a <> b union select b, a from links where a <> b),
+    reach(node, other) as (select a, b from both_ union select r.node, b.b from reach r join both_ b on r.other = b.a),
+    roots as (select node, least(node, min(other)) as root from reach group by 1),
+    grouped as materialized (select measurement_id, label, n_segments, coalesce(root, measurement_id) as group_id from measurements left join roots on node = measurement_id),
+    sums as (select group_id, arg_max(label, row(n_segments, sha1(cast(measurement_id as varchar)))) as label, sum(n_segments) as size from grouped group by 1),
+    ranked as materialized (select *, row_number() over (partition by label order by size desc, sha1('0:' || group_id)) as rank, count(*) over (partition by label) as n,
+        sum(size) over (partition by label) as total from sums),
+    ends as (select label, max(size) filter (rank = n) as smallest, max(size) filter (rank = n - 1) as second from ranked group by 1),
+    pick(label, rank, split, a, b, c) as (
+        select label, 0::bigint, 0, 6000 * max(total), 2000 * max(total) - 10000 * max(second), 2000 * max(total) - 10000 * max(smallest)
+            from ranked join ends using (label) where n > 2 group by label
+        union all
+        select label, rank, s, a - 10000 * size * (s = 1)::int, b - 10000 * size * (s = 2)::int, c - 10000 * size * (s = 3)::int
+            from (select p.label, r.rank, r.size, a, b, c, case when a >= b and a >= c then 1 when b >= c then 2 else 3 end as s
+                from pick p join ranked r on r.label = p.label and r.rank = p.rank + 1 where r.rank <= r.n - 2)),
+    placed as (select group_id, case when n = 1 or (n = 2 and rank = 1) then 1 when rank = n then 3 when rank = n - 1 then 2 else split end as split_grouped
+        from ranked left join pick using (label, rank))
+    select measurement_id, group_id, cast(split_grouped as int) as split_grouped from grouped join placed using (group_id)"""

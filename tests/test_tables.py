@@ -1,5 +1,7 @@
 """Splits, components, order statistics, export and the staged pipeline."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +27,37 @@ def test_split_contract(spark):
     assert s == split_of(spark, sizes)
 
 
+def plain_split(groups, shares):
+    """Splits of (id, size) in order of placing, one after the other."""
+    n, total = len(groups), sum(size for _, size in groups)
+    if n < 3:
+        return dict(zip([g for g, _ in groups], [1, 3]))
+    lacks = [share * total for share in shares]
+    lacks[2] -= 10_000 * groups[-1][1]
+    lacks[1] -= 10_000 * groups[-2][1]
+    out = {groups[-1][0]: 3, groups[-2][0]: 2}
+    for g, size in groups[:-2]:
+        at = lacks.index(max(lacks))
+        lacks[at] -= 10_000 * size
+        out[g] = at + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_split_against_picking_one_by_one(spark, seed):
+    rng = np.random.default_rng(seed)
+    sizes = [(label, int(n)) for label, most in (("a", 3), ("b", 40), ("c", 1), ("d", 400)) for n in rng.integers(0, most + 1, 60)] + [(None, 4), (None, 4), (None, 1)]
+    s = split_of(spark, sizes)
+    tie = lambda i: hashlib.sha1(f"0:{i}".encode()).hexdigest()
+    for label in {label for label, _ in sizes}:
+        groups = sorted(((i, n) for i, (x, n) in enumerate(sizes) if x == label), key=lambda g: (-g[1], tie(g[0])))
+        assert {i: s[i] for i, _ in groups} == plain_split(groups, (6000, 2000, 2000))
+
+
+def test_split_of_no_measurements(spark):
+    assert split_of(spark, []) == {}
+
+
 def test_linked_measurements_stay_together(spark):
     s = split_of(spark, [("a", 10)] * 6, [(0, 5), (5, 3)])
     assert s[0] == s[5] == s[3]
