@@ -8,7 +8,10 @@ what an item of the class may lack. And it has a bound, the largest hash in its
 a document's sketch for the class is its hashes up to that bound. A document that
 contains an item of n shingles lacks at most ``(1 - threshold) n`` of them, so at least k
 less that many of the item's sketch are in the document's: the search misses nothing.
-Every candidate is then verified by the exact shingles.
+That holds for any k of an item's shingles, so those that more than ``COMMON`` items own
+enter a sketch after all others: a passage that very many items and documents share makes
+no candidates of their pairs, unless an item has little else. Every candidate is then
+verified by the exact shingles. Equal items are searched for once.
 
 The documents are hashed in one pass over whole texts, for all widths and classes at
 once, and probe the index, which is broadcast if its counted bytes are at most
@@ -19,8 +22,8 @@ Words are runs of characters other than ASCII white space, letters lower-cased.
 shorter than a shingle count as one shingle of all their words, looked for as such.
 Edge cases: null and empty texts and items contain nothing and are contained nowhere.
 Repeated item ids are separate items per text; repeated documents are each reported
-once per distinct id. Rows without an id are not reported, as the result is ids. Extra
-columns are ignored.
+once per distinct id. Rows without an id are not reported, as the result is ids; an item
+without an id still removes the documents that contain it. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ WORDS_PER_SHINGLE = 5
 THRESHOLD = 0.8
 #: Bytes of a side that is broadcast, strings and 64 for each row; beyond, the join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Items that may own a shingle before sketches take rarer ones first.
+COMMON = 16
 
 
 def words(text: Column) -> Column:
@@ -65,24 +70,29 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """(item_id, item, width, n, shingles, class, least, sketch) of every item with a word.
+    """(item, width, n, shingles, class, least, sketch) of every different item with a word.
 
-    ``item`` tells repeated ids apart; ``class`` is the size class, and ``least`` how many
-    hashes of the sketch any document that contains the item has.
+    ``item`` stands for the item's words; ``class`` is the size class, and ``least`` how
+    many hashes of the sketch any document that contains the item has.
     """
-    split = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
+    split = items.select(words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
     split = split.withColumn("item", F.xxhash64("w")).withColumn("width", F.least(F.size("w"), F.lit(width)))
     texts = F.lit(None).cast("array<string>")
     for k in range(width, 0, -1):
         texts = F.when(F.col("width") == k, shingle_texts(F.col("w"), k)).otherwise(texts)
-    out = split.select("item_id", "item", "width", F.array_distinct(texts).alias("shingles")).withColumn("n", F.size("shingles"))
-    hashed = F.transform("shingles", lambda s: F.struct(F.xxhash64(*_split(s, width)).alias("h"), s.alias("s")))
+    out = split.select("item", "width", F.array_distinct(texts).alias("shingles")).withColumn("n", F.size("shingles"))
+    out = cut(out.withColumn("h", F.transform("shingles", lambda s: F.xxhash64(*_split(s, width)))), "items")
+    owned = out.select("item", "width", F.explode("h").alias("h"))
+    common = owned.groupBy("width", "h").agg(F.count("*").alias("owners")).where(F.col("owners") > COMMON)
+    late = owned.join(common, ["width", "h"]).groupBy("item").agg(F.collect_set("h").alias("late"))  # of one item's own
+    out = out.join(late, "item", "left").withColumn("late", F.coalesce("late", F.array().cast("array<bigint>")))
     out = out.withColumn("class", F.ceil(F.log2(F.col("n") + 1)).cast("int"))
     top = F.call_function("shiftleft", F.lit(1), F.col("class")) - 1  # the most shingles of the class
     lacks = lambda n: F.floor((1 - F.lit(threshold)) * n + 1e-9).cast("int")
     k = F.least(lacks(top) + 1, F.col("n"))
     out = out.withColumn("least", F.greatest(k - lacks(F.col("n")), F.lit(1)))
-    return out.withColumn("sketch", F.slice(F.transform(F.array_sort(hashed), lambda x: x["h"]), F.lit(1), k))
+    ordered = F.concat(F.array_sort(F.array_except("h", "late")), F.array_sort("late"))
+    return out.withColumn("sketch", F.slice(ordered, F.lit(1), k)).drop("h", "late")
 
 
 def _split(shingle: Column, width: int) -> list[Column]:
@@ -98,16 +108,13 @@ def _exploded(by_width: dict[int, Column], name: str) -> Column:
     return F.inline(F.concat(*tagged) if len(tagged) > 1 else tagged[0])
 
 
-def contained(
-    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS_PER_SHINGLE
-) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_shared, containment) of every item contained in a document."""
+def _pairs(docs: DataFrame, items: DataFrame, threshold: float, width: int) -> DataFrame | None:
+    """(doc_id, item, n, n_shared) of every different item contained in a document; None if no item has a word."""
     known = cut(sketches(items, threshold, width), "sketch")
-    bounds = known.groupBy("width", "class").agg(F.max(F.element_at("sketch", -1)).alias("bound")).orderBy("width", "class").collect()  # a row per size class
-    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    bounds = known.groupBy("width", "class").agg(F.max(F.array_max("sketch")).alias("bound")).orderBy("width", "class").collect()  # a row per size class
     if not bounds:
-        none = texts.select("doc_id").limit(0)
-        return none.selectExpr("doc_id", "cast(null as bigint) as item_id", "0L as n_shingles", "0L as n_shared", "0D as containment")
+        return None
+    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     widths = sorted({r["width"] for r in bounds})
     split = texts.select("doc_id", words(F.col("text")).alias("w"))
     hashed = split.select("doc_id", _exploded({k: shingle_hashes(F.col("w"), k) for k in widths}, "h"))
@@ -115,19 +122,28 @@ def contained(
     hashed = hashed.where(" or ".join(f"(width = {w} and h <= {max(r['bound'] for r in bounds if r['width'] == w)})" for w in widths))
     sketched = hashed.select("doc_id", "width", "h", F.explode(F.array_compact(F.array(*within))).alias("class"))
 
-    owners = known.select("class", "width", "item_id", "item", "least", F.explode("sketch").alias("h"))
+    owners = known.select("class", "width", "item", "least", F.explode("sketch").alias("h"))
     index = cut(owners.select("class", "width", "h").distinct(), "index")
     hits = cut(sketched.join(_sized(index), ["class", "width", "h"]).distinct(), "hits")
-    met = hits.join(owners, ["class", "width", "h"]).groupBy("doc_id", "item_id", "item", "least").agg(F.count("*").alias("hits"))
-    pairs = cut(met.where("hits >= least").select("doc_id", "item_id", "item"), "pairs")
+    met = hits.join(owners, ["class", "width", "h"]).groupBy("doc_id", "item", "least").agg(F.count("*").alias("hits"))
+    pairs = cut(met.where("hits >= least").select("doc_id", "item"), "pairs")
 
-    full = cut(known.select("item_id", "item", "width", "n", F.explode("shingles").alias("s")), "shingles")
+    full = cut(known.select("item", "width", "n", F.explode("shingles").alias("s")), "shingles")
     again = texts.join(_sized(cut(pairs.select("doc_id").distinct(), "candidates")), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
     exact = again.select("doc_id", _exploded({k: F.array_distinct(shingle_texts(F.col("w"), k)) for k in widths}, "s"))
-    shared = exact.join(_sized(full), ["width", "s"]).distinct().join(pairs, ["doc_id", "item_id", "item"], "left_semi")
-    counted = shared.groupBy("doc_id", "item_id", "item", "n").agg(F.count("*").alias("n_shared"))
-    out = counted.where(F.col("n_shared") >= F.lit(threshold) * F.col("n") - 1e-9)
-    return out.select(
+    shared = exact.join(_sized(full), ["width", "s"]).distinct().join(pairs, ["doc_id", "item"], "left_semi")
+    counted = shared.groupBy("doc_id", "item", "n").agg(F.count("*").alias("n_shared"))
+    return counted.where(F.col("n_shared") >= F.lit(threshold) * F.col("n") - 1e-9)
+
+
+def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS_PER_SHINGLE) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_shared, containment) of every item contained in a document."""
+    found = _pairs(docs, items, threshold, width)
+    if found is None:
+        none = docs.select("doc_id", "text").limit(0)
+        return none.selectExpr("doc_id", "cast(null as bigint) as item_id", "0L as n_shingles", "0L as n_shared", "0D as containment")
+    ids = items.where("item_id is not null").select("item_id", F.xxhash64(words(F.col("text"))).alias("item")).distinct()
+    return found.join(ids, "item").select(
         "doc_id",
         "item_id",
         F.col("n").cast("long").alias("n_shingles"),
@@ -138,5 +154,8 @@ def contained(
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no item; rows without an id or text stay."""
-    found = cut(contained(docs, items).select("doc_id").distinct(), "contaminated")
+    pairs = _pairs(docs, items, THRESHOLD, WORDS_PER_SHINGLE)
+    if pairs is None:
+        return docs
+    found = cut(pairs.select("doc_id").distinct(), "contaminated")
     return docs.join(_sized(found), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -258,6 +258,26 @@ def test_containment_against_brute_force(spark, monkeypatch):
     assert decontaminate.contained(rows.limit(0), table).count() == 0
 
 
+def test_a_passage_of_many_items_makes_few_candidates(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = prose(rng, 30)
+    items = [(k, f"{prose(rng, 40)} {passage}") for k in range(40)] + [(50, passage), (51, passage), (None, unnamed := prose(rng, 20))]
+    texts = [f"{prose(rng, 30)} {passage} {prose(rng, 30)}" for _ in range(60)] + [items[3][1], f"{items[7][1]} {prose(rng, 9)}", unnamed]
+    table, written = spark.createDataFrame(items, "item_id long, text string"), {}
+
+    def keep(df, name):
+        written[name] = df.count()
+        return cut(df, name)
+
+    cut = decontaminate.cut
+    monkeypatch.setattr(decontaminate, "cut", keep)
+    rows = docs(spark, texts)
+    want = {x for x in contained(texts, items) if x[1] is not None}
+    assert {(r["doc_id"], r["item_id"], r["containment"]) for r in decontaminate.contained(rows, table).collect()} == want
+    assert len(want) == 62 * 2 + 2 and written["pairs"] <= 62 + 3  # not 62 documents by 41 items
+    assert decontaminate.remove_contaminated(rows, table).count() == 0
+
+
 # --- quality
 
 
