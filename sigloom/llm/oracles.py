@@ -148,3 +148,22 @@ def _quality() -> str:
 
 
 QUALITY = _quality()
+
+PHRASES = r"""
+    with t as (select row_number() over () as d, coalesce(lang, 'und') as lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+    pieces as (select lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) as piece from t),
+    w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda v: v <> '') as w from pieces),
+    totals as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+    spans as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
+    grams as (select lang, w[i : i + k - 1] as ph from spans, range(1, 6) as r(k) where i + k - 1 <= len(w)),
+    f as (select lang, ph, count(*) as a from grams group by all having count(*) >= 100),
+    cuts as (select lang, ph, a, unnest(range(1, len(ph))) as k from f where len(ph) > 1),
+    scored as (select c.lang, c.ph, c.a, c.k, x.a as l, y.a as r, n, cast((1000::hugeint * c.a * n) // (x.a::hugeint * y.a) as bigint) as score
+        from cuts c join f x on x.lang = c.lang and x.ph = c.ph[1 : c.k] join f y on y.lang = c.lang and y.ph = c.ph[c.k + 1 :] join totals on totals.lang = c.lang),
+    weakest as (select * from scored qualify row_number() over (partition by lang, ph order by score, k) = 1),
+    starts as (select lang, ph, a, unnest(range(1, len(ph) + 1)) as i from f where len(ph) > 2),
+    inner_ as (select lang, ph[i : i + k - 1] as ph, max(a) as longer from starts, range(2, 5) as r(k) where k < len(starts.ph) and i + k - 1 <= len(starts.ph) group by all),
+    kept as (select w.*, array_to_string(w.ph, ' ') as phrase from weakest w left join inner_ using (lang, ph) where longer is null or 100 * longer < 100 * a),
+    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+    select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000"""

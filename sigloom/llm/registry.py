@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import chat, decontaminate, language, oracles, pii, quality, secrets, sentencepiece, simhash, urls, warc
+from sigloom.llm import bpe, chat, decontaminate, language, oracles, periodic, phrases, pii, quality, secrets, sentencepiece, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,6 +60,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_documents(_table(spark, sf_dir, "documents"), model)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(_table(spark, sf_dir, "documents"), bpe.load_ranks(spark, bpe.RANKS))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES |= {
     f.__name__: f
     for f in (
@@ -73,6 +85,9 @@ QUERIES |= {
         op8_url_filter,
         op9_pii,
         op10_sentencepiece,
+        op11_bpe,
+        op12_periodic_runs,
+        op13_phrases,
     )
 }
 ORACLE |= {
@@ -82,4 +97,5 @@ ORACLE |= {
     "op7_quality": oracles.QUALITY,
     "op8_url_filter": oracles.URLS,
     "op9_pii": oracles.PII,
+    "op13_phrases": oracles.PHRASES,
 }
