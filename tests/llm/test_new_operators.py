@@ -210,15 +210,15 @@ def brute_phrases(rows, least, top):
     return sorted((lang, i + 1, p.decode(), -a, l, r, n[lang], -s) for lang, x in out.items() for i, (s, a, p, l, r) in enumerate(sorted(x)[:top]))
 
 
-@pytest.mark.parametrize("block_words,range_rows", [(1_000_000, 1_000_000), (60, 25)])
-def test_phrases_against_brute_force(spark, block_words, range_rows):
+@pytest.mark.parametrize("block_words,range_words", [(1_000_000, 1_000_000), (60, 25)])
+def test_phrases_against_brute_force(spark, block_words, range_words):
     rng = random.Random(7)
     bits = ["a", "b", "C", "of", "the", "The end", "x\x85y", "é", ".", ",", "\n", "\t", "z\x01", "z", "ab c"]
     rows = [(i, None if i % 17 == 0 else " ".join(rng.choice(bits) for _ in range(rng.randrange(40))), rng.choice(["en", "de", None, "und", "x y"])) for i in range(300)]
     rows += [(None, "hot pair hot pair hot pair", "en")] * 60
     table = spark.createDataFrame(rows, "word long, text string, lang string").repartition(6)
     for least, top in ((10, 2000), (4, 15)):
-        found = phrases.mine(table, least=least, top=top, block_words=block_words, range_rows=range_rows).collect()
+        found = phrases.mine(table, least=least, top=top, block_words=block_words, range_words=range_words).collect()
         assert sorted(map(tuple, found)) == brute_phrases(rows, least, top)
     assert phrases.mine(table.limit(0), least=2).count() == 0
     assert phrases.mine(docs(spark, ODD), least=1000).count() > 0
@@ -226,18 +226,19 @@ def test_phrases_against_brute_force(spark, block_words, range_rows):
 
 def test_equal_suffixes_are_added_up_on_the_way():
     import pyarrow as pa
+    from sigloom.llm.packed import pack_wide
 
-    batch = pa.record_batch({"lang": ["en"] * 4, "w0": [1, 1, 2, 1], "n": [5, 6, 7, 8]})
-    table = phrases._added_up(iter([batch] * 50), 10)
-    assert table.num_rows <= 10 + 4 and sum(table.column("n").to_pylist()) == 50 * 26
+    row = ([pack_wide(np.array(c)) for c in ([1, 1, 2], [0, 7, 2**40])], pack_wide(np.array([5, 6, 7])))
+    table = pa.table({"columns": [row[0]] * 50, "weights": [row[1]] * 50})
+    columns, weights = phrases._gathered(table, 10)
+    assert len(weights) <= 13 and weights.sum() == 50 * 18 and columns[1].max() == 2**40
 
 
 def test_phrase_scores_pass_64_bits(spark):
     big = 3 * 10**14
-    f = spark.createDataFrame([("en", [1, 2], big)], "lang string, ids array<long>, a long")
-    words = spark.createDataFrame([("en", "a", 1, big + 1), ("en", "b", 2, big + 2)], "lang string, word string, id long, f long")
+    f = spark.createDataFrame([("en", [1, 2], big), ("en", [1], big + 1), ("en", [2], big + 2)], "lang string, ids array<long>, a long")
     totals = spark.createDataFrame([("en", 9 * big)], "lang string, n long")
-    assert phrases._scored(f, words, totals).first()["score"] == 1000 * big * 9 * big // ((big + 1) * (big + 2))
+    assert phrases._scored(f, totals).first()["score"] == 1000 * big * 9 * big // ((big + 1) * (big + 2))
 
 
 def test_phrases_against_sql(spark):
