@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sigloom import report
 from sigloom.config import FEATURES, Radar
-from sigloom.operators import catalog, classify, ingest
+from sigloom.functions import signals
+from sigloom.operators import catalog, classify, ingest, training
 from sigloom.plans import sqlrun
 from sigloom.sources import export, raw
 
@@ -24,8 +25,11 @@ def main(argv: list[str] | None = None) -> None:
     quality = sub.add_parser("quality")
     quality.add_argument("--n-per-fault", type=int, default=500)
     quality.add_argument("--trees", type=int, default=300)
+    quality.add_argument("--cae-epochs", type=int, default=15)
     sub.add_parser("export").add_argument("specs", help="YAML file with a list 'datasets'")
-    sub.add_parser("train").add_argument("--seeds", type=int, nargs="+", default=[0, 1, 2])
+    train = sub.add_parser("train")
+    train.add_argument("--seeds", type=int, nargs="+", default=[0, 1, 2])
+    train.add_argument("--epochs", type=int, default=12)
     sub.add_parser("query").add_argument("file")
     sub.add_parser("sql-all")
     sub.add_parser("report").add_argument("--html", help="folder to write the report to as a page")
@@ -44,7 +48,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.stage == "dsp":
         print(json.dumps({"features": ingest.process(spark, root, radar).count()}))
     elif a.stage == "quality":
-        print(report.markdown(ingest.assess(spark, root, radar, a.n_per_fault, trees=a.trees).orderBy("fault", "method")))
+        print(report.markdown(ingest.assess(spark, root, radar, a.n_per_fault, trees=a.trees, cae_epochs=a.cae_epochs).orderBy("fault", "method")))
     elif a.stage == "export":
         rows = ingest.segments_view(spark, root).join(ingest.read(spark, root, "rd_maps"), "segment_id")
         for spec in export.load_specs(spark, a.specs):
@@ -53,6 +57,9 @@ def main(argv: list[str] | None = None) -> None:
     elif a.stage == "train":
         rows = ingest.segments_view(spark, root).withColumn("class_group", catalog.class_group(F.col("label")))
         print(report.markdown(classify.experiments(rows, FEATURES, seeds=tuple(a.seeds))))
+        maps = rows.join(ingest.read(spark, root, "rd_maps").withColumn("rd_norm", signals.scaled_map(F.col("rd_db"))), "segment_id")
+        folder = f"{root}/results/training"
+        print(report.markdown(classify.network_experiments(maps, radar.n_range, tuple(a.seeds), training.Settings(epochs=a.epochs), folder=folder)))
     elif a.stage == "query":
         print(report.markdown(sqlrun.run_sql(spark, a.file, views())))
     elif a.stage == "sql-all":

@@ -1,15 +1,25 @@
-"""Supervised experiments: training sets by split and filter, evaluated on clean and all test rows."""
+"""Supervised experiments: training sets by split and filter, evaluated on clean and all test rows.
+
+``experiments`` fits logistic regressions on features, ``network_experiments`` convolutional
+networks on maps. The networks of all experiments and seeds learn together: a step reads a
+batch once for all of them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.functions.networks import classifier
+from sigloom.operators import training
 from sigloom.operators.evaluate import class_weights, macro_f1
 
 #: (target, split column, only clean rows train).
@@ -47,7 +57,7 @@ def _guess(model, rows: DataFrame, target: str) -> DataFrame:
     return guessed.union(rows.where(~whole).select(F.col(target), F.lit(None).cast("string")))
 
 
-COLUMNS = "target string, split string, trained_on string, tested_on string, n bigint, seeds bigint, accuracy double, macro_f1 double, accuracy_std double, macro_f1_std double"
+COLUMNS = "model string, target string, split string, trained_on string, tested_on string, n bigint, seeds bigint, accuracy double, macro_f1 double, accuracy_std double, macro_f1_std double"
 
 
 def experiments(rows: DataFrame, features: tuple[str, ...], grid: tuple[float, ...] = (0.001, 0.1), seeds: tuple[int, ...] = (0, 1, 2), bag: float = 0.9) -> DataFrame:
@@ -83,8 +93,121 @@ def experiments(rows: DataFrame, features: tuple[str, ...], grid: tuple[float, .
         if marks:
             each = reduce(DataFrame.unionByName, marks).groupBy("tested_on")
             spread = [f(c).alias(c + end) for c in ("accuracy", "macro_f1") for f, end in ((F.avg, ""), (F.stddev_pop, "_std"))]
-            tags = [F.lit(v).alias(k) for k, v in (("target", target), ("split", split), ("trained_on", "clean" if clean else "all"))]
+            tags = [F.lit(v).alias(k) for k, v in (("model", "logistic"), ("target", target), ("split", split), ("trained_on", "clean" if clean else "all"))]
             sums = each.agg(F.max("n").alias("n"), F.count("*").alias("seeds"), *spread).select(*tags, "*")
             out.append(sums.select(*(x.split()[0] for x in COLUMNS.split(", "))))
         train.unpersist()
     return reduce(DataFrame.unionByName, out)
+
+
+def _counts(grid: training.Grid, chunks: DataFrame, state_vector: np.ndarray, moments: np.ndarray, role: int) -> np.ndarray:
+    """Rows (classifier, clean, class, guess, n) over the rows that have ``role`` for a classifier; guess -1 for rows without a map."""
+    shared = chunks.sparkSession.sparkContext.broadcast((state_vector, moments))
+    names = ["model", "clean", "y", "guess", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vector, seen = shared.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = training.Chunk(row, grid.cells)
+                found = []
+                for i, (target, column) in enumerate(zip(grid.targets, grid.weights)):
+                    rows = np.flatnonzero(chunk.more["role"][:, column] == role)
+                    guess = np.where(chunk.more["whole"][rows, 0] > 0, grid.guesses(vector, seen, chunk.x[rows], i), -1)
+                    found.append(np.stack([np.full(len(rows), i), chunk.more["clean"][rows, 0], chunk.more["y"][rows, target], guess], axis=1))
+                each, n = np.unique(np.concatenate(found).astype(np.int64), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(each[:, k]) for k in range(4)), pa.array(n)], names)
+
+    rows = chunks.mapInArrow(run, ", ".join(f"{x} long" for x in names)).groupBy(*names[:4]).agg(F.sum("n").alias("n"))
+    return np.array([tuple(r) for r in rows.collect()], np.int64).reshape(-1, 5)  # classes squared for each classifier
+
+
+def _marks(counts: np.ndarray) -> tuple[int, float, float]:
+    """(n, accuracy, macro F1 over the classes that occur) of rows (.., class, guess, n)."""
+    y, guess, n = counts[:, -3], counts[:, -2], counts[:, -1]
+    total = int(n.sum())
+    if not total:
+        return 0, 0.0, 0.0
+    each = [2 * n[(y == c) & (guess == c)].sum() / (n[y == c].sum() + n[guess == c].sum()) for c in np.unique(y)]
+    return total, float(n[y == guess].sum() / total), float(np.mean(each))
+
+
+def network_experiments(
+    rows: DataFrame, cells: int, seeds: tuple[int, ...] = (0, 1, 2), settings: training.Settings = training.Settings(), width: int = 32, folder: str | None = None
+) -> DataFrame:
+    """As ``experiments``, of convolutional networks on the column ``rd_norm`` of ``rows``, which have segment_id, class_group and label too.
+
+    Each network keeps the weights of its epoch of best macro F1 on validation rows (the
+    first of several). Rows without a whole map take no part in training and count as
+    wrong. ``folder`` keeps checkpoints, from which a run that was stopped goes on.
+    """
+    spark = rows.sparkSession
+    flags = [c for c in ("edge_flag", "rule_flags") if c in rows.columns]
+    clean = reduce(Column.__and__, (F.coalesce(F.col(c), F.lit(0)) == 0 for c in flags), F.lit(True))
+    drone = F.coalesce(F.col("class_group") == "drone", F.lit(False))
+    known = {"class_group": F.col("class_group").isNotNull(), "label": drone & F.col("label").isNotNull()}
+    roles = []
+    for target, split, only in EXPERIMENTS:
+        mine = known[target]
+        learns = mine & clean if only else mine
+        roles.append(F.when(mine & (F.col(split) == 3), 3).when(learns & F.col(split).isin(1, 2), F.col(split)).otherwise(0))
+    tagged = rows.select("segment_id", "class_group", "label", "rd_norm", clean.cast("int").alias("clean"), *(r.alias(f"role{e}") for e, r in enumerate(roles)))
+
+    names, weights = {}, [dict() for _ in EXPERIMENTS]
+    train = [F.sum((F.col(f"role{e}") == 1).cast("long")).alias(f"n{e}") for e in range(len(EXPERIMENTS))]
+    for target in known:  # a row per class
+        found = tagged.where(known[target]).groupBy(target).agg(*train).orderBy(target).collect()
+        names[target] = [r[target] for r in found]
+        for e, (t, _, _) in enumerate(EXPERIMENTS):
+            if t == target:
+                raw = {r[target]: r[f"n{e}"] ** -0.5 for r in found if r[f"n{e}"]}
+                weights[e] = {k: v * len(raw) / sum(raw.values()) for k, v in raw.items()}
+    usable = [e for e, w in enumerate(weights) if len(w) > 1]
+    if not usable:
+        return spark.createDataFrame([], COLUMNS)
+
+    look = lambda table, c: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.col(c)), F.lit(0.0)) if table else F.lit(0.0)
+    numbers = {t: {name: float(i) for i, name in enumerate(names[t])} for t in names}
+    y = [F.when(known[t], look(numbers[t], t)).otherwise(-1.0).alias(f"y{i}") for i, t in enumerate(names)]
+    w = [F.when(F.col(f"role{e}") == 1, look(weights[e], EXPERIMENTS[e][0])).otherwise(0.0).alias(f"w{e}") for e in range(len(EXPERIMENTS))]
+    table = tagged.select("*", *y, *w)
+    columns = {"y": ["y0", "y1"], "w": [f"w{e}" for e in range(len(EXPERIMENTS))], "role": [f"role{e}" for e in range(len(EXPERIMENTS))], "clean": ["clean"], "whole": ["whole"]}
+    whole = F.coalesce(F.forall("rd_norm", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))), F.lit(False))
+    sizes = table.where(whole).agg(F.max(F.size("rd_norm"))).first()[0] or 0
+    filled = table.withColumn("whole", whole.cast("int")).withColumn("rd_norm", F.when(whole, F.col("rd_norm")).otherwise(F.array_repeat(F.lit(0.0), sizes)))
+    learning = reduce(Column.__or__, (F.col(f"w{e}") > 0 for e in usable))
+    held = reduce(Column.__or__, (F.col(f"role{e}") > 1 for e in usable))
+    chunks, batches = training.packed(filled.where(learning & (F.col("whole") == 1)), "segment_id", "rd_norm", columns, settings)
+    rest, _ = training.packed(filled.where(held), "segment_id", "rd_norm", columns, settings)
+
+    place = {t: i for i, t in enumerate(names)}
+    models = [(e, s) for e in usable for s in seeds]
+    networks = [classifier(cells, len(names[EXPERIMENTS[e][0]]), width) for e, _ in models]
+    grid = training.Grid(networks, [place[EXPERIMENTS[e][0]] for e, _ in models], [e for e, _ in models], [s for _, s in models], cells)
+
+    def keep_best(state: training.State) -> None:
+        counts = _counts(grid, rest, state.vector, state.moments, 2)
+        best, vector, moments = (x.copy() for x in state.best) if state.best else (np.full(len(models), -1.0), state.vector.copy(), state.moments.copy())
+        for i in range(len(models)):
+            mark = _marks(counts[counts[:, 0] == i])[2]
+            if mark > best[i]:
+                best[i] = mark
+                for kept, now, ends in ((vector, state.vector, grid.ends), (moments, state.moments, grid.moment_ends)):
+                    kept[ends[i] : ends[i + 1]] = now[ends[i] : ends[i + 1]]
+        state.best = (best, vector, moments)
+
+    state = training.fit(grid, chunks, batches, settings, folder, keep_best)
+    _, vector, moments = state.best or (None, state.vector, state.moments)
+    counts = _counts(grid, rest, vector, moments, 3)
+    out = []
+    for e in usable:
+        target, split, only = EXPERIMENTS[e]
+        for tested in ("all", "clean"):
+            own = [counts[(counts[:, 0] == i) & ((counts[:, 1] == 1) | (tested == "all"))] for i, (x, _) in enumerate(models) if x == e]
+            marks = [_marks(c) for c in own]
+            if not marks[0][0]:
+                continue
+            values = np.array([m[1:] for m in marks])
+            tags = ("cnn", target, split, "clean" if only else "all", tested, marks[0][0], len(marks))
+            out.append((*tags, *map(float, values.mean(axis=0)), *map(float, values.std(axis=0))))
+    return spark.createDataFrame(out, COLUMNS)

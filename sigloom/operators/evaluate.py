@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from sigloom.config import FAULTS, FEATURES, Quality, Radar
 from sigloom.functions import faults, signals
 from sigloom.functions.storage import cut
-from sigloom.operators import anomaly, catalog, rules
+from sigloom.operators import anomaly, catalog, rules, training
 from sigloom.operators.order import quantile, running_sums
 
-METHODS = ("rules", "iforest", "pca", "recon", "rules_or_recon")
+LEARNED = ("iforest", "pca", "recon", "cae")
+METHODS = ("rules", *LEARNED, "rules_or_recon", "rules_or_cae")
 
 
 def recall_at(scores: DataFrame, score: str, positive: str, share: float = 0.01) -> DataFrame:
@@ -69,7 +70,7 @@ def _odd(score: Callable[[np.ndarray], np.ndarray], v: np.ndarray) -> np.ndarray
 class Detectors:
     """Rules and detectors fitted on clean training segments, thresholds set on clean validation segments."""
 
-    def __init__(self, segments: DataFrame, radar: Radar, config: Quality = Quality(), seed: int = 0, trees: int = 300):
+    def __init__(self, segments: DataFrame, radar: Radar, config: Quality = Quality(), seed: int = 0, trees: int = 300, cae_epochs: int = 15):
         self.radar, self.config = radar, config
         self.stats = cut(self.measure(segments), "stats")
         joined = self.stats.join(segments.select("segment_id", "edge_flag", "split_grouped"), "segment_id")
@@ -78,9 +79,11 @@ class Detectors:
         self.forest = anomaly.fit_forest(train.select("segment_id", *FEATURES), "segment_id", trees=trees, seed=seed)
         self.pca = anomaly.fit_components(train.select(*FEATURES))
         self.recon = anomaly.fit_components(train.select("rd_norm"), k=32, squeeze=False, scale=False)
+        settings = training.Settings(cae_epochs, 512, 128, 1e-3, 0.0, one_cycle=False, seed=seed)
+        self.cae = training.fit_autoencoder(train, "segment_id", "rd_norm", radar.n_range, radar.n_slow, settings)
         self.scores = cut(self.score(self.stats), "scores")
         validation = self.scores.join(joined.where("edge_flag = 0 and split_grouped = 2").select("segment_id"), "segment_id", "left_semi")
-        found = {m: quantile(validation, m, config.ml_percentile) for m in ("iforest", "pca", "recon")}
+        found = {m: quantile(validation, m, config.ml_percentile) for m in LEARNED}
         self.limits = {m: float("inf") if v is None else v for m, v in found.items()}  # no validation rows: no alarms
 
     def measure(self, segments: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -93,27 +96,28 @@ class Detectors:
         return measured.join(marked, "sha1", "left").withColumn("duplicate", F.coalesce("hit", F.lit(0.0))).drop("hit")
 
     def score(self, stats: DataFrame) -> DataFrame:
-        """(segment_id, rule_flags, rules, iforest, pca, recon), all detectors in one pass over ``stats``."""
-        shared = stats.sparkSession.sparkContext.broadcast((self.forest, self.pca, self.recon))
+        """(segment_id, rule_flags, rules, iforest, pca, recon, cae), all detectors in one pass over ``stats``."""
+        shared = stats.sparkSession.sparkContext.broadcast((self.forest, self.pca, self.recon, self.cae))
         k = len(FEATURES)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            forest, pca, recon = shared.value
-            for batch in signals.lots(batches):
+            forest, pca, recon, cae = shared.value
+            for batch in signals.lots(batches, 256):
                 v = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(3, 3 + k)], axis=1).reshape(batch.num_rows, k)
                 maps = batch.column(3 + k).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-                found = [pa.array(_odd(f, x)) for f, x in ((forest.score, v), (pca.error, v), (recon.error, maps))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *found], ["segment_id", "rule_flags", "rules", "iforest", "pca", "recon"])
+                found = [pa.array(_odd(f, x)) for f, x in ((forest.score, v), (pca.error, v), (recon.error, maps), (cae.error, maps))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *found], ["segment_id", "rule_flags", "rules", *LEARNED])
 
         ruled = rules.apply(stats, self.thresholds).select("segment_id", "rule_flags", F.col("rule_score").alias("rules"), *FEATURES, "rd_norm")
-        return ruled.mapInArrow(run, "segment_id long, rule_flags long, rules double, iforest double, pca double, recon double")
+        return ruled.mapInArrow(run, "segment_id long, rule_flags long, rules double, iforest double, pca double, recon double, cae double")
 
     def long(self, scores: DataFrame) -> DataFrame:
         """(segment_id, method, score, alarm): rules alarm at one, the others beyond their limit."""
-        both = F.greatest("rules", F.try_divide(F.col("recon"), F.lit(self.limits["recon"])))
         alarm = {m: F.col(m) > self.limits[m] for m in self.limits} | {"rules": F.col("rules") >= 1.0}
-        alarm["rules_or_recon"] = alarm["rules"] | alarm["recon"]
-        value = {m: F.col(m) for m in METHODS if m != "rules_or_recon"} | {"rules_or_recon": both}
+        value = {m: F.col(m) for m in ("rules", *LEARNED)}
+        for m in ("recon", "cae"):
+            alarm[f"rules_or_{m}"] = alarm["rules"] | alarm[m]
+            value[f"rules_or_{m}"] = F.greatest("rules", F.try_divide(F.col(m), F.lit(self.limits[m])))
         rows = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), value[m].alias("score"), alarm[m].alias("alarm")) for m in METHODS)))
         return scores.select("segment_id", rows.alias("r")).select("segment_id", "r.*")
 
@@ -140,14 +144,14 @@ def false_alarms(fitted: Detectors, segments: DataFrame) -> DataFrame:
 
 
 def fault_table(
-    segments: DataFrame, radar: Radar, n_per_fault: int = 500, seed: int = 0, config: Quality = Quality(), trees: int = 300, fitted: Detectors | None = None
+    segments: DataFrame, radar: Radar, n_per_fault: int = 500, seed: int = 0, config: Quality = Quality(), trees: int = 300, fitted: Detectors | None = None, cae_epochs: int = 15
 ) -> DataFrame:
     """(fault, kind, method, n, recall_deployed, recall_at_1pct_fa, roc_auc): every detector on real and injected faults.
 
     Negatives are the clean test segments; faults are injected into some of them, chosen
     by hash. All methods and faults are scored in long form and compared in one plan each.
     """
-    fitted = fitted or Detectors(segments, radar, config, seed, trees)
+    fitted = fitted or Detectors(segments, radar, config, seed, trees, cae_epochs)
     clean_test = segments.where("edge_flag = 0 and split_grouped = 3")
     negative = fitted.long(fitted.scores.join(clean_test.select("segment_id"), "segment_id", "left_semi"))
     edges = fitted.scores.join(segments.where("edge_flag = 1").select("segment_id"), "segment_id", "left_semi")

@@ -57,7 +57,7 @@ def process(spark: SparkSession, root: str, radar: Radar) -> DataFrame:
     return _write(measured.drop("rd_db"), root, "features")
 
 
-def assess(spark: SparkSession, root: str, radar: Radar, n_per_fault: int = 500, seed: int = 0, config: Quality = Quality(), trees: int = 300) -> DataFrame:
+def assess(spark: SparkSession, root: str, radar: Radar, n_per_fault: int = 500, seed: int = 0, config: Quality = Quality(), trees: int = 300, cae_epochs: int = 15) -> DataFrame:
     """Write ``rule_stats``, ``rule_thresholds``, ``quality``, ``anomaly``, ``false_alarms`` and ``fault_table``; returns the fault table."""
     base, features, iq = (read(spark, root, n) for n in ("segments_base", "features", "segments_iq"))
     marks = base.select("segment_id", F.col("duplicate").cast("double").alias("duplicate"))
@@ -69,8 +69,8 @@ def assess(spark: SparkSession, root: str, radar: Radar, n_per_fault: int = 500,
     found = rules.apply(stats, thresholds).select("segment_id", "rule_flags", "rule_score")
     flagged = rules.quality_flags(base.join(features.select("segment_id", "snr_db"), "segment_id"), config).select("segment_id", "low_snr", "time_gap")
     _write(found.join(flagged, "segment_id"), root, "quality")
-    fitted = evaluate.Detectors(segments, radar, config, seed, trees)
-    scores = fitted.scores.select("segment_id", F.col("recon").alias("anomaly_score"), F.col("iforest").alias("anomaly_score_iforest"))
+    fitted = evaluate.Detectors(segments, radar, config, seed, trees, cae_epochs)
+    scores = fitted.scores.select("segment_id", F.col("cae").alias("anomaly_score"), F.col("iforest").alias("anomaly_score_iforest"))
     _write(scores, root, "anomaly")
     _write(evaluate.false_alarms(fitted, segments), root, "false_alarms")
     return _write(evaluate.fault_table(segments, radar, n_per_fault, seed, config, trees, fitted), root, "fault_table")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sigloom.config import FAULTS, FEATURES, INTEGRITY_RULES, SMALL, STAT_RULES
 from sigloom.functions import faults, signals
 from sigloom.functions.storage import cut, fresh_path
-from sigloom.operators import anomaly, catalog, classify, evaluate, graph, order, rules, splits
+from sigloom.operators import anomaly, catalog, classify, evaluate, graph, order, rules, splits, training
 from sigloom.plans.oracles import digits
 from sigloom.plans.sqlrun import SQL_DIR, run_sql
 from sigloom.sources import adapters as A
@@ -390,6 +390,14 @@ def recon_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.score_rows(maps.select("segment_id", "rd_db"), "segment_id", "recon_error", model.error)
 
 
+@query
+def cae_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = signals.rd_table(A.vector_arrays(spark, sf_dir), SMALL)
+    maps = cut(raw.select("segment_id", signals.scaled_map(F.col("rd_db")).alias("rd_norm")), "maps")
+    model = training.fit_autoencoder(maps, "segment_id", "rd_norm", SMALL.n_range, SMALL.n_slow)
+    return anomaly.score_rows(maps, "segment_id", "cae_error", model.error)
+
+
 @query
 def fault_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = cut(A.vector_signals(spark, sf_dir), "signals")
@@ -398,10 +406,12 @@ def fault_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def classifier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, stats = _stats(spark, sf_dir, "features")
-    flagged = rules.apply(stats, _thresholds(segments, stats)).select("segment_id", "rule_flags", *FEATURES)
-    table = flagged.join(segments.select("segment_id", "label", "edge_flag", "paper_split", "split_grouped"), "segment_id")
-    return classify.experiments(cut(table.withColumn("class_group", catalog.class_group(F.col("label"))), "training"), FEATURES)
+    """Logistic regressions on features, and convolutional networks on maps, in the same experiments."""
+    segments, stats = _stats(spark, sf_dir, "features", "map")
+    flagged = rules.apply(stats, _thresholds(segments, stats)).select("segment_id", "rule_flags", signals.scaled_map(F.col("rd_db")).alias("rd_norm"), *FEATURES)
+    joined = flagged.join(segments.select("segment_id", "label", "edge_flag", "paper_split", "split_grouped"), "segment_id")
+    table = cut(joined.withColumn("class_group", catalog.class_group(F.col("label"))), "training")
+    return classify.experiments(table, FEATURES).unionByName(classify.network_experiments(table, SMALL.n_range))
 
 
 @query
