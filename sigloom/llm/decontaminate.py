@@ -21,9 +21,11 @@ a second time, in one pass again.
 Words are runs of characters other than ASCII white space, letters lower-cased. Items
 shorter than a shingle count as one shingle of all their words, looked for as such.
 Edge cases: null and empty texts and items contain nothing and are contained nowhere.
-Repeated item ids are separate items per text; repeated documents are each reported
-once per distinct id. Rows without an id are not reported, as the result is ids; an item
-without an id still removes the documents that contain it. Extra columns are ignored.
+Repeated item ids are separate items per text. Each document is judged by its own text,
+for which 128 hash bits stand while it is searched, so that equal texts are searched as
+one; equal rows are reported once, and texts that share an id each for itself. Rows
+without an id are not reported, as the result is ids; but they are removed if they contain an item, and an item
+without an id removes the documents that contain it. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,32 +110,51 @@ def _exploded(by_width: dict[int, Column], name: str) -> Column:
     return F.inline(F.concat(*tagged) if len(tagged) > 1 else tagged[0])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the 128 hash bits of each text, which stand for it: equal texts are one, whatever their ids."""
+    return docs.withColumns({"__t": F.xxhash64("text"), "__u": F.xxhash64(F.lit(1), "text")})
+
+
+_KEY = ["__t", "__u"]
+
+
 def _pairs(docs: DataFrame, items: DataFrame, threshold: float, width: int) -> DataFrame | None:
-    """(doc_id, item, n, n_shared) of every different item contained in a document; None if no item has a word."""
+    """(text key, item, n, n_shared) of every different item contained in a different text; None if no item has a word."""
     known = cut(sketches(items, threshold, width), "sketch")
     bounds = known.groupBy("width", "class").agg(F.max(F.array_max("sketch")).alias("bound")).orderBy("width", "class").collect()  # a row per size class
     if not bounds:
         return None
-    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    texts = _keyed(docs.select(F.col("text").cast("string").alias("text")).where("text is not null"))
     widths = sorted({r["width"] for r in bounds})
-    split = texts.select("doc_id", words(F.col("text")).alias("w"))
-    hashed = split.select("doc_id", _exploded({k: shingle_hashes(F.col("w"), k) for k in widths}, "h"))
+    split = texts.select(*_KEY, words(F.col("text")).alias("w"))
+    hashed = split.select(*_KEY, _exploded({k: shingle_hashes(F.col("w"), k) for k in widths}, "h"))
     within = [F.when((F.col("width") == r["width"]) & (F.col("h") <= r["bound"]), r["class"]) for r in bounds]
     hashed = hashed.where(" or ".join(f"(width = {w} and h <= {max(r['bound'] for r in bounds if r['width'] == w)})" for w in widths))
-    sketched = hashed.select("doc_id", "width", "h", F.explode(F.array_compact(F.array(*within))).alias("class"))
+    sketched = hashed.select(*_KEY, "width", "h", F.explode(F.array_compact(F.array(*within))).alias("class"))
 
     owners = known.select("class", "width", "item", "least", F.explode("sketch").alias("h"))
     index = cut(owners.select("class", "width", "h").distinct(), "index")
     hits = cut(sketched.join(_sized(index), ["class", "width", "h"]).distinct(), "hits")
-    met = hits.join(owners, ["class", "width", "h"]).groupBy("doc_id", "item", "least").agg(F.count("*").alias("hits"))
-    pairs = cut(met.where("hits >= least").select("doc_id", "item"), "pairs")
+    met = hits.join(owners, ["class", "width", "h"]).groupBy(*_KEY, "item", "least").agg(F.count("*").alias("hits"))
+    pairs = cut(met.where("hits >= least").select(*_KEY, "item"), "pairs")
 
-    full = cut(known.select("item", "width", "n", F.explode("shingles").alias("s")), "shingles")
-    again = texts.join(_sized(cut(pairs.select("doc_id").distinct(), "candidates")), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
-    exact = again.select("doc_id", _exploded({k: F.array_distinct(shingle_texts(F.col("w"), k)) for k in widths}, "s"))
-    shared = exact.join(_sized(full), ["width", "s"]).distinct().join(pairs, ["doc_id", "item"], "left_semi")
-    counted = shared.groupBy("doc_id", "item", "n").agg(F.count("*").alias("n_shared"))
-    return counted.where(F.col("n_shared") >= F.lit(threshold) * F.col("n") - 1e-9)
+    return verified(texts, pairs, known, widths).where(F.col("n_shared") >= F.lit(threshold) * F.col("n") - 1e-9)
+
+
+def verified(texts: DataFrame, pairs: DataFrame, known: DataFrame, widths: list[int]) -> DataFrame:
+    """(text key, item, n, n_shared) of the candidate ``pairs`` that share a shingle.
+
+    Shingles of candidate texts are kept where any item has them, then meet the shingles
+    of the text's own candidates: a row for each pair and shared shingle, however many
+    other items own the shingle.
+    """
+    full = known.select("item", "width", "n", F.explode("shingles").alias("s"))
+    again = texts.join(_sized(cut(pairs.select(*_KEY).distinct(), "candidates")), _KEY, "left_semi").select(*_KEY, words(F.col("text")).alias("w"))
+    exact = again.select(*_KEY, _exploded({k: F.array_distinct(shingle_texts(F.col("w"), k)) for k in widths}, "s"))
+    owned = exact.join(_sized(cut(full.select("width", "s").distinct(), "shingles")), ["width", "s"], "left_semi").distinct()
+    wanted = pairs.join(full, "item")
+    shared = owned.join(wanted, [*_KEY, "width", "s"])
+    return shared.groupBy(*_KEY, "item", "n").agg(F.count("*").alias("n_shared"))
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WORDS_PER_SHINGLE) -> DataFrame:
@@ -143,19 +164,26 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, w
         none = docs.select("doc_id", "text").limit(0)
         return none.selectExpr("doc_id", "cast(null as bigint) as item_id", "0L as n_shingles", "0L as n_shared", "0D as containment")
     ids = items.where("item_id is not null").select("item_id", F.xxhash64(words(F.col("text"))).alias("item")).distinct()
-    return found.join(ids, "item").select(
+    named = _sized(cut(found.join(ids, "item"), "contained"))
+    rows = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")).select("doc_id", *_KEY)
+    return rows.join(named, _KEY).select(
         "doc_id",
         "item_id",
         F.col("n").cast("long").alias("n_shingles"),
         "n_shared",
         F.round(F.col("n_shared") / F.col("n"), 6).alias("containment"),
-    )
+    ).distinct()
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no item; rows without an id or text stay."""
+    """The rows of ``docs`` that contain no item, each judged by its own text; rows without a text stay."""
     pairs = _pairs(docs, items, THRESHOLD, WORDS_PER_SHINGLE)
     if pairs is None:
         return docs
-    found = cut(pairs.select("doc_id").distinct(), "contaminated")
-    return docs.join(_sized(found), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = docs.columns
+    inner = [f"__own{i}" for i in range(len(own))]  # so that no name of a table can clash
+    text = F.col(inner[own.index("text")]).cast("string")
+    keyed = docs.toDF(*inner).withColumns({"__t": F.xxhash64(text), "__u": F.xxhash64(F.lit(1), text)})
+    found = cut(pairs.select(*_KEY).distinct(), "contaminated")
+    judged = keyed.join(_sized(found).withColumn("__hit", F.lit(True)), _KEY, "left")
+    return judged.where(F.col("__hit").isNull() | text.isNull()).select(*inner).toDF(*own)

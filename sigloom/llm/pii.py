@@ -9,7 +9,8 @@ leaving it out moves no other match.
 
 Edge cases: a null text counts as empty and has no spans. Overlapping spans of different
 kinds are all reported. Rows with null or repeated ids are kept one for one; extra
-columns are ignored. Very long texts are scanned whole.
+columns are ignored. Very long texts are scanned whole, in time linear in their length:
+contexts and redacted texts are cut from chunks of the text.
 """
 
 from __future__ import annotations
@@ -87,15 +88,10 @@ def confirmed(kind: str, value: Column) -> Column:
     return mod97(value) if kind == "iban" else F.lit(True)
 
 
-def _score(kind: str, text: Column, span: Column) -> Column:
+def _score(kind: str, pieces: Column, span: Column) -> Column:
+    """Score of a span by the words near it; ``pieces`` are the text's chunks."""
     first = F.greatest(span["start"] - NEAR, F.lit(0))
-    around = F.lower(
-        F.concat(
-            F.substring(text, first + 1, span["start"] - first),
-            F.lit(" "),
-            F.substring(text, span["end"] + 1, F.lit(NEAR)),
-        )
-    )
+    around = F.lower(F.concat(S.part(pieces, first, span["start"]), F.lit(" "), S.part(pieces, span["end"], span["end"] + NEAR)))
     helps = F.when(around.rlike(rf"(?<!\p{{L}})(?:{CONTEXT[kind]})(?!\p{{L}})"), HELPS).otherwise(0.0)
     hurts = F.when(around.rlike(rf"(?<!\p{{L}})(?:{DOUBT})(?!\p{{L}})"), HURTS).otherwise(0.0)
     return F.round(F.least(F.lit(START[kind]) + helps - hurts, F.lit(1.0)), 2)
@@ -103,18 +99,24 @@ def _score(kind: str, text: Column, span: Column) -> Column:
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``pii``: array<struct<kind, start, end, value, score>> by kind as listed, then start."""
+    return _found(docs, text_col).drop("__chunks")
+
+
+def _found(docs: DataFrame, text_col: str) -> DataFrame:
+    """``find`` with the text's chunks, null of a text without a match."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     temp = [f"__{part}_{kind}" for kind in KINDS for part in ("m", "g")]
     own = [F.col(f"`{c}`") for c in docs.columns]
     hinted = {k: F.when(text.rlike(HINTS[k]), text).otherwise("") for k in KINDS}
     one = docs.select(*own, *(S.matches(hinted[k], PATTERNS[k]).alias(f"__m_{k}") for k in KINDS))
-    two = one.select("*", *(F.when(F.size(f"__m_{k}") > 0, S.gaps(text, PATTERNS[k])).alias(f"__g_{k}") for k in KINDS))
+    some = F.greatest(*(F.size(f"__m_{k}") for k in KINDS)) > 0
+    two = one.select("*", F.when(some, S.chunks(text)).alias("__chunks"), *(F.when(F.size(f"__m_{k}") > 0, S.gaps(text, PATTERNS[k])).alias(f"__g_{k}") for k in KINDS))
 
     def of(kind: str) -> Column:
         placed = S.places(F.col(f"__m_{kind}"), F.col(f"__g_{kind}"))
         good = F.filter(placed, lambda s: confirmed(kind, s["value"]))
         scored = F.transform(
-            good, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _score(kind, text, s).alias("score"))
+            good, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _score(kind, F.col("__chunks"), s).alias("score"))
         )
         none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,score:double>>")
         return F.when(F.size(f"__m_{kind}") > 0, scored).otherwise(none)
@@ -148,23 +150,22 @@ def redact(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     own = docs.columns
     inner = [f"__own{i}" for i in range(len(own))]  # so that no name of a table can clash
     text = inner[own.index("text")]
-    found = find(docs.toDF(*inner), text)
+    found = _found(docs.toDF(*inner), text)
     chosen = F.array_sort(
         F.transform(F.filter("pii", lambda s: s["score"] >= least_score), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")))
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(fresh, F.concat(acc["out"], F.array(piece, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), out.alias("out"))
-
-    def close(acc: Column) -> Column:
-        return F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), "")
-
-    hit = F.size("pii") > 0
-    hidden = found.withColumn(text, F.when(hit, F.aggregate(chosen, start, step, close)).otherwise(F.col(text)))
+    found = found.withColumn("__chosen", chosen)
+    found = found.withColumn("__covered", S.running_max(F.transform("__chosen", lambda s: -s["back"])))
+    pieces = F.col("__chunks")
+
+    def fresh(s: Column, i: Column) -> Column:
+        at = F.element_at("__covered", i + 1)
+        return F.when(s["start"] >= at, F.concat(S.part(pieces, at, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
+
+    last = S.part(pieces, F.element_at("__covered", -1), F.size(pieces) * S.CHUNK)
+    redacted = F.concat(F.array_join(F.transform("__chosen", fresh), ""), last)
+    hit = F.size("__chosen") > 0
+    hidden = found.withColumn(text, F.when(hit, redacted).otherwise(F.col(text)))
     if "n_chars" in own:
         n = inner[own.index("n_chars")]
         hidden = hidden.withColumn(n, F.when(hit, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))

@@ -61,7 +61,7 @@ _ASSIGNED = re.compile(rf"""(?<![A-Za-z0-9_$.-])(["']?)({_NAME})\1[\x20\t]*(?::=
 _DEFINED = re.compile(rf"""^[\x20\t]*\#[\x20\t]*define[\x20\t]+({_NAME})[\x20\t]+(?=\S)""", re.M)
 _ELEMENT = re.compile(rf"""<(?:[A-Za-z0-9_]+:)?({_NAME})(?:\s[^<>]*)?>([^<>]+)</""")
 _BLOCK = re.compile(rf"""^([\x20\t]*)({_NAME}):[\x20\t]*[|>][+-]?[\x20\t]*\n((?:\1[\x20\t]+\S.*(?:\n|$))+)""", re.M)
-_SETTING = re.compile(rf"""^[\x20\t]*(?:export[\x20\t]+)?({_NAME})[\x20\t]*[=:][\x20\t]*([^\s"'`()\[\]{{}};,<>]*[^\sA-Za-z0-9+/_.=$"'`()\[\]{{}};,<>-][^\s"'`()\[\]{{}};,<>]*)[\x20\t]*\r?$""", re.M)
+_SETTING = re.compile(rf"""^[\x20\t]*(?:export[\x20\t]+)?({_NAME})[\x20\t]*[=:][\x20\t]*(?=[A-Za-z0-9+/_.=$-]*[^\sA-Za-z0-9+/_.=$"'`()\[\]{{}};,<>-])([^\s"'`()\[\]{{}};,<>]+)[\x20\t]*\r?$""", re.M)
 _TERM = re.compile(
     rf"""([A-Za-z]{{0,2}})(?:\"\"\"((?:[^"\\]|\\.|"(?!""))*)\"\"\"|'''((?:[^'\\]|\\.|'(?!''))*)'''|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\]|\\.)*)`)"""
     rf"""|({_NAME})(?![A-Za-z0-9+/=_-])|([A-Za-z0-9+/_.=$-]+)""", re.S,

@@ -58,6 +58,36 @@ def places(found: Column, between: Column) -> Column:
     return _bind(lots, lambda x: _bind(offsets(x), lambda by: moved(x, by)))
 
 
+#: Code points of a chunk.
+CHUNK = 128
+
+
+def chunks(text: Column) -> Column:
+    """``text`` in pieces of ``CHUNK`` code points, so that many parts of it can be read without a walk from its start for each."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def part(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` to ``end``, exclusive, of a text in ``chunks``; empty where there are none."""
+    first = F.floor(start / CHUNK).cast("int")
+    last = F.floor(F.greatest(end - 1, start) / CHUNK).cast("int")
+    one = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+    joined = F.when(last <= first + 1, F.concat(one(first), F.when(last > first, one(last)).otherwise(""))).otherwise(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""))
+    return F.when(end > start, F.substring(joined, start - first * CHUNK + 1, end - start)).otherwise("")
+
+
+def running_max(values: Column) -> Column:
+    """For each of an array's numbers from 0 the largest one before it, 0 at first, and one more entry for the end; in lots as ``places``."""
+    start = lambda at: F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, v: F.struct(F.greatest(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    numbers = F.sequence(F.lit(0), (F.size(values) / LOT).cast("int"))
+    some = lambda k: F.slice(values, k * LOT + 1, F.lit(LOT))
+    zero = F.lit(0)
+    tops = F.transform(numbers, lambda k: F.coalesce(F.array_max(some(k)), zero))
+    inside = lambda before: F.transform(numbers, lambda k: F.aggregate(F.concat(some(k), F.when(F.size(some(k)) < LOT, F.array(zero)).otherwise(F.array().cast("array<int>"))), start(F.element_at(before, k + 1)), step, lambda acc: acc["out"]))
+    return _bind(F.aggregate(tops, start(zero), step, lambda acc: acc["out"]), lambda before: F.flatten(inside(before)))
+
+
 def digest_text(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined in the order given."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

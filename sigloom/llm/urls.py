@@ -33,9 +33,10 @@ RULES = (
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _ABSOLUTE = r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+_IS_CANONICAL = r"""(?is)\brel\s*=\s*["']?canonical\b"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b[^>]*http-equiv\s*=\s*["']?refresh\b[^>]*?url\s*=\s*["']?([^"'\s>]+)"""
+_IS_REFRESH = r"""(?is)http-equiv\s*=\s*["']?refresh\b"""
+_URL = r"""(?is)url\s*=\s*["']?([^"'\s>]+)"""
 
 
 def _lower(text: Column) -> Column:
@@ -87,10 +88,20 @@ def _dotted(path_: Column) -> Column:
 
 
 def link_targets(html: Column) -> Column:
-    """Array of the targets that a page's canonical links and its refreshes name, as written."""
-    canonical = F.transform(F.regexp_extract_all(html, F.lit(_CANONICAL), F.lit(0)), lambda tag: F.regexp_extract(tag, _HREF, 1))
-    written = F.concat(canonical, F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
-    return F.transform(F.filter(written, lambda t: t != ""), lambda t: F.replace(t, F.lit("&amp;"), F.lit("&")))
+    """Array of the targets that a page's canonical links and its refreshes name, as written.
+
+    The page is cut at ``>`` and each piece at its first ``<link`` or ``<meta``, so that
+    no pattern runs beyond a tag; a link has to be closed. Of several refreshes in one tag the last
+    one with a url counts.
+    """
+    pieces = F.split(html, ">")
+    closed = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    links = F.transform(F.filter(closed, lambda p: p.rlike(r"(?i)<link\b")), lambda p: F.regexp_extract(p, r"(?is)<link\b.*+", 0))
+    canonical = F.transform(F.filter(links, lambda tag: tag.rlike(_IS_CANONICAL)), lambda tag: F.regexp_extract(tag, _HREF, 1))
+    metas = F.transform(F.filter(pieces, lambda p: p.rlike(r"(?i)<meta\b")), lambda p: F.regexp_extract(p, r"(?is)<meta\b.*+", 0))
+    after = lambda tag: F.slice(F.split(tag, _IS_REFRESH, -1), F.lit(2), F.size(F.split(tag, _IS_REFRESH, -1)))
+    refresh = F.transform(F.filter(metas, lambda tag: tag.rlike(_IS_REFRESH)), lambda tag: F.coalesce(F.try_element_at(F.filter(F.transform(after(tag), lambda x: F.regexp_extract(x, _URL, 1)), lambda x: x != ""), F.lit(-1)), F.lit("")))
+    return F.transform(F.filter(F.concat(canonical, refresh), lambda t: t != ""), lambda t: F.replace(t, F.lit("&amp;"), F.lit("&")))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
