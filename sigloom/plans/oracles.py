@@ -388,3 +388,29 @@ ORACLE["grouped_split"] = f"""with recursive {CATALOG},
     placed as (select group_id, case when n = 1 or (n = 2 and rank = 1) then 1 when rank = n then 3 when rank = n - 1 then 2 else split end as split_grouped
         from ranked left join pick using (label, rank))
     select measurement_id, group_id, cast(split_grouped as int) as split_grouped from grouped join placed using (group_id)"""
+
+#: Columns of ``documents`` that the tree of digests covers, with their types.
+_MERKLE_TYPES = {"text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+MERKLE_COLUMNS = tuple(_MERKLE_TYPES)
+
+
+def _merkle(fan: int = 256, most: int = 4) -> str:
+    """A level per common table expression; the root stands over the first level that has no node but -1, 0 and null."""
+    each = lambda f: ", ".join(f"{f(c)} as {c}" for c in _MERKLE_TYPES)
+    row = lambda c: f"sha256(coalesce(cast(doc_id as varchar), '') || ':' || coalesce('=' || cast({c} as varchar), '-'))"
+    part = lambda c, k: f"cast(sum(cast('0x' || substr({c}, {1 + 12 * k}, 12) as ubigint)) as varchar)"
+    added = lambda c: f"sha256(cast(count(*) as varchar) || {' || '.join(f'chr(58) || {part(c, k)}' for k in range(4))})"
+    listed = lambda c: f"sha256(string_agg(coalesce(cast(node as varchar), '-9223372036854775808') || ':' || {c}, ',' order by node nulls first))"
+    up = f"cast(floor(node / {fan}.0::double) as bigint)"
+    ctes = [f"rows_ as (select doc_id as node, {each(row)} from documents)", f"b0 as (select node, cast(count(*) as bigint) as n, {each(added)} from rows_ group by node)"]
+    ctes += [f"b{k + 1} as materialized (select {up} as node, cast(sum(n) as bigint) as n, {each(listed)} from b{k} group by 1)" for k in range(most)]
+    levels = " union all ".join(f"select {k} as level, * from b{k + 1}" for k in range(most))
+    ctes += [f"all_ as materialized ({levels})", "top_ as (select min(level) as top from (select level from all_ group by level having count(*) filter (node not in (-1, 0)) = 0))"]
+    whole = f"whole as (select sum(n) as n, {each(listed)} from all_ where level = (select top from top_))"
+    seal = ", ".join(f"sha256('{t}:' || cast(coalesce(n, 0) as varchar) || ':' || coalesce({c}, '')) as {c}" for c, t in _MERKLE_TYPES.items())
+    return f"""with {', '.join(ctes)}, {whole}
+        select cast(level as int) as level, cast(node as varchar) as node, n, {', '.join(_MERKLE_TYPES)} from all_ where level <= (select top from top_)
+        union all select cast((select top from top_) + 1 as int), null, cast(coalesce(n, 0) as bigint), {seal} from whole"""
+
+
+ORACLE["merkle_tree"] = _merkle()

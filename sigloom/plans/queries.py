@@ -10,10 +10,10 @@ from sigloom.config import FAULTS, FEATURES, INTEGRITY_RULES, SMALL, STAT_RULES
 from sigloom.functions import faults, signals
 from sigloom.functions.storage import cut, fresh_path
 from sigloom.operators import anomaly, catalog, classify, evaluate, graph, order, rules, splits, training
-from sigloom.plans.oracles import digits
+from sigloom.plans.oracles import MERKLE_COLUMNS, digits
 from sigloom.plans.sqlrun import SQL_DIR, run_sql
 from sigloom.sources import adapters as A
-from sigloom.sources import export
+from sigloom.sources import export, merkle
 
 QUERIES = {}
 
@@ -286,10 +286,14 @@ def signed_log_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = A.event_segments(spark, sf_dir).withColumn("big", F.col("value") > 10)
-    w = Window.partitionBy("measurement_id", "big").orderBy("idx_in_measurement")
-    runs = events.withColumn("g", F.col("idx_in_measurement") - F.row_number().over(w)).groupBy("measurement_id", "big", "g").agg(F.count("*").alias("n"))
-    return runs.groupBy("measurement_id").agg(F.coalesce(F.max(F.when(F.col("big"), F.col("n"))), F.lit(0)).alias("longest_run"))
+    """The longest run of consecutive events of a user whose value is large.
+
+    Events with the same number of small ones before them are one run, so no window goes over a user.
+    """
+    events = A.event_segments(spark, sf_dir).select("measurement_id", "idx_in_measurement", F.coalesce(F.col("value") > 10, F.lit(False)).alias("big"))
+    placed = order.running_sums(events.withColumn("small", (~F.col("big")).cast("bigint")), ["measurement_id", "idx_in_measurement"], ["small"])
+    runs = placed.groupBy("measurement_id", "before_small").agg(F.count(F.when(F.col("big"), 1)).alias("n"))
+    return runs.groupBy("measurement_id").agg(F.max("n").alias("longest_run"))
 
 
 @query
@@ -423,3 +427,10 @@ def export_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = export.read(spark, path, split_kind="grouped", split=None, task="group", verify=True)
     sums = read.groupBy("y").agg(F.count("*").alias("n"), F.min("segment_id").alias("first"), F.max("segment_id").alias("last"))
     return sums.withColumn("verified", F.lit(made["n_segments"] == read.count()))
+
+
+@query
+def merkle_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents' columns by ranges of ids, of the ranges by ranges, and of the whole."""
+    made = merkle.tree(A.table(spark, sf_dir, "documents"), "doc_id", MERKLE_COLUMNS)
+    return made.withColumn("node", F.col("node").cast("string"))

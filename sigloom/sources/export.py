@@ -1,4 +1,4 @@
-"""Versioned training datasets: Parquet by split, with a manifest of counts and a digest."""
+"""Versioned training datasets: Parquet by split, with a manifest of counts and digests, and a tree of digests by id."""
 
 from __future__ import annotations
 
@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from sigloom import __version__
 from sigloom.config import CLASS_GROUPS, DRONES
 from sigloom.operators.catalog import class_group, encode_labels, filter_dataset
+from sigloom.sources import merkle
 
 COLUMNS = ("segment_id", "measurement_id", "rd_db", "y_group", "y_label", "y_drone", "paper_split", "split_grouped")
 
+NAMED = 8  # damaged ranges that an error names
+
 
 def load_specs(spark: SparkSession, path: str) -> list[dict]:
     """Dataset specifications from a YAML or JSON file with a list ``datasets``."""
@@ -44,6 +47,8 @@ def export(segments: DataFrame, spec: dict, path: str, source: str = "", seed: i
     rows.select(*COLUMNS, "label").write.mode("overwrite").partitionBy("split_grouped").parquet(f"{path}/data")
     written = _rows(spark, path)
     n, total = digest(written)
+    merkle.tree(written, "segment_id", COLUMNS).write.mode("overwrite").parquet(f"{path}/tree")
+    of_array = merkle.roots(spark.read.parquet(f"{path}/tree"), COLUMNS)[1]
     grouped = written.withColumn("class_group", class_group(F.col("label"))).groupBy("paper_split", "split_grouped", "class_group").count().collect()  # splits by classes
     count = lambda c: {str(s): {g: sum(r["count"] for r in grouped if (r[c], r["class_group"]) == (s, g)) for g in CLASS_GROUPS} for s in (1, 2, 3)}
     labels = [r[0] for r in written.select("label").distinct().orderBy("label").collect()]
@@ -60,6 +65,7 @@ def export(segments: DataFrame, spec: dict, path: str, source: str = "", seed: i
         "counts_paper_split": count("paper_split"),
         "counts_grouped_split": count("split_grouped"),
         "digest": total,
+        "array_digests": of_array,
     }
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return manifest
@@ -73,16 +79,24 @@ def manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/manifest").first()[0])
 
 
+def damaged(spark: SparkSession, path: str) -> DataFrame:
+    """(column, first_id, last_id): ranges of ids whose arrays are not those that were written."""
+    return merkle.damage(spark.read.parquet(f"{path}/tree"), merkle.tree(_rows(spark, path), "segment_id", COLUMNS), COLUMNS)
+
+
 def read(spark: SparkSession, path: str, split_kind: str = "grouped", split: int | None = 1, task: str = "group", verify: bool = False) -> DataFrame:
     """(segment_id, x, y): normalised maps and targets of a split; rows without a target are left out.
 
-    ``verify`` holds the rows against the manifest and raises ValueError if they differ.
+    ``verify`` holds the rows against the manifest and raises ValueError if they differ;
+    the error names the first damaged arrays and ranges of ids.
     """
     rows = _rows(spark, path)
     if verify:
         said = manifest(spark, path)
         if (said["n_segments"], said["digest"]) != digest(rows):
-            raise ValueError(f"{path} does not match its manifest")
+            wrong = damaged(spark, path).orderBy("first_id", "column").limit(NAMED).collect()
+            places = ", ".join(f"{r['column']} at {r['first_id']} to {r['last_id']}" for r in wrong)
+            raise ValueError(f"{path} does not match its manifest: {places or 'the manifest or its tree was changed'}")
     if split is not None:
         rows = rows.where(F.col({"paper": "paper_split", "grouped": "split_grouped"}[split_kind]) == split)
     x = F.transform("rd_db", lambda v: F.least(F.greatest(v, F.lit(-5.0)), F.lit(60.0)) / 30)
