@@ -123,6 +123,40 @@ def test_duplicate_pairs_against_join(spark):
     assert got == want
 
 
+def test_duplicate_pairs_of_a_hot_hash(spark, monkeypatch):
+    """A third of all rows have one hash and one measurement: they become few runs, in ranges of like size, and the pairs stay exact."""
+    n = 6000
+    df = spark.range(n).select(
+        F.col("id").alias("segment_id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.floor(F.col("id") / 500) % 5).cast("long").alias("measurement_id"),
+        F.when(F.col("id") > 5990, None).otherwise(1 + F.col("id") % 2).cast("int").alias("paper_split"),
+        F.when(F.col("id") < n / 2, F.lit("hot")).when(F.col("id") % 10 == 9, None).otherwise(F.concat(F.lit("h"), F.floor(F.col("id") / 4))).alias("sha1"),
+    )
+    tables = {}
+    monkeypatch.setattr(catalog, "cut", lambda d, name: tables.setdefault(name, order.cut(d, name)))
+    got = {tuple(r) for r in catalog.duplicate_pairs(df).collect()}
+    a, b = df.alias("a"), df.alias("b")
+    across = F.sum((~F.coalesce(F.col("a.paper_split") == F.col("b.paper_split"), F.lit(False))).cast("bigint"))
+    pairs = a.join(b, (F.col("a.sha1") == F.col("b.sha1")) & (F.col("a.segment_id") < F.col("b.segment_id"))).groupBy("a.measurement_id", "b.measurement_id")
+    assert got == {tuple(r) for r in pairs.agg(F.count("*"), across).collect()}
+    parts = [r["count"] for r in tables["ranges"].groupBy("range").count().collect()]
+    assert max(parts) < 3 * np.median(parts)
+
+
+@pytest.mark.parametrize("most", [10**6, 10])
+def test_sequence_by_window_and_by_range(spark, most):
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 50 == 49 else int(rng.choice([0, 0, 0, 1, 2, 3])), float(rng.integers(0, 90)) if i % 40 else None, i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "segment_id long, measurement_id long, time_s double, more int")
+    found = {r["segment_id"]: r for r in catalog.sequence_segments(df.repartition(3), most).collect()}
+    for m in {r[1] for r in rows}:
+        last = None
+        for k, (i, _, t, more) in enumerate(sorted((r for r in rows if r[1] == m), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))):
+            gap = None if k == 0 or t is None or last is None else t - last
+            assert (found[i]["idx_in_measurement"], found[i]["gap_before_s"], found[i]["more"]) == (k, gap, more)
+            last = t
+    assert len(found) == 400 and catalog.sequence_segments(df.limit(0), most).count() == 0
+
+
 def test_filter_columns(spark):
     df = spark.createDataFrame([(0, 1)], "edge_flag int, other int")
     assert catalog.filter_dataset(df, None).count() == 1
@@ -244,7 +278,8 @@ def test_export(spark, staged, tmp_path):
     got = export.read(spark, f"{tmp_path}/a", split=None, task="drone", verify=True)
     assert got.count() == 240 and {r["y"] for r in got.select("y").distinct().collect()} == {0, 1}
     spark.read.parquet(f"{tmp_path}/a/data").limit(1).drop("split_grouped").write.mode("append").parquet(f"{tmp_path}/a/data/split_grouped=1")
-    with pytest.raises(ValueError):
+    assert one["array_digests"] == two["array_digests"] and set(one["array_digests"]) == set(export.COLUMNS)
+    with pytest.raises(ValueError, match=r"measurement_id at (0 to 255|256 to 511|512 to 767), paper_split"):
         export.read(spark, f"{tmp_path}/a", verify=True)
 
 
