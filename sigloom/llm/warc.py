@@ -8,11 +8,14 @@ of a size class are written together. A revisit carries the HTTP head with the l
 payload, and the digest, but not the payload.
 
 Reading: archives (plain, or gzip with one or many members) are parsed by
-Content-Length, a file at a time, in Arrow batches. The payload digest is verified.
+Content-Length, a file at a time, in Arrow batches. They are inflated as they are read, a
+record is held at a time, and its payload digest is verified. Spark hands an archive over
+as it is stored, so one of more than 2 GB has to be split first.
 
 Assembly: records are joined through their concurrent-to identifiers, of which a record
 may have several and which either side may name: connected components over these links
-give one nested row per capture. Records that no link joins are rows of their own.
+give one nested row per capture, with all its requests. Records that no link joins are rows of
+their own. A revisit is joined with the response whose record id its WARC-Refers-To names.
 
 Edge cases: a null html is an empty payload; a null url has no target URI. Records with
 equal payloads of at least ``LEAST_REVISIT`` bytes refer to the one with the largest id;
@@ -40,11 +43,15 @@ LEAST_REVISIT = 1000
 SIZES = ((0, 4000), (1 << 16, 256), (1 << 20, 8))
 #: Repeated payloads (about 200 bytes each in memory) that are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes of urls in them that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 #: Date written into records whose page has none.
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 #: Parts that the rows of one payload are dealt to where they are joined with their first record.
 SALTS = 16
+#: Bytes of an archive that are inflated at a time.
+CHUNK = 1 << 16
 
 
 def _urn(*parts: Column) -> Column:
@@ -84,6 +91,18 @@ def _numbered(known: DataFrame) -> DataFrame:
     return known.join(again, same, "left_anti").withColumn("nr", F.lit(1)).unionByName(told)
 
 
+def _beside(rows: DataFrame, few: DataFrame, key: str, spread: list[str], text: Column) -> DataFrame:
+    """``rows`` left-joined with ``few`` by ``key``: by broadcast if the counted rows of ``few`` and bytes of ``text`` allow it.
+
+    Otherwise each row of ``few`` is copied to ``SALTS`` parts, to which ``rows`` go by the hash of ``spread``, so that no key is one task.
+    """
+    size = few.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(few), key, "left")
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"], "left").drop("salt")
+
+
 def with_revisits(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, bytes, digest, nr, refers_to, refers_url): the last two are set for revisits.
 
@@ -97,12 +116,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     large = known.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest")
     copies = large.agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1 and first.page_id is not null").select("digest", "first")
     copies = cut(copies, "warc-copies")
-    if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = known.join(F.broadcast(copies), "digest", "left")
-    else:
-        salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-        joined = known.withColumn("salt", salt).join(salted, ["digest", "salt"], "left")
+    joined = _beside(known, copies, "digest", ["page_id", "url"], F.col("first.url"))
     again = F.col("first").isNotNull() & ~F.col("first.page_id").eqNullSafe(F.col("page_id"))
     of = lambda c: F.when(again, F.col(f"first.{c}")).alias(f"refers_{'to' if c == 'page_id' else c}")
     return joined.select("page_id", "url", "html", "bytes", "digest", "nr", of("page_id"), of("url"))
@@ -130,7 +144,7 @@ def _records(known: DataFrame) -> DataFrame:
     first = F.when(again, _header("WARC-Refers-To", rid("response", F.col("refers_to").cast("string"), F.col("refers_url"), F.lit(1))))
     profile = F.when(again, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
     http = lambda kind: F.lit(f"Content-Type: application/http; msgtype={kind}")
-    fields = F.concat(F.lit("page-id: "), name, F.lit("\r\nrefers-to-page: "), F.coalesce(F.col("refers_to").cast("string"), F.lit("-")), F.lit("\r\n"))
+    fields = F.concat(F.lit("page-id: "), name, F.lit("\r\n"))
     kind = F.when(again, F.lit("revisit")).otherwise(F.lit("response"))
     return known.select(
         F.concat_ws(
@@ -154,15 +168,20 @@ def write(pages: DataFrame, path: str, compression: str = "gzip") -> None:
         _records(known.where(size == k) if len(kinds) > 1 else known).write.options(**options).text(f"{path}/size-{k}")
 
 
-def _unzipped(content: bytes) -> bytes:
-    if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(content))
-        content = member.unused_data.lstrip(b"\0")
-    return b"".join(out)
+def _pieces(content: bytes) -> Iterator[bytes]:
+    """An archive's bytes in pieces, inflated member by member: ``CHUNK`` bytes of it are inflated at a time."""
+    view = memoryview(content)
+    if bytes(view[:2]) != b"\x1f\x8b":
+        yield from (bytes(view[at : at + CHUNK]) for at in range(0, len(view), CHUNK))
+        return
+    member = zlib.decompressobj(31)
+    for at in range(0, len(view), CHUNK):
+        rest = bytes(view[at : at + CHUNK])
+        while rest := rest.lstrip(b"\0") if member.eof else rest:
+            if member.eof:
+                member = zlib.decompressobj(31)
+            yield member.decompress(rest)
+            rest = member.unused_data
 
 
 class Headers(dict[str, str]):
@@ -172,17 +191,32 @@ class Headers(dict[str, str]):
 
 
 def parse(content: bytes) -> Iterator[tuple[Headers, bytes]]:
-    """Headers (names in lower case) and block of every record of one archive."""
-    data = _unzipped(content)
-    view, at = memoryview(data), 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]
+    """Headers (names in lower case) and block of every record of one archive, of which one record is held at a time."""
+    pieces, held = _pieces(content), bytearray()
+
+    def find(what: bytes) -> int:
+        """Where ``what`` begins in what is held, after reading on as far as need be; -1 if it doesn't come."""
+        seen = 0
+        while (at := held.find(what, seen)) < 0:
+            seen = max(0, len(held) - len(what) + 1)
+            if (piece := next(pieces, None)) is None:
+                return -1
+            held.extend(piece)
+        return at
+
+    while (at := find(b"WARC/1.")) >= 0:
+        del held[:at]
+        if (stop := find(END.encode())) < 0:
+            raise ValueError("an archive ends within the headers of a record")
+        lines = held[:stop].decode("utf-8", "replace").split("\r\n")[1:]
         headers = Headers((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines))
         headers.linked = [v.strip() for k, _, v in (x.partition(":") for x in lines) if k.strip().lower() == "warc-concurrent-to"]
         end = stop + 4 + int(headers.get("content-length", 0))
-        yield headers, bytes(view[stop + 4 : end])
-        at = end
+        while len(held) < end and (piece := next(pieces, None)) is not None:
+            held.extend(piece)
+        block = bytes(held[stop + 4 : end])
+        del held[:end]
+        yield headers, block
 
 
 RECORD = "type string, record_id string, concurrent_to array<string>, refers_to string, uri string, payload_bytes long, payload_digest string, fields string, payload binary"
@@ -195,9 +229,9 @@ def _parse_files(with_payload: bool):
             + [("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("fields", pa.string()), ("payload", pa.binary())]
         )
         for batch in batches:
-            for content in batch.column(0):
+            for content in batch.column(0).drop_null():
                 rows, size = [], 0
-                for h, block in parse(content.as_py()):
+                for h, block in parse(content.as_buffer()):
                     kind = h.get("warc-type")
                     row = [kind, h.get("warc-record-id"), h.linked, h.get("warc-refers-to"), h.get("warc-target-uri"), None, None, None, None]
                     if kind in ("response", "revisit"):
@@ -231,11 +265,12 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
 
 def assemble(found: DataFrame) -> DataFrame:
-    """One nested row per capture: (capture_id, response, request, metadata); absent records are null or empty.
+    """One nested row per capture: (capture_id, response, request, requests, metadata); absent records are null or empty.
 
     Records are linked through concurrent-to identifiers, whichever side names the other
     and through however many records. ``capture_id`` is the response's id, or else the
-    least id of the group. A group of several responses has a row for each. Records
+    least id of the group. A group of several responses has a row for each. ``requests`` are all
+    requests of the group by id, and ``request`` the first of them. Records
     without an id are rows of their own; those of other types (such as warcinfo) belong to no
     capture. ``found`` is read for its links and for its records.
     """
@@ -248,16 +283,28 @@ def assemble(found: DataFrame) -> DataFrame:
     keyed = records_.where("record_id is not null").join(members.withColumnRenamed("node", "record_id"), "record_id", "left")
     groups = keyed.withColumn("root", F.coalesce("root", "record_id")).groupBy("root").agg(
         F.collect_list(F.when(answer, nested)).alias("responses"),
-        F.min(request).alias("request"),
+        F.array_sort(F.collect_list(request)).alias("requests"),
         F.collect_list(metadata).alias("metadata"),
         F.min("record_id").alias("least"),
     )
     alone = records_.where("record_id is null").select(
-        F.array_compact(F.array(F.when(answer, nested))).alias("responses"), request.alias("request"), F.array_compact(F.array(metadata)).alias("metadata"), F.col("record_id").alias("least")
+        F.array_compact(F.array(F.when(answer, nested))).alias("responses"), F.array_compact(F.array(request)).alias("requests"), F.array_compact(F.array(metadata)).alias("metadata"), F.col("record_id").alias("least")
     )
     groups = groups.drop("root").unionByName(alone)
-    rows = groups.select(F.explode_outer("responses").alias("response"), "request", "metadata", "least")
-    return rows.select(F.coalesce("response.record_id", "least").alias("capture_id"), "response", "request", "metadata")
+    rows = groups.select(F.explode_outer("responses").alias("response"), "requests", "metadata", "least")
+    return rows.select(F.coalesce("response.record_id", "least").alias("capture_id"), "response", F.get("requests", 0).alias("request"), "requests", "metadata")
+
+
+def resolve(found: DataFrame) -> DataFrame:
+    """``found``, rows of (record_id, type, refers_to, page_id), with ``refers_page``: the page of the response that a revisit names by its record id.
+
+    Null where no response of that id was read. A response that very many revisits name is joined by broadcast or in parts.
+    """
+    named = found.where("type = 'revisit' and refers_to is not null").select("refers_to").distinct()
+    responses = found.where("type = 'response' and record_id is not null").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("page_id").alias("refers_page"))
+    targets = cut(responses.join(named, "refers_to", "left_semi"), "warc-targets")
+    joined = _beside(found, targets, "refers_to", ["record_id"], F.col("refers_to"))
+    return joined.withColumn("refers_page", F.when(F.col("type") == "revisit", F.col("refers_page")))
 
 
 def captures(pages: DataFrame) -> DataFrame:
@@ -266,11 +313,7 @@ def captures(pages: DataFrame) -> DataFrame:
     path = fresh_path(spark, "warc")
     write(pages, path)
     whole = assemble(cut(read(spark, path, with_payload=False), "warc-records"))
-    field = lambda name: F.nullif(F.regexp_extract(F.array_join("metadata.fields", ""), rf"(?:^|\n){name}: (-?[0-9]+)\r", 1), F.lit("")).cast("long")
-    return whole.select(
-        field("page-id").alias("page_id"),
-        F.col("response.payload_bytes").alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.type").alias("record_type"),
-        field("refers-to-page").alias("refers_to"),
-    )
+    page = F.nullif(F.regexp_extract(F.array_join("metadata.fields", ""), r"(?:^|\n)page-id: (-?[0-9]+)\r", 1), F.lit("")).cast("long")
+    answers = whole.select(page.alias("page_id"), *(f"response.{c}" for c in ("record_id", "type", "refers_to", "payload_bytes", "payload_digest")))
+    found = resolve(cut(answers, "warc-answers"))
+    return found.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_page").alias("refers_to"))
