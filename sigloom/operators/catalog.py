@@ -98,7 +98,7 @@ def duplicate_pairs(segments: DataFrame) -> DataFrame:
     splits = [r[0] for r in segments.select("paper_split").distinct().collect() if r[0] is not None]  # train, validation and test
     sizes = ["n", *(f"n_{k}" for k in splits)]
     added = [F.count("*").alias("n"), *(F.count(F.when(F.col("paper_split") == k, 1)).alias(f"n_{k}") for k in splits)]
-    shared = segments.groupBy("sha1").agg(F.count("*").alias("n")).where("n > 1").select("sha1")
+    shared = cut(segments.groupBy("sha1").agg(F.count("*").alias("n")).where("n > 1").select("sha1"), "shared")  # a table of its own lets joins split a hot hash
     rows = segments.join(shared, "sha1", "left_semi").select("sha1", "segment_id", "measurement_id", "paper_split")
 
     parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -114,7 +114,7 @@ def duplicate_pairs(segments: DataFrame) -> DataFrame:
     alike = sum((two(f"n_{k}") for k in splits), F.lit(0))
     within = owners.select(F.col("measurement_id").alias("meas_a"), F.col("measurement_id").alias("meas_b"), two("n").cast("bigint").alias("all"), alike.cast("bigint").alias("same"))
 
-    several = owners.groupBy("sha1").agg(F.count("*").alias("m")).where("m > 1").select("sha1")
+    several = cut(owners.groupBy("sha1").agg(F.count("*").alias("m")).where("m > 1").select("sha1"), "several")
     beside = runs.join(several, "sha1", "left_semi").join(owners.select("sha1", F.col("measurement_id").alias("meas_a")), "sha1")
     own = beside.select("*", *(F.when(F.col("measurement_id") == F.col("meas_a"), F.col(c)).otherwise(0).alias(f"own_{c}") for c in sizes))
     counted = cut(running_sums(own, ["sha1", "meas_a", "range", "run"], [f"own_{c}" for c in sizes]), "counted")
