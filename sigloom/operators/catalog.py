@@ -118,7 +118,7 @@ def duplicate_pairs(segments: DataFrame) -> DataFrame:
     beside = runs.join(several, "sha1", "left_semi").join(owners.select("sha1", F.col("measurement_id").alias("meas_a")), "sha1")
     own = beside.select("*", *(F.when(F.col("measurement_id") == F.col("meas_a"), F.col(c)).otherwise(0).alias(f"own_{c}") for c in sizes))
     counted = cut(running_sums(own, ["sha1", "meas_a", "range", "run"], [f"own_{c}" for c in sizes]), "counted")
-    base = counted.groupBy("sha1", "meas_a").agg(*(F.min(f"before_own_{c}").alias(f"base_{c}") for c in sizes))
+    base = cut(counted.groupBy("sha1", "meas_a").agg(*(F.min(f"before_own_{c}").alias(f"base_{c}") for c in sizes)), "base")
     before = {c: F.col(f"before_own_{c}") - F.col(f"base_{c}") for c in sizes}
     same = sum((before[f"n_{k}"] * F.col(f"n_{k}") for k in splits), F.lit(0))
     other = counted.where(F.col("measurement_id") != F.col("meas_a")).join(base, ["sha1", "meas_a"])
