@@ -146,56 +146,97 @@ class Forest:
         return 2.0 ** (-total / len(self.column) / norm)
 
 
+#: Trees that one task grows together.
+TREES_A_TASK = 50
+
+
 def fit_forest(rows: DataFrame, key: str, trees: int = 300, sample: int = 256, seed: int = 0) -> Forest:
-    """An isolation forest, each tree of which is fitted in a task on ``sample`` rows drawn from all rows by the hash of ``key``.
+    """An isolation forest, each tree of which is fitted on ``sample`` rows drawn from all rows by the hash of ``key``.
 
     A tree's rows are those of least hash. Only rows under a bound are proposed, which
-    leaves a tree short of rows once in ten million; of few rows all are proposed.
+    leaves a tree short of rows once in ten million; of few rows all are proposed. A row
+    draws once how many trees it is proposed to, and only rows of at least one tree draw
+    which, so the cost of a row does not depend on the number of trees.
     """
     columns = [c for c in rows.columns if c != key]
     n = rows.count()
     bound = min(1.0, (sample + 6 * np.sqrt(sample)) / max(n, 1))
+    chances = _at_most(trees, bound)
     levels = max(1, int(np.ceil(np.log2(max(sample, 2)))))
     nodes = 2 ** (levels + 1) - 1
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lots(batches):
-            v = _matrix(batch, 1)
-            draws = uniforms(batch.column(0).to_numpy(), trees, seed)
-            row, tree = np.nonzero((draws < bound) & np.isfinite(v).all(axis=1)[:, None])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tree.astype(np.int32)), pa.array(draws[row, tree]), pa.array(list(v[row]), pa.list_(pa.float64()))], ["tree", "draw", "v"]
-            )
+            keys, v = batch.column(0).to_numpy(), _matrix(batch, 1)
+            wanted = np.searchsorted(chances, uniforms(keys, 1, seed)[:, 0], side="right")
+            drawn = np.flatnonzero((wanted > 0) & np.isfinite(v).all(axis=1))
+            each = uniforms(keys[drawn], trees, seed, 1)
+            row, tree = np.nonzero(each <= np.sort(each, axis=1)[np.arange(len(drawn)), wanted[drawn] - 1][:, None])  # each row's trees of least draw
+            draws = uniforms(keys[drawn][row] + tree, 1, seed, 2)[:, 0]
+            ends = pa.array(np.arange(len(row) + 1, dtype=np.int32) * len(columns))
+            values = pa.ListArray.from_arrays(ends, pa.array(v[drawn][row].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array((tree // TREES_A_TASK).astype(np.int32)), pa.array(tree.astype(np.int32)), pa.array(draws), values], ["lot", "tree", "draw", "v"])
 
     def grow(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("draw", "ascending")]).slice(0, sample)
-        t, v = table.column("tree")[0].as_py(), np.array(table.column("v").to_pylist(), float).reshape(table.num_rows, len(columns))
-        column, threshold, depth = _tree(v, np.random.default_rng([seed, t]), levels, nodes)
-        found = {"tree": [t], "size": [len(v)], "col": [column.tolist()], "threshold": [threshold.tolist()], "depth": [depth.tolist()]}
-        return pa.Table.from_pydict(found, schema=pa.schema([("tree", pa.int32()), ("size", pa.int64()), ("col", pa.list_(pa.int64())), ("threshold", pa.list_(pa.float64())), ("depth", pa.list_(pa.float64()))]))
+        tree, draw = (table.column(c).to_numpy() for c in ("tree", "draw"))
+        order = np.lexsort((draw, tree))
+        tree = tree[order]
+        first = np.searchsorted(tree, tree)  # where each row's tree begins
+        kept = np.arange(len(tree)) - first < sample
+        v = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(tree), len(columns))[order[kept]]
+        names, at = np.unique(tree[kept], return_inverse=True)
+        found = _trees(v, at, np.stack([np.random.default_rng([seed, t]).random((nodes, 2)) for t in names]), levels)
+        lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), nodes).cast(pa.list_(pa.from_numpy_dtype(x.dtype)))
+        return pa.table([pa.array(names), pa.array(np.bincount(at)), *map(lists, found)], names=["tree", "size", "col", "threshold", "depth"])
 
     hashed = rows.select(F.xxhash64(key).alias("key"), *columns)
-    drawn = hashed.mapInArrow(propose, "tree int, draw double, v array<double>")
-    grown = drawn.groupBy("tree").applyInArrow(grow, "tree int, size bigint, col array<bigint>, threshold array<double>, depth array<double>").orderBy("tree").toArrow()
+    drawn = hashed.mapInArrow(propose, "lot int, tree int, draw double, v array<double>")
+    grown = drawn.groupBy("lot").applyInArrow(grow, "tree int, size bigint, col array<bigint>, threshold array<double>, depth array<double>").toArrow().sort_by("tree")
     stack = lambda c, kind: np.array(grown.column(c).to_pylist(), kind).reshape(grown.num_rows, nodes)
     return Forest(stack("col", np.int64), stack("threshold", float), stack("depth", float), max(grown.column("size").to_pylist(), default=0))
 
 
-def _tree(v: np.ndarray, rng: np.random.Generator, levels: int, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One tree over the rows ``v``: at each node a random column is cut at a random place between its ends."""
-    column, threshold, depth = np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes)
-    waiting = [(0, 0, np.arange(len(v)))]
-    while waiting:
-        node, level, members = waiting.pop()
-        low, high = v[members].min(axis=0), v[members].max(axis=0)
-        spread = np.flatnonzero(high > low)
-        if level == levels or len(members) <= 1 or not len(spread):
-            depth[node] = level + _path_norm(len(members))
-            continue
-        c = int(rng.choice(spread))
-        column[node], threshold[node] = c, rng.uniform(low[c], high[c])
-        right = v[members, c] >= threshold[node]
-        waiting += [(2 * node + 1, level + 1, members[~right]), (2 * node + 2, level + 1, members[right])]
+def _at_most(trees: int, chance: float) -> np.ndarray:
+    """Probabilities that a row is proposed to at most 0, 1, ... trees, each with ``chance``."""
+    if chance >= 1:
+        return np.zeros(trees)
+    k = np.arange(1, trees + 1)
+    steps = np.log(trees - k + 1) - np.log(k) + np.log(chance) - np.log1p(-chance)
+    return np.cumsum(np.exp(trees * np.log1p(-chance) + np.concatenate([[0.0], np.cumsum(steps)])))[:-1]
+
+
+def _trees(v: np.ndarray, tree: np.ndarray, draws: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trees grown level by level, all at once: at each node a random column is cut at a random place between its ends.
+
+    Row i of ``v`` belongs to ``tree[i]``; ``draws`` [tree, node, 2] choose the column and the place.
+    """
+    count, nodes = draws.shape[:2]
+    column = np.full((count, nodes), -1, np.int64)
+    threshold, level_of = np.zeros((count, nodes)), np.floor(np.log2(np.arange(nodes) + 1))
+    depth = np.tile(level_of, (count, 1))
+    node = np.zeros(len(v), np.int64)
+    for level in range(levels + 1):
+        if not len(v):
+            break
+        order = np.argsort(tree * nodes + node, kind="stable")
+        v, tree, node = v[order], tree[order], node[order]
+        starts = np.flatnonzero(np.diff(tree * nodes + node, prepend=-1))
+        sizes = np.diff(starts, append=len(v))
+        t, k = tree[starts], node[starts]
+        low, high = np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)
+        spread = high > low
+        choices = spread.sum(axis=1)
+        cut = (choices > 0) & (level < levels)
+        depth[t[~cut], k[~cut]] = level + _path_norm(sizes[~cut])
+        pick = np.floor(draws[t, k, 0] * choices).astype(int)  # the pick-th of the columns that differ
+        c = (np.cumsum(spread, axis=1) > pick[:, None]).argmax(axis=1)
+        at = np.arange(len(t))
+        place = low[at, c] + draws[t, k, 1] * (high[at, c] - low[at, c])
+        column[t[cut], k[cut]], threshold[t[cut], k[cut]] = c[cut], place[cut]
+        of = np.repeat(at, sizes)
+        live = cut[of]
+        v, tree, of = v[live], tree[live], of[live]
+        node = 2 * node[live] + 1 + (v[np.arange(len(v)), c[of]] >= place[of])
     return column, threshold, depth
 
 

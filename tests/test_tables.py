@@ -305,3 +305,33 @@ def test_streams(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from rates").first()[0] == events.count()
+
+
+def test_forest_draws_by_count(spark):
+    """A row's number of trees follows the binomial law, trees are full, and the forest does not depend on partitions."""
+    chances = anomaly._at_most(300, 0.01)
+    assert chances[0] == pytest.approx(0.99**300) and chances[1] == pytest.approx(0.99**300 * (1 + 300 * 0.01 / 0.99)) and chances[40] == pytest.approx(1)
+    df = spark.range(20000).select(F.col("id").alias("k"), F.sin("id").alias("a"), F.cos(F.col("id") * 3).alias("b"))
+    one, two = (anomaly.fit_forest(df.repartition(n), "k", trees=60, sample=64) for n in (2, 5))
+    assert (one.threshold == two.threshold).all() and (one.column == two.column).all() and len(one.column) == 60 and one.size == 64
+    assert (one.column[:, 0] >= 0).all() and len(np.unique(one.threshold[:, 0])) == 60
+
+
+def test_trees_set_rows_apart():
+    """Each leaf's depth is its level plus the mean depth of its rows; cuts lie between the ends of what they cut."""
+    rng = np.random.default_rng(1)
+    v, tree = rng.normal(size=(90, 2)), np.repeat([0, 1, 2], 30)
+    v[60:] = 1.0  # the third tree can't be cut
+    column, threshold, depth = anomaly._trees(v, tree, rng.random((3, 31, 2)), 4)
+    assert column[2, 0] == -1 and depth[2, 0] == pytest.approx(float(anomaly._path_norm(30)))
+    for t in (0, 1):
+        waiting = [(0, 0, v[tree == t])]
+        while waiting:
+            node, level, rows = waiting.pop()
+            c = column[t, node]
+            if c < 0:
+                assert depth[t, node] == pytest.approx(level + float(anomaly._path_norm(len(rows)))) and (level == 4 or len(rows) <= 1)
+                continue
+            assert rows[:, c].min() <= threshold[t, node] < rows[:, c].max()
+            right = rows[:, c] >= threshold[t, node]
+            waiting += [(2 * node + 1, level + 1, rows[~right]), (2 * node + 2, level + 1, rows[right])]
