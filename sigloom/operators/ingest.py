@@ -1,4 +1,9 @@
-"""Stages of the batch pipeline, each reading and writing tables under one folder."""
+"""Stages of the batch pipeline, each reading and writing tables under one folder.
+
+Tables with a row per segment are laid out by ``sources.store``: bucketed and sorted by
+``segment_id`` alike, so joins of the catalogue, features, arrays and scores need no
+shuffle, and a column is updated by writing its own table anew.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +15,38 @@ from pyspark.sql import functions as F
 from sigloom.config import CLASS_GROUPS, FEATURES, Quality, Radar
 from sigloom.functions import signals
 from sigloom.operators import catalog, evaluate, rules, splits
+from sigloom.sources import store
 
 
 def _write(df: DataFrame, root: str, name: str) -> DataFrame:
+    """Tables of segments in as many buckets as the arrays have, others as plain Parquet."""
+    spark = df.sparkSession
+    if "segment_id" in df.columns:
+        buckets = store.buckets(spark, root, "segments_iq") or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        out = store.write(df, root, name, buckets)
+        store.prune(spark, root, name)
+        return out
     df.write.mode("overwrite").parquet(f"{root}/{name}")
-    return df.sparkSession.read.parquet(f"{root}/{name}")
+    return spark.read.parquet(f"{root}/{name}")
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}")
+    return store.read(spark, root, name) if store.exists(spark, root, name) else spark.read.parquet(f"{root}/{name}")
+
+
+def update_columns(spark: SparkSession, root: str, name: str, values: DataFrame) -> DataFrame:
+    """Rows of table ``name`` with the columns of ``values`` by ``segment_id``; no other table is written."""
+    return store.update(spark, root, name, values)
+
+
+def lookup(spark: SparkSession, root: str, name: str, ids: list[int]) -> DataFrame:
+    """Segments by id: few buckets and pages are read."""
+    return store.lookup(read(spark, root, name), ids)
+
+
+def scan(spark: SparkSession, root: str, name: str, first: int, last: int) -> DataFrame:
+    """Segments of a range of ids, both ends included."""
+    return store.between(read(spark, root, name), first, last)
 
 
 def ingest(raw_segments: DataFrame, root: str, radar: Radar, seed: int = 0, config: Quality = Quality()) -> dict:
@@ -81,11 +109,9 @@ def segments_view(spark: SparkSession, root: str) -> DataFrame:
     out = read(spark, root, "segments_base").withColumn("class_group", catalog.class_group(F.col("label")))
     stages = (("features", FEATURES), ("quality", ("rule_flags", "rule_score", "low_snr", "time_gap")), ("anomaly", ("anomaly_score", "anomaly_score_iforest")))
     for name, columns in stages:
-        try:
+        if store.exists(spark, root, name):
             out = out.join(read(spark, root, name), "segment_id", "left")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        else:
             out = out.select("*", *(F.lit(None).cast("double").alias(c) for c in columns))
     return out
 

@@ -267,6 +267,23 @@ def test_stages(spark, staged):
     assert hard["dropped_block"] == hard["frozen_block"] == hard["duplicate_segment"] == 1.0
 
 
+def test_catalogue_joins_without_a_shuffle(spark, staged):
+    """The view's joins and those with arrays need no Exchange; a rewritten column leaves the other tables alone."""
+    root = staged[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        view = ingest.segments_view(spark, root).join(ingest.read(spark, root, "segments_iq"), "segment_id")
+        assert "Exchange" not in view._jdf.queryExecution().executedPlan().toString() and view.count() == 600
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    was = {r["segment_id"]: r["anomaly_score"] for r in ingest.read(spark, root, "anomaly").collect()}
+    ingest.update_columns(spark, root, "anomaly", spark.createDataFrame([(7, 0.125)], "segment_id long, anomaly_score double"))
+    now = {r["segment_id"]: r["anomaly_score"] for r in ingest.segments_view(spark, root).collect()}
+    assert now == was | {7: 0.125}
+    assert [r["segment_id"] for r in ingest.lookup(spark, root, "rd_maps", [9]).collect()] == [9]
+    assert ingest.scan(spark, root, "segments_iq", 10, 19).count() == 10
+
+
 def test_export(spark, staged, tmp_path):
     root = staged[0]
     rows = ingest.segments_view(spark, root).join(ingest.read(spark, root, "rd_maps"), "segment_id")
