@@ -13,7 +13,7 @@ from sigloom.config import FEATURES, Radar
 from sigloom.functions import signals
 from sigloom.operators import catalog, classify, ingest, training
 from sigloom.plans import sqlrun
-from sigloom.sources import export, raw
+from sigloom.sources import export, mirror, raw
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -21,6 +21,9 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--root", required=True, help="folder of the engine's tables")
     sub = p.add_subparsers(dest="stage", required=True)
     sub.add_parser("ingest").add_argument("raw", help="cell matrix files, or 'synthetic'")
+    fetch = sub.add_parser("fetch")
+    fetch.add_argument("files", help="CSV file of urls and their md5, with a head 'url,md5'")
+    fetch.add_argument("target", help="folder in shared storage")
     sub.add_parser("dsp")
     quality = sub.add_parser("quality")
     quality.add_argument("--n-per-fault", type=int, default=500)
@@ -40,7 +43,10 @@ def main(argv: list[str] | None = None) -> None:
         segments, measurements = ingest.segments_view(spark, root), ingest.read(spark, root, "measurements")
         return {"segments": segments, "measurements": measurements, "duplicate_pairs": catalog.duplicate_pairs(segments)}
 
-    if a.stage == "ingest":
+    if a.stage == "fetch":
+        files = spark.read.option("header", "true").schema("url string, md5 string").csv(a.files)
+        print(report.markdown(mirror.mirror(files, a.target).orderBy("file")))
+    elif a.stage == "ingest":
         rows = raw.synthetic(spark) if a.raw == "synthetic" else raw.load(spark, a.raw)
         counts = ingest.ingest(rows, root, radar)
         ingest.save_json(spark, counts, f"{root}/results/ingest")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom import __version__
 from sigloom.config import CLASS_GROUPS, DRONES
+from sigloom.functions.storage import cut
 from sigloom.operators.catalog import class_group, encode_labels, filter_dataset
+from sigloom.operators.order import running_sums
 from sigloom.sources import merkle
 
 COLUMNS = ("segment_id", "measurement_id", "rd_db", "y_group", "y_label", "y_drone", "paper_split", "split_grouped")
@@ -44,8 +46,10 @@ def export(segments: DataFrame, spec: dict, path: str, source: str = "", seed: i
     """Write the rows of ``segments`` that ``spec`` selects, and the manifest; returns the manifest."""
     spark = segments.sparkSession
     rows = encode_labels(filter_dataset(segments, spec.get("filters")))
-    rows.select(*COLUMNS, "label").write.mode("overwrite").partitionBy("split_grouped").parquet(f"{path}/data")
+    ordered = rows.select(*COLUMNS, "label").repartitionByRange("split_grouped", "segment_id").sortWithinPartitions("split_grouped", "segment_id")
+    ordered.write.mode("overwrite").partitionBy("split_grouped").parquet(f"{path}/data")
     written = _rows(spark, path)
+    _index(written).write.mode("overwrite").parquet(f"{path}/index")
     n, total = digest(written)
     merkle.tree(written, "segment_id", COLUMNS).write.mode("overwrite").parquet(f"{path}/tree")
     of_array = merkle.roots(spark.read.parquet(f"{path}/tree"), COLUMNS)[1]
@@ -97,8 +101,52 @@ def read(spark: SparkSession, path: str, split_kind: str = "grouped", split: int
             wrong = damaged(spark, path).orderBy("first_id", "column").limit(NAMED).collect()
             places = ", ".join(f"{r['column']} at {r['first_id']} to {r['last_id']}" for r in wrong)
             raise ValueError(f"{path} does not match its manifest: {places or 'the manifest or its tree was changed'}")
-    if split is not None:
-        rows = rows.where(F.col({"paper": "paper_split", "grouped": "split_grouped"}[split_kind]) == split)
+    return _items(rows, split_kind, split, task)
+
+
+def _chosen(split_kind: str, split: int | None) -> Column:
+    return F.lit(True) if split is None else F.col({"paper": "paper_split", "grouped": "split_grouped"}[split_kind]) == split
+
+
+def _items(rows: DataFrame, split_kind: str, split: int | None, task: str) -> DataFrame:
+    rows = rows.where(_chosen(split_kind, split))
     x = F.transform("rd_db", lambda v: F.least(F.greatest(v, F.lit(-5.0)), F.lit(60.0)) / 30)
     y = F.col("y_group" if task == "group" else "y_drone")
     return rows.where(y >= 0).select("segment_id", x.alias("x"), y.cast("long").alias("y"))
+
+
+def _index(written: DataFrame) -> DataFrame:
+    """Rows of each file by split and task, with the file's first id: a few rows per file, written with the export."""
+    file = F.substring_index(F.col("_metadata.file_path"), "/data/", -1)
+    with_target = (F.sum((F.col(y) >= 0).cast("long")).alias(n) for y, n in (("y_group", "n_group"), ("y_drone", "n_drone")))
+    return written.groupBy(file.alias("file"), "split_grouped", "paper_split").agg(F.min("segment_id").alias("first_id"), *with_target)
+
+
+class Items:
+    """Items of a split by position: ``len(items)`` reads the index alone, ``items[i]`` one file.
+
+    Positions follow the grouped split, then the segment id, of which an export has one row
+    each. Rows without a target have no position. Negative positions count from the end;
+    others beyond the split raise IndexError. Where the index or a null split leaves no
+    rows, the length is zero.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, split_kind: str = "grouped", split: int | None = 1, task: str = "group"):
+        self.spark, self.path, self.choice = spark, path, (split_kind, split, task)
+        rows = spark.read.parquet(f"{path}/index").where(_chosen(split_kind, split))
+        files = rows.groupBy("split_grouped", "file").agg(F.min("first_id").alias("first_id"), F.sum("n_group" if task == "group" else "n_drone").alias("n"))
+        self.places = cut(running_sums(files.where("n > 0"), ["split_grouped", "first_id", "file"], ["n"]), "places")
+        self.length = self.places.agg(F.sum("n")).first()[0] or 0
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __getitem__(self, i: int) -> Row:
+        """The item (segment_id, x, y) at position ``i``."""
+        if not -self.length <= i < self.length:
+            raise IndexError(f"position {i} of {self.length}")
+        i %= self.length
+        at = self.places.where((F.col("before_n") <= i) & (F.col("before_n") + F.col("n") > i)).first()
+        rows = _items(self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data/{at['file']}"), *self.choice)
+        ident = rows.select("segment_id").orderBy("segment_id").offset(i - at["before_n"]).limit(1).first()[0]  # ids alone are put in order
+        return rows.where(F.col("segment_id") == ident).first()

@@ -24,6 +24,7 @@ from sigloom.config import Radar
 from sigloom.functions.draws import normals, uniforms
 from sigloom.functions.signals import lots
 from sigloom.operators.order import running_sums
+from sigloom.sources import mirror
 
 #: Segments that the reader hands on at once.
 LOT = 1024
@@ -116,8 +117,8 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_md5(spark: SparkSession, path: str) -> DataFrame:
-    """(path, md5) of every file under ``path``, computed where the files are read."""
-    return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"))
+    """(path, md5) of every file under ``path``, computed in chunks where the files are read."""
+    return mirror.digests(spark, path).select("path", "md5")
 
 
 @dataclass(frozen=True)
