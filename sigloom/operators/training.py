@@ -1,16 +1,21 @@
-"""Data-parallel training of small networks: tasks compute gradients, the driver steps.
+"""Data-parallel training of small networks: tasks compute gradients, add them up and take the steps.
 
 Rows are dealt by the hash of their key to batches and, within a batch, to chunks, and a
 chunk's rows are ordered by key: each chunk is one packed row of a table partitioned by
-batch. A step reads one batch. A task computes the gradient of each of its chunks, the
-sums are added up in the order of the chunks, in a tree where there are many, and the
-driver, whose state has the size of the model, takes a step of AdamW under a one-cycle
-schedule. What a step adds up does not depend on how rows or chunks lie in partitions,
+batch. What is learned has parts that do not know of each other (the classifiers of a
+grid); the state of each part is a row of a table in shared storage. A step reads that
+table and one batch: the gradients of the batch's chunks are added up in the order of the
+chunks, in a tree where there are many, and a task for each part takes a step of AdamW
+under a one-cycle schedule and writes the part's next state. Where there are at least as
+many parts as chunks, a task goes through the chunks of a batch for its part, and through
+``LOT`` batches before it writes; otherwise each chunk of each part is a task.
+No gradient reaches the driver, nor does the state before the end, unless epochs are
+looked at. What a step adds up does not depend on how rows or chunks lie in partitions,
 so the same rows give the same weights, bit by bit. Batches keep their rows; an epoch
 draws their order.
 
 After each epoch a checkpoint is appended to a folder in shared storage, if one is
-given: parameters, state of the optimiser, moving moments, best epoch. A run that finds
+given: the state of each part, and what was kept as best. A run that finds
 checkpoints of the same settings goes on after the last of them, and ends with the same
 weights as a run that was never stopped.
 
@@ -22,21 +27,28 @@ from __future__ import annotations
 
 import io
 import json
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions.networks import Mode, Network, autoencoder
 from sigloom.functions.storage import fresh_path
 
-#: Gradients that one task, or the driver, adds up.
+#: Gradients that one task adds up.
 FAN_IN = 16
 
+#: Batches that a task goes through for its part before it writes the part's state.
+LOT = 8
+
+STATE = "part int, vector binary, more binary"
+SUMS = "part int, batch int, chunk int, sums binary"
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -86,24 +98,36 @@ def packed(rows: DataFrame, key: str, x: str, more: dict[str, list[str]], settin
     return spark.read.schema(schema).parquet(path), batches if n else 0
 
 
-def summed(chunks: DataFrame, n: int, cells: int, compute: Callable[[Chunk], np.ndarray]) -> np.ndarray | None:
-    """The sum of ``compute`` over chunks, numbered below ``n``, added up in their order; None of no chunks."""
+def _batch(schema: str, *rows: tuple) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[kind]) for v, (_, kind) in zip(zip(*rows), fields)], [name for name, _ in fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pydict({"place": [row["chunk"]], "sums": [compute(Chunk(row, cells)).tobytes()]}, schema=pa.schema([("place", pa.int32()), ("sums", pa.binary())]))
+
+def _added(sums: DataFrame, n: int) -> DataFrame:
+    """``sums`` of chunks numbered below ``n``, added up in their order until a part has at most ``FAN_IN``."""
 
     def add(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
+        table = table.sort_by("chunk")
         total = sum(np.frombuffer(x.as_buffer()) for x in table.column("sums"))
-        return pa.table({"place": pa.array([table.column("place")[0].as_py() // FAN_IN], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+        part, batch, chunk = (table.column(c)[0].as_py() for c in ("part", "batch", "chunk"))
+        return pa.Table.from_batches([_batch(SUMS, (part, batch, chunk // FAN_IN, total.tobytes()))])
 
-    parts = chunks.mapInArrow(run, "place int, sums binary")
     while n > FAN_IN:
-        parts = parts.groupBy(F.expr(f"place div {FAN_IN}")).applyInArrow(add, "place int, sums binary")
+        sums = sums.groupBy("part", F.expr(f"chunk div {FAN_IN}")).applyInArrow(add, SUMS)
         n = -(-n // FAN_IN)
-    rows = sorted(parts.collect())  # at most FAN_IN, each of the size of the model
+    return sums
+
+
+def summed(chunks: DataFrame, n: int, cells: int, compute: Callable[[Chunk], np.ndarray]) -> np.ndarray | None:
+    """The sum of ``compute`` over the chunks of a batch, numbered below ``n``, added up in their order; None of no chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield _batch(SUMS, (0, row["batch"], row["chunk"], compute(Chunk(row, cells)).tobytes()))
+
+    rows = _added(chunks.mapInArrow(run, SUMS), n).orderBy("chunk").collect()  # at most FAN_IN
     return sum(np.frombuffer(r["sums"]) for r in rows) if rows else None
 
 
@@ -114,6 +138,10 @@ class Task:
     size: int
     n_moments: int = 0
 
+    def parts(self) -> list[Task]:
+        """Tasks that learn on their own, whose vectors and moments make up this one's, in order."""
+        return [self]
+
     def init(self, seed: int) -> np.ndarray:
         raise NotImplementedError
 
@@ -136,20 +164,25 @@ class State:
     moments: np.ndarray
     steps: int = 0
     epoch: int = 0
+    loss: float = 0.0
     losses: tuple[float, ...] = ()
     best: tuple[np.ndarray, ...] = ()
 
-    def dumped(self) -> bytes:
-        out = io.BytesIO()
-        kept = {f"best{i}": b for i, b in enumerate(self.best)}
-        np.savez(out, vector=self.vector, first=self.first, second=self.second, moments=self.moments, counts=[self.steps, self.epoch], losses=self.losses, **kept)
-        return out.getvalue()
+    def dumped(self) -> tuple[bytes, bytes]:
+        """The vector, and what a gradient does not need."""
+        more = _saved(first=self.first, second=self.second, moments=self.moments, counts=[self.steps, self.epoch], loss=self.loss, losses=self.losses)
+        return self.vector.tobytes(), more
 
     @staticmethod
-    def of(data: bytes) -> State:
-        with np.load(io.BytesIO(data)) as f:
-            best = tuple(f[f"best{i}"] for i in range(sum(name.startswith("best") for name in f.files)))
-            return State(f["vector"], f["first"], f["second"], f["moments"], *map(int, f["counts"]), tuple(f["losses"].tolist()), best)
+    def of(vector: bytes, more: bytes) -> State:
+        with np.load(io.BytesIO(more)) as f:
+            return State(np.frombuffer(vector), f["first"], f["second"], f["moments"], *map(int, f["counts"]), float(f["loss"]), tuple(f["losses"].tolist()))
+
+
+def _saved(**arrays) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
 
 
 def _rate(settings: Settings, step: int, total: int) -> float:
@@ -171,50 +204,157 @@ def advance(state: State, grad: np.ndarray, settings: Settings, total: int) -> N
     state.vector = state.vector * (1 - rate * settings.decay) - rate * ahead
 
 
-def _restored(spark, folder: str | None, mark: str) -> State | None:
+def step(task: Task, state: State, sums: np.ndarray, settings: Settings, batches: int) -> None:
+    grad, moments, one = task.split(sums)
+    advance(state, grad, settings, settings.epochs * batches)
+    if moments is not None:
+        known = ~np.isnan(moments)
+        state.moments = np.where(known, (1 - settings.momentum) * state.moments + settings.momentum * np.where(known, moments, 0), state.moments)
+    state.loss += one / batches
+
+
+def _dealt(rows: DataFrame, states: DataFrame, slot: Column, n: int) -> DataFrame:
+    """``rows`` beside the states they need: a slot below ``n`` is a task."""
+    return rows.unionByName(states, allowMissingColumns=True).repartitionById(n, slot.cast("int"))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> tuple[dict[int, dict], dict[tuple[int, int], list[dict]]]:
+    """What ``_dealt`` has brought to a task: the state of each part, and its rows of each batch."""
+    states, rows = {}, defaultdict(list)
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["vector"] is not None:
+                states[row["part"]] = row
+            else:
+                rows[row["part"], row["batch"]].append(row)
+    return states, rows
+
+
+def _gradients(parts: list[Task], states: DataFrame, chunks: DataFrame, epoch: int) -> DataFrame:
+    """``SUMS`` of every chunk for every part; tasks read chunks and states where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = parts[row["part"]]
+                yield _batch(SUMS, (row["part"], row["batch"], row["chunk"], own.gradient(np.frombuffer(row["vector"]), Chunk(row, own.cells), epoch).tobytes()))
+
+    return chunks.crossJoin(states.select("part", "vector").hint("shuffle_replicate_nl")).mapInArrow(run, SUMS)  # a broadcast would pass the driver
+
+
+def _stepped(parts: list[Task], states: DataFrame, rows: DataFrame, settings: Settings, batches: int, order: list[int], epoch: int, ends: bool) -> DataFrame:
+    """The states after a step for each batch of ``order``, of which ``rows`` has the chunks or their sums; ``ends`` closes the epoch."""
+
+    def run(lots: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, found = _read(lots)
+        for part, row in before.items():
+            own, state = parts[part], State.of(row["vector"], row["more"])
+            for b in order:
+                if here := sorted(found[part, b], key=lambda r: r["chunk"]):
+                    each = (np.frombuffer(r["sums"]) if "sums" in r else own.gradient(state.vector, Chunk(r, own.cells), epoch) for r in here)
+                    step(own, state, sum(each), settings, batches)
+            if ends:
+                state.epoch, state.losses, state.loss = epoch + 1, (*state.losses, state.loss), 0.0
+            yield _batch(STATE, (part, *state.dumped()))
+
+    return _dealt(rows, states, F.col("part"), len(parts)).mapInArrow(run, STATE)
+
+
+def _first(spark: SparkSession, parts: list[Task], seed: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                zero = np.zeros(parts[part].size)
+                yield _batch(STATE, (part, *State(parts[part].init(seed), zero, zero, parts[part].first_moments()).dumped()))
+
+    return spark.range(0, len(parts), numPartitions=len(parts)).mapInArrow(run, STATE)
+
+
+def _gathered(states: DataFrame, vector: np.dtype = np.dtype(float)) -> State:
+    """The parts' vectors, as numbers of a kind, and moments, one after the other, with the mean of the losses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                state = State.of(row["vector"], row["more"])
+                more = _saved(moments=state.moments, counts=[state.steps, state.epoch], losses=state.losses)
+                yield _batch(STATE, (row["part"], state.vector.astype(vector).tobytes(), more))
+
+    vectors, moments, losses = [], [], []
+    for row in states.mapInArrow(run, STATE).orderBy("part").collect():  # of the size of the model
+        with np.load(io.BytesIO(row["more"])) as f:
+            vectors.append(np.frombuffer(row["vector"], vector))
+            moments.append(f["moments"])
+            losses.append(f["losses"])
+            steps, epoch = map(int, f["counts"])
+    zero = np.zeros(0)
+    return State(np.concatenate(vectors), zero, zero, np.concatenate(moments), steps, epoch, 0.0, tuple(np.mean(losses, axis=0).tolist()))
+
+
+def _restored(spark: SparkSession, folder: str | None, mark: str) -> tuple[DataFrame, int, tuple[np.ndarray, ...]] | None:
+    """States of the last epoch that ``folder`` has under ``mark``, that epoch, and what was best."""
     if folder is None:
         return None
     try:
-        found = spark.read.schema("mark string, epoch int, state binary").parquet(folder)
-        row = found.where(F.col("mark") == mark).orderBy(F.desc("epoch")).limit(1).collect()
+        found = spark.read.schema(f"mark string, epoch int, {STATE}").parquet(folder).where(F.col("mark") == mark)
+        epoch = found.agg(F.max("epoch")).first()[0]
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return None
-    return State.of(row[0]["state"]) if row else None
+    if epoch is None:
+        return None
+    last = found.where(F.col("epoch") == epoch).dropDuplicates(["part"])
+    row = last.where("part < 0").first()
+    with np.load(io.BytesIO(row["more"])) as f:
+        best = tuple(f[f"best{i}"] for i in range(len(f.files)))
+    return last.where("part >= 0").select("part", "vector", "more"), epoch, best
 
 
 def fit(
     task: Task, chunks: DataFrame, batches: int, settings: Settings, folder: str | None = None, after_epoch: Callable[[State], None] | None = None
 ) -> State:
-    """The state after ``settings.epochs`` epochs; ``after_epoch`` may look at each and keep what is best in ``state.best``."""
-    spark = chunks.sparkSession
-    mark = json.dumps({**asdict(settings), "batches": batches, "size": task.size}, sort_keys=True)
-    state = _restored(spark, folder, mark)
-    if state is None:
-        zero = np.zeros(task.size)
-        state = State(task.init(settings.seed), zero, zero, task.first_moments())
+    """The state after ``settings.epochs`` epochs; ``after_epoch`` may look at each and keep what is best in ``state.best``.
+
+    Networks see maps as numbers of 32 bits, and their weights alike: ``after_epoch`` gets the weights so.
+    """
+    spark, parts = chunks.sparkSession, task.parts()
+    mark = json.dumps({**asdict(settings), "batches": batches, "size": task.size, "parts": len(parts)}, sort_keys=True)
+    paths, turn = [fresh_path(spark, "states"), fresh_path(spark, "states")], 0  # the state, and the one before it
+
+    def kept(states: DataFrame) -> DataFrame:
+        nonlocal turn
+        turn = 1 - turn
+        states.write.mode("overwrite").parquet(paths[turn])
+        return spark.read.schema(STATE).parquet(paths[turn])
+
+    start, epoch, best = _restored(spark, folder, mark) or (_first(spark, parts, settings.seed), 0, ())
+    states = kept(start)
     most = (chunks.agg(F.max("chunk")).first()[0] or 0) + 1 if batches else 0
-    while state.epoch < settings.epochs and batches:
-        loss, epoch = 0.0, state.epoch
-        for b in np.random.default_rng([settings.seed, epoch]).permutation(batches).tolist():
-            shared = spark.sparkContext.broadcast(state.vector)
-            sums = summed(chunks.where(F.col("batch") == b), most, task.cells, lambda c: task.gradient(shared.value, c, epoch))  # noqa: B023
-            shared.unpersist()
-            if sums is None:
-                continue
-            grad, moments, one = task.split(sums)
-            advance(state, grad, settings, settings.epochs * batches)
-            if moments is not None:
-                known = ~np.isnan(moments)
-                state.moments = np.where(known, (1 - settings.momentum) * state.moments + settings.momentum * np.where(known, moments, 0), state.moments)
-            loss += one / batches
-        state.epoch, state.losses = epoch + 1, (*state.losses, loss)
+    by_part = len(parts) >= most
+    while epoch < settings.epochs and batches:
+        order = np.random.default_rng([settings.seed, epoch]).permutation(batches).tolist()
+        size = LOT if by_part else 1
+        for at in range(0, batches, size):
+            lot = order[at : at + size]
+            rows = chunks.where(F.col("batch").isin(lot))
+            if by_part:
+                rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1))))
+            else:
+                rows = _added(_gradients(parts, states, rows, epoch), most)
+            states = kept(_stepped(parts, states, rows, settings, batches, lot, epoch, at + size >= batches))
+        epoch += 1
         if after_epoch:
+            state = _gathered(states, np.dtype(np.float32))
+            state.best = best
             after_epoch(state)
+            best = state.best
         if folder is not None:
-            row = [(mark, state.epoch, bytearray(state.dumped()))]
-            spark.createDataFrame(row, "mark string, epoch int, state binary").coalesce(1).write.mode("append").parquet(folder)
+            row = [(-1, None, bytearray(_saved(**{f"best{i}": b for i, b in enumerate(best)})))]
+            written = states.unionByName(spark.createDataFrame(row, STATE))
+            written.select(F.lit(mark).alias("mark"), F.lit(epoch).alias("epoch"), "*").write.mode("append").parquet(folder)
+    state = _gathered(states)
+    state.best = best
     return state
 
 
@@ -285,6 +425,9 @@ class Grid(Task):
         self.moment_ends = np.cumsum([0, *(n.n_moments for n in self.networks)]).tolist()
         self.size, self.n_moments = self.ends[-1], self.moment_ends[-1]
 
+    def parts(self):
+        return [Grid([n], [t], [w], [s], self.cells) for n, t, w, s in zip(self.networks, self.targets, self.weights, self.seeds)]
+
     def init(self, seed):
         return np.concatenate([n.init(s) for n, s in zip(self.networks, self.seeds)])
 

@@ -113,3 +113,23 @@ def test_networks_tell_separable_maps_apart(spark):
     assert all(r["n"] == 31 and r["accuracy"] == pytest.approx(30 / 31) for r in worse)
     assert classify.network_experiments(table.limit(0), 2).count() == 0
     assert classify.network_experiments(table.where("label = 'D1'"), 2).count() == 0
+
+
+@pytest.mark.parametrize("rows", [2, 32])  # a batch is one chunk, which its part's task reads, or many
+def test_what_reaches_the_driver_does_not_grow_with_steps(spark, monkeypatch, rows):
+    table, sent = maps(spark), []
+    kind = type(table)
+
+    def collect(df, real=kind.collect):
+        found = real(df)
+        sent.append(sum(len(v) for r in found for v in r if isinstance(v, bytearray | bytes)))
+        return found
+
+    monkeypatch.setattr(kind, "collect", collect)
+    totals = []
+    for epochs in (1, 2):
+        sent.clear()
+        fitted(table, training.Settings(epochs=epochs, batch_rows=32, chunk_rows=32 // rows))
+        totals.append(sum(sent))
+    size = autoencoder(2, 16, 4).size * 8
+    assert size < totals[0] < 1.1 * size + 4096 and totals[1] - totals[0] < 100
