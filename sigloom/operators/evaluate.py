@@ -39,14 +39,15 @@ def histogram(df: DataFrame, value: Column, groups: list[str], bins: int = 40, l
     return rows.groupBy(*groups, at.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def macro_f1(pairs: DataFrame, label: str, predicted: str) -> DataFrame:
-    """(accuracy, macro_f1) over the labels that occur, each label counting alike."""
-    counts = pairs.groupBy(F.col(label).alias("l"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+def macro_f1(pairs: DataFrame, label: str, predicted: str, *by: str) -> DataFrame:
+    """(accuracy, macro_f1) over the labels that occur, each label counting alike; a row for each ``by``, with the ``n`` pairs."""
+    counts = pairs.groupBy(*by, F.col(label).alias("l"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
     right = F.sum(F.when(F.col("l") == F.col("p"), F.col("n")).otherwise(0))
-    by_label = counts.groupBy("l").agg(F.sum("n").alias("support"), right.alias("hit"))
-    by_guess = counts.groupBy(F.col("p").alias("l")).agg(F.sum("n").alias("guessed"))
-    each = by_label.join(by_guess, "l", "left").withColumn("f1", 2 * F.col("hit") / (F.col("support") + F.coalesce("guessed", F.lit(0))))
-    return each.agg((F.sum("hit") / F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"))
+    by_label = counts.groupBy(*by, "l").agg(F.sum("n").alias("support"), right.alias("hit"))
+    by_guess = counts.groupBy(*by, F.col("p").alias("l")).agg(F.sum("n").alias("guessed"))
+    each = by_label.join(by_guess, [*by, "l"], "left").withColumn("f1", 2 * F.col("hit") / (F.col("support") + F.coalesce("guessed", F.lit(0))))
+    more = [F.sum("support").alias("n")] if by else []
+    return each.groupBy(*by).agg((F.sum("hit") / F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"), *more)
 
 
 def confusion(pairs: DataFrame, label: str, predicted: str) -> DataFrame:

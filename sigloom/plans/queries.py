@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -415,7 +418,11 @@ def classifier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = rules.apply(stats, _thresholds(segments, stats)).select("segment_id", "rule_flags", signals.scaled_map(F.col("rd_db")).alias("rd_norm"), *FEATURES)
     joined = flagged.join(segments.select("segment_id", "label", "edge_flag", "paper_split", "split_grouped"), "segment_id")
     table = cut(joined.withColumn("class_group", catalog.class_group(F.col("label"))), "training")
-    return classify.experiments(table, FEATURES).unionByName(classify.network_experiments(table, SMALL.n_range))
+    with ThreadPool(2) as pool:  # the regressions' many small jobs run beside the networks' steps
+        thread = inheritable_thread_target(spark)
+        logistic = pool.apply_async(thread(lambda: classify.experiments(table, FEATURES)))
+        networks = pool.apply_async(thread(lambda: classify.network_experiments(table, SMALL.n_range)))
+        return logistic.get().unionByName(networks.get())
 
 
 @query

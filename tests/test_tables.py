@@ -241,6 +241,25 @@ def test_all_rows_are_scored(spark):
     assert {(r["n"], r["accuracy"], r["macro_f1"]) for r in classify.experiments(unseen, ("a", "b"), grid=(0.1,)).where("target = 'class_group'").collect()} == {(1, 0.0, 0.0)}
 
 
+def test_regressions_are_fitted_side_by_side(spark, monkeypatch):
+    rows = [(f"D{1 + i % 2}", "drone" if i % 4 < 2 else "bird", 1 + i // 4 % 3, float(i % 2), float(i % 4 // 2)) for i in range(48)]
+    table = spark.createDataFrame(rows, "label string, class_group string, split_grouped int, a double, b double").withColumn("paper_split", F.col("split_grouped"))
+    now, most, fit = [], [], classify.train_one
+
+    def counted(*a):
+        now.append(1)
+        most.append(len(now))
+        try:
+            return fit(*a)
+        finally:
+            now.pop()
+
+    monkeypatch.setattr(classify, "train_one", counted)
+    found = classify.experiments(table, ("a", "b"), grid=(0.001, 0.1), seeds=(0,)).collect()
+    assert max(most) > 1 and len(most) == 12
+    assert len(found) == 12 and {(r["n"], r["seeds"], r["accuracy"], r["macro_f1"]) for r in found} == {(16, 1, 1.0, 1.0), (8, 1, 1.0, 1.0)}
+
+
 @pytest.fixture(scope="module")
 def staged(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("engine"))
